@@ -71,30 +71,33 @@ def contract_report(
 ) -> DataFrame:
     """Violations of the attribute contract, one row per field, from one scan.
 
-    Counts rows where a required field is absent, where a value is outside its list or
-    is no boolean, and (field `*`) where the object has fields beyond the contract.
+    Counts rows where a required field is absent, where a category is outside its list or
+    a flag is no boolean, and (field `*`) where the object has fields beyond the contract.
     """
     fields = [*categories, *flags]
-    allowed = {**{c: list(v) for c, v in categories.items()}, **{b: ["true", "false"] for b in flags}}
     known = F.array(*[F.lit(f) for f in fields])
-    values = {f: F.get_json_object(col, f"$.{f}") for f in fields}
-    extra = F.size(F.array_except(F.json_object_keys(col), known)) > 0
-    counts = [
-        F.struct(
-            F.lit(f).alias("field"),
-            F.count_if(values[f].isNull()).alias("missing"),
-            F.count_if(~values[f].isin(allowed[f])).alias("not_allowed"),
-        )
-        for f in fields
-    ]
-    counts.append(
-        F.struct(
-            F.lit("*").alias("field"),
-            F.lit(0).cast("bigint").alias("missing"),
-            F.count_if(extra).alias("not_allowed"),
+    parsed = df.select(F.col(col).alias("text"), F.try_parse_json(col).alias("object"))
+
+    def row(field: str, missing: Column, not_allowed: Column) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"),
+            missing.cast("bigint").alias("missing"),
+            F.count_if(not_allowed).alias("not_allowed"),
         )
-    )
-    return df.agg(F.array(*counts).alias("report")).select(F.inline("report"))
+
+    reports = []
+    for field in fields:
+        value = F.try_variant_get("object", f"$.{field}", "variant")
+        kind = F.schema_of_variant(value)
+        if field in categories:
+            text = F.try_variant_get("object", f"$.{field}", "string")
+            wrong = (kind != "STRING") | ~text.isin(*categories[field])
+        else:
+            wrong = kind != "BOOLEAN"
+        reports.append(row(field, F.count_if(value.isNull()), wrong))
+    extra = F.size(F.array_except(F.json_object_keys("text"), known)) > 0
+    reports.append(row("*", F.lit(0), extra))
+    return parsed.agg(F.array(*reports).alias("report")).select(F.inline("report"))
 
 
 def first_valid_point(points: Column, x: str = "x", y: str = "y") -> Column:

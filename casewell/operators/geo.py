@@ -1,0 +1,154 @@
+"""Zones and points: polygon containment as an equi join on grid cells.
+
+Every zone is cut into the grid cells that its parts touch. Of a zone, a cell keeps only
+the edges that a ray to the right from some point of the cell can meet; that is all a
+crossing count needs. A cell that no edge crosses lies fully inside or outside, so it
+keeps a verdict and no edges. A point then meets the few zones of its own cell, and the
+rest is one expression per row: no pair of point and edge is ever built.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from casewell.functions.values import point
+from casewell.operators.joins import skew_join
+
+
+def cell_key(x: Column, y: Column, cell: float) -> Column:
+    return F.concat_ws(
+        "_", F.floor(x / cell).cast("string"), F.floor(y / cell).cast("string")
+    )
+
+
+def zone_edges(zones: DataFrame, zone: str, rings: str) -> DataFrame:
+    """One row per edge of every ring of every part; equal parity rules for holes."""
+    ring = zones.select(zone, F.explode(F.flatten(rings)).alias("ring"))
+    numbered = ring.select(
+        zone,
+        F.col("ring"),
+        # A ring that repeats its first vertex at the end gives one edge of length 0 less.
+        F.explode(F.sequence(F.lit(1), F.size("ring"))).alias("i"),
+    )
+    here = F.element_at("ring", F.col("i"))
+    after = F.element_at("ring", F.when(F.col("i") < F.size("ring"), F.col("i") + 1).otherwise(1))
+    return numbered.select(
+        zone,
+        here[0].alias("x1"),
+        here[1].alias("y1"),
+        after[0].alias("x2"),
+        after[1].alias("y2"),
+    ).filter("x1 != x2 OR y1 != y2")
+
+
+def _crossings(edges: Column, x: Column, y: Column) -> Column:
+    """Number of edges that a ray to the right from (x, y) crosses."""
+    return F.size(
+        F.filter(
+            edges,
+            lambda e: ((e["y1"] > y) != (e["y2"] > y))
+            & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
+        )
+    )
+
+
+def _on_edge(edges: Column, x: Column, y: Column) -> Column:
+    return F.exists(
+        edges,
+        lambda e: ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])),
+    )
+
+
+def zone_cells(zones: DataFrame, zone: str, rings: str, cell: float) -> DataFrame:
+    """`(zone, cell, inside, edges)` of the cells that a zone touches.
+
+    `inside` is true for a cell wholly inside, and NULL where `edges` must decide.
+    """
+    edges = zone_edges(zones, zone, rings)
+    low = lambda c: F.floor(c / cell)
+    spans = edges.select(
+        zone,
+        "x1",
+        "y1",
+        "x2",
+        "y2",
+        low(F.least("x1", "x2")).alias("cx1"),
+        low(F.greatest("x1", "x2")).alias("cx2"),
+        F.explode(F.sequence(low(F.least("y1", "y2")), low(F.greatest("y1", "y2")))).alias("cy"),
+    )
+    # Edges of one row of cells, and the columns of cells that the zone spans there.
+    bands = spans.groupBy(zone, "cy").agg(
+        F.collect_list(F.struct("x1", "y1", "x2", "y2", "cx1", "cx2")).alias("band"),
+        F.min("cx1").alias("first"),
+        F.max("cx2").alias("last"),
+    )
+    cells = bands.select(
+        zone, "cy", "band", F.explode(F.sequence("first", "last")).alias("cx")
+    )
+    touching = F.exists("band", lambda e: F.col("cx").between(e["cx1"], e["cx2"]))
+    reachable = F.filter("band", lambda e: e["cx2"] >= F.col("cx"))
+    marked = cells.select(
+        zone, "cx", "cy", touching.alias("touched"), reachable.alias("edges")
+    )
+    centre = [(F.col(c) + F.lit(0.5)) * cell for c in ("cx", "cy")]
+    centre_inside = _crossings(F.col("edges"), *centre) % 2 == 1
+    decided = marked.withColumn("inside", F.when(~F.col("touched"), centre_inside))
+    kept = decided.filter("touched OR inside")
+    return kept.select(
+        zone,
+        F.concat_ws("_", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("cell"),
+        "inside",
+        F.when(
+            F.col("touched"),
+            F.transform(
+                "edges",
+                lambda e: F.struct(
+                    e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2")
+                ),
+            ),
+        ).alias("edges"),
+    )
+
+
+def zone_join(
+    points: DataFrame,
+    zones: DataFrame,
+    key: str,
+    cell: float,
+    zone: str = "zone",
+    rings: str = "rings",
+    lat: str = "lat",
+    lon: str = "lon",
+) -> DataFrame:
+    """Zone that strictly contains each point, NULL for none; the lowest id of several.
+
+    A point on an outline, a hole's included, is in no zone. `key` is unique per point.
+    """
+    cells = zone_cells(zones, zone, rings, cell)
+    placed = points.filter(point(F.col(lon), F.col(lat)).isNotNull()).select(
+        key,
+        F.col(lon).alias("_x"),
+        F.col(lat).alias("_y"),
+        cell_key(F.col(lon), F.col(lat), cell).alias("cell"),
+    )
+    near = skew_join(placed, cells, "cell", "inner", spread=[key])
+    x, y = F.col("_x"), F.col("_y")
+    contained = (_crossings(F.col("edges"), x, y) % 2 == 1) & ~_on_edge(F.col("edges"), x, y)
+    hits = near.filter(F.coalesce("inside", contained))
+    found = hits.groupBy(key).agg(F.min(zone).alias(zone))
+    return points.join(found, key, "left")
+
+
+def assign_zones(
+    locations: DataFrame, zones: DataFrame, key: str, cell: float, zone: str = "zone"
+) -> DataFrame:
+    """Fill the zone of located rows that have none; a zone once set is kept."""
+    open_rows = locations.filter(F.col(zone).isNull() & F.col("lat").isNotNull())
+    fresh = zone_join(open_rows.select(key, "lat", "lon"), zones, key, cell).select(
+        key, F.col("zone").alias("_zone")
+    )
+    joined = locations.join(fresh, key, "left")
+    return joined.withColumn(zone, F.coalesce(zone, "_zone")).drop("_zone").select(*locations.columns)

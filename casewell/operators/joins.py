@@ -1,0 +1,147 @@
+"""Joins. Dimension joins carry no hint: Catalyst and AQE broadcast a side only when its
+estimated or measured size is under `spark.sql.autoBroadcastJoinThreshold`, and otherwise
+sort-merge, where AQE splits skewed partitions. Joins on content keys, where one text may
+hold a large share of all rows, go through `skew_join`."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from casewell.functions import text as tx
+
+# No more than this many keys can be treated as hot, so their list may be broadcast.
+MAX_HOT_KEYS = 1000
+HOT_ROWS = 200_000
+ROWS_PER_SALT = 100_000
+MAX_SALTS = 2048
+
+
+def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left equi join: facts keep their rows when the dimension has no match."""
+    return facts.join(dim, on, "left")
+
+
+def require(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Inner equi join: facts without a match are dropped."""
+    return facts.join(dim, on, "inner")
+
+
+def located(
+    facts: DataFrame, locations: DataFrame, attrs: DataFrame, location_key: str, fact_key: str
+) -> DataFrame:
+    """Facts that have both a location and attributes."""
+    return facts.join(locations, location_key).join(attrs, fact_key)
+
+
+def keep_all(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """All rows of `left`; the right side is NULL where it has none."""
+    return left.join(right, on, "left")
+
+
+def merge_indicator(volume: DataFrame, indicator: DataFrame, on: str) -> DataFrame:
+    """Groups present on both sides, all values as doubles."""
+    merged = volume.join(indicator, on)
+    return merged.select(*[F.col(c).cast("double").alias(c) for c in merged.columns])
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The most frequent keys with their number of salts; at most `MAX_HOT_KEYS` rows.
+
+    Keys outside the list hold at most 1/MAX_HOT_KEYS of all rows each.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    top = counts.filter(F.col("_rows") >= HOT_ROWS).orderBy(F.desc("_rows"), key).limit(MAX_HOT_KEYS)
+    salts = F.least(F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int"), F.lit(MAX_SALTS))
+    return top.select(key, salts.alias("_salts"))
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    spread: Sequence[str] | None = None,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Equi join (`left` or `inner`) on one key that may be very frequent on the left.
+
+    Rows of a hot key are spread over salts by the hash of their `spread` columns, and
+    only the hot rows of the right side are repeated, once per salt.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    spread = [c for c in (spread or left.columns) if c != key]
+    salts = F.coalesce("_salts", F.lit(1))
+    # Rows without a key match nothing, so they may lie anywhere.
+    left_salts = F.when(F.col(key).isNull(), MAX_SALTS).otherwise(salts)
+    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread), left_salts).cast("int")
+    )
+    salted_right = right.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), [key, "_salt"], how)
+    return joined.drop("_salt")
+
+
+def cache_misses(df: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
+    """Rows whose content key is not cached. Call it on distinct keys."""
+    return df.join(cache.select(key), key, "left_anti")
+
+
+def cache_apply(
+    df: DataFrame, cache: DataFrame, key: str, fallback: Column, name: str
+) -> DataFrame:
+    """Cached `value` of each row's key as `name`, or `fallback` where there is none."""
+    hits = cache.select(key, F.col("value").alias("_value"))
+    joined = skew_join(df, hits, key)
+    return joined.withColumn(name, F.coalesce("_value", fallback)).drop("_value")
+
+
+def apply_mapping(df: DataFrame, mapping: DataFrame, col: str, key: str = "key") -> DataFrame:
+    """Set `col` to the mapped value where the text matches; other rows keep theirs.
+
+    `mapping` has (`old`, `new`). Adds `changed`, true where the value differs.
+    """
+    keyed = df.withColumn(key, tx.content_key(F.col(col)))
+    lookup = mapping.select(tx.content_key(F.col("old")).alias(key), F.col("new").alias("_new"))
+    joined = skew_join(keyed, lookup, key)
+    replaced = F.coalesce("_new", col)
+    return (
+        joined.withColumn("changed", F.coalesce(replaced != F.col(col), F.lit(False)))
+        .withColumn(col, replaced)
+        .drop("_new", key)
+    )
+
+
+def pending(df: DataFrame, col: str) -> DataFrame:
+    """Rows that a former run left without a value."""
+    return df.filter(F.col(col).isNull())
+
+
+def resolvable(df: DataFrame, street: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """Rows fit for a lookup, and the skipped ones with the reason."""
+    no_street = F.coalesce(F.col(street) == "", F.lit(True))
+    no_number = F.coalesce(F.col(number) <= 0, F.lit(True))
+    reason = F.when(no_street, "no_street").when(no_number, "no_number")
+    marked = df.withColumn("reason", reason)
+    return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
+
+
+def present(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows with a value in every one of the columns."""
+    return df.dropna("any", subset=list(cols))
+
+
+def keep_values(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
+    return df.filter(F.col(col).isin(*values))
+
+
+def where_all(df: DataFrame, conditions: Mapping[str, bool]) -> DataFrame:
+    """Rows where each flag has the wanted value; a NULL flag counts as false."""
+    for name, wanted in conditions.items():
+        flag = F.coalesce(F.col(name), F.lit(False))
+        df = df.filter(flag if wanted else ~flag)
+    return df

@@ -1,0 +1,222 @@
+"""Resolvers: user functions over distinct, uncached values, with their answers kept in a
+keyed cache. A resolver may be called again for a value when a task is re-run."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from casewell import rules as R
+from casewell.functions import text as tx
+from casewell.functions import values as vl
+from casewell.operators.joins import cache_apply, cache_misses, resolvable
+from casewell.session import stage
+from casewell.sources.caches import POINT_CACHE, TEXT_CACHE, read_cache
+
+TextResolver = Callable[[pd.Series], pd.Series]
+PointResolver = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+TEXT_ANSWERS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("key", "text", "value")]
+)
+POINT_ANSWERS = POINT_CACHE
+
+
+@dataclass(frozen=True)
+class Options:
+    """Limits on the calls: values per call, calls at a time, pause after each call, and
+    the number of parts after each of which the cache is saved."""
+
+    batch: int = 1000
+    parallelism: int | None = None
+    pause: float = 0.0
+    parts: int = 1
+
+
+def _batches(frames: Iterator[pd.DataFrame], options: Options) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for start in range(0, len(frame), options.batch):
+            yield frame.iloc[start : start + options.batch]
+            if options.pause:
+                time.sleep(options.pause)
+
+
+def _call(resolver: Callable, values, failed):
+    """Answers for a batch; when it fails, its values are tried one by one."""
+    try:
+        return resolver(values)
+    except Exception:
+        if len(values) == 1:
+            return failed(values)
+        parts = [_call(resolver, values.iloc[i : i + 1], failed) for i in range(len(values))]
+        return pd.concat(parts)
+
+
+def _run(
+    todo: DataFrame, task: Callable, answer: T.StructType, keep: Column, cache: str, options: Options
+) -> None:
+    """Resolve `todo` and append the wanted answers to the cache, part by part.
+
+    The answers go straight to the cache, so the resolver is called once per value, and a
+    run that fails later finds the finished parts there.
+    """
+    if options.parts > 1:
+        todo = stage(todo, "pending")
+    for part in range(options.parts):
+        chunk = todo
+        if options.parts > 1:
+            chunk = todo.filter(F.pmod(F.xxhash64("key"), F.lit(options.parts)) == part)
+        if options.parallelism:
+            chunk = chunk.repartition(options.parallelism)
+        answers = chunk.mapInPandas(task, answer).filter(keep)
+        schema = POINT_CACHE if answer is POINT_ANSWERS else TEXT_CACHE
+        if schema is TEXT_CACHE:
+            # An answer without its quotes; no answer keeps the text.
+            value = F.coalesce(tx.unwrap_quotes(F.col("value")), F.col("text"))
+            answers = answers.withColumn("value", value)
+        answers.select(*schema.fieldNames()).write.mode("append").parquet(cache)
+
+
+def _pending_texts(keyed: DataFrame, col: str, cache: DataFrame, skip_mark: str | None) -> DataFrame:
+    """Distinct keyed texts without a cached answer, leaving out the ones marked as done."""
+    texts = keyed.select("key", F.col(col).alias("text")).filter("text IS NOT NULL")
+    if skip_mark:
+        texts = texts.filter(~tx.already_marked(F.col("text"), skip_mark))
+    return cache_misses(texts.distinct(), cache)
+
+
+def pending_texts(
+    df: DataFrame, col: str, cache: DataFrame, version: str | None = None, mark: str | None = None
+) -> DataFrame:
+    """`(key, text)` that a run would send to the resolver."""
+    keyed = df.withColumn("key", tx.content_key(F.col(col), version))
+    return _pending_texts(keyed, col, cache, mark)
+
+
+def _text_task(resolver: TextResolver, options: Options) -> Callable:
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _batches(frames, options):
+            texts = batch["text"]
+            answers = _call(resolver, texts, lambda v: pd.Series([None] * len(v), index=v.index))
+            yield pd.DataFrame(
+                {"key": batch["key"], "text": texts, "value": answers}
+            )
+
+    return task
+
+
+def resolve_text(
+    df: DataFrame,
+    col: str,
+    resolver: TextResolver,
+    cache: str,
+    options: Options = Options(),
+    mark: str = R.NAME_MARK,
+) -> tuple[DataFrame, DataFrame]:
+    """Replace texts by the resolver's answer, then apply the de-identification rules.
+
+    Only distinct texts that are neither cached nor already marked are resolved; a text
+    without an answer stays as it is. Returns the rows (with `changed`) and the cache.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("key", tx.content_key(F.col(col)))
+    todo = _pending_texts(keyed, col, read_cache(spark, cache, TEXT_CACHE), mark)
+    _run(todo, _text_task(resolver, options), TEXT_ANSWERS, F.lit(True), cache, options)
+    cached = read_cache(spark, cache, TEXT_CACHE)
+    resolved = cache_apply(keyed, cached, "key", F.col(col), "_resolved")
+    final = tx.deidentify(F.col("_resolved"))
+    rows = (
+        resolved.withColumn("_final", final)
+        .withColumn("changed", F.coalesce(F.col("_final") != F.col(col), F.lit(False)))
+        .withColumn(col, F.col("_final"))
+        .select(*df.columns, "changed")
+    )
+    return rows, cached
+
+
+def resolve_attributes(
+    df: DataFrame,
+    key: str,
+    col: str,
+    resolver: TextResolver,
+    cache: str,
+    default: Mapping[str, object],
+    run_ts: str,
+    model: str,
+    version: str = R.ATTRIBUTE_VERSION,
+    options: Options = Options(),
+) -> DataFrame:
+    """Attribute object (JSON text) of every row with a text, with its provenance.
+
+    The cache key holds the version, so a new version resolves every text anew. An answer
+    that is no JSON, or no answer, gives the default object.
+    """
+    import json
+
+    spark = df.sparkSession
+    fallback = F.lit(json.dumps(default, ensure_ascii=False))
+    keyed = df.select(key, col).filter(F.col(col).isNotNull())
+    keyed = keyed.withColumn("key", tx.content_key(F.col(col), version))
+    todo = _pending_texts(keyed, col, read_cache(spark, cache, TEXT_CACHE), None)
+    _run(todo, _text_task(resolver, options), TEXT_ANSWERS, F.lit(True), cache, options)
+    cached = read_cache(spark, cache, TEXT_CACHE)
+    valid = cached.withColumn(
+        "value", F.when(F.try_parse_json("value").isNotNull(), F.col("value"))
+    )
+    applied = cache_apply(keyed, valid, "key", fallback, "attributes").select(key, "attributes")
+    return vl.stamp(applied, run_ts, model=model, version=version)
+
+
+def resolve_points(
+    locations: DataFrame,
+    street: str,
+    number: str,
+    resolver: PointResolver,
+    cache: str,
+    source: str,
+    run_ts: str,
+    box: Mapping[str, tuple[float, float]] = R.CITY_BOX,
+    options: Options = Options(),
+) -> DataFrame:
+    """Coordinates of locations by street and number, with source and time where found.
+
+    The resolver answers `lat`, `lon` and a status: `ok`, `miss` (kept in the cache as
+    known) or `error` (not kept, so tried again next time). A point outside the box is
+    dropped when it is read, whether cached or new. Locations without a street or number
+    are not looked up.
+    """
+    spark = locations.sparkSession
+    fit, _ = resolvable(locations, street, number)
+    pair = tx.pair_key(F.col(street), F.col(number))
+    wanted = fit.select(pair.alias("key"), street, number).distinct()
+    todo = cache_misses(wanted, read_cache(spark, cache, POINT_CACHE))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def failed(values: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"lat": None, "lon": None, "status": "error"}, index=values.index)
+
+        for batch in _batches(frames, options):
+            answers = _call(resolver, batch[[street, number]], failed)
+            yield answers[["lat", "lon", "status"]].assign(key=batch["key"])[
+                ["key", "lat", "lon", "status"]
+            ].astype({"lat": "float64", "lon": "float64"})
+
+    _run(todo, task, POINT_ANSWERS, F.col("status") != "error", cache, options)
+    cached = read_cache(spark, cache, POINT_CACHE).filter(vl.in_box(F.col("lat"), F.col("lon"), box))
+    hits = cached.select("key", "lat", "lon")
+    fit_key = F.when((F.col(street) != "") & (F.col(number) > 0), pair)
+    found = locations.withColumn("key", fit_key).join(hits, "key", "left").drop("key")
+    located = F.col("lat").isNotNull()
+    return found.withColumns(
+        {
+            "source": F.when(located, F.lit(source)),
+            "located_at": F.when(located, F.lit(run_ts).cast("timestamp_ntz")),
+        }
+    )

@@ -1,0 +1,43 @@
+"""Keyed caches: Parquet folders that only ever gain keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from casewell.sources.sinks import table_exists
+
+TEXT_CACHE = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
+)
+POINT_CACHE = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("lat", T.DoubleType()),
+        T.StructField("lon", T.DoubleType()),
+        T.StructField("status", T.StringType()),
+    ]
+)
+
+
+def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The cache as a frame; an absent one is empty."""
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append_cache(entries: DataFrame, path: str, schema: T.StructType) -> None:
+    """Add the entries whose key is not cached yet; keys in the cache stay unique."""
+    names = schema.fieldNames()
+    cached = read_cache(entries.sparkSession, path, schema).select("key")
+    values = [n for n in names if n != "key"]
+    fresh = (
+        entries.select(*names)
+        .join(cached, "key", "left_anti")
+        .groupBy("key")
+        .agg(F.max(F.struct(*values)).alias("v"))
+        .select("key", "v.*")
+    )
+    fresh.write.mode("append").parquet(path)
