@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions.values import null_to_false
@@ -179,15 +179,11 @@ def conditional_rates(df: DataFrame, by: str, flag: str, given: str) -> DataFram
         (F.avg(_as_number(flag)) * 100).alias("rate"),
         (F.avg(F.when(null_to_false(F.col(given)), _as_number(flag))) * 100).alias("rate_given"),
     )
-    total = counts_total(grouped)
+    # The window sees one row per group.
+    total = F.sum("n").over(Window.partitionBy())
     return grouped.withColumn("share", F.col("n").cast("double") * 100 / total)
 
 
-def counts_total(grouped: DataFrame, n: str = "n") -> Column:
-    """Sum of the counts of a grouped frame, as a scalar subquery."""
-    return grouped.agg(F.sum(n).alias("total")).scalar()
-
-
 def rate_ranking(df: DataFrame, by: str, flag: str) -> DataFrame:
     """Groups by falling rate; equal rates come by size, then by group."""
     return rates(df, [by], [flag]).orderBy(F.desc(f"{flag}_rate"), F.desc("n"), by)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewell.functions.special import normal_two_sided
 from casewell.functions.values import any_of
+from casewell.session import stage
 
 # Hours at which each band of the day starts.
 DAY_BANDS = {0: "night", 6: "morning", 12: "afternoon", 18: "evening"}
@@ -45,8 +46,9 @@ def period_series(df: DataFrame, ts: str, unit: str = "month") -> DataFrame:
     found = period_counts(df, ts, unit)
     following = F.lead("period").over(Window.orderBy("period"))
     last = F.coalesce((following - _step(unit)).cast(found.schema["period"].dataType), "period")
-    filled = found.select(
-        "period", "n", F.explode(F.sequence(F.col("period"), last, _step(unit))).alias("p")
+    spans = found.withColumn("_last", last)
+    filled = spans.select(
+        "period", "n", F.explode(F.sequence("period", "_last", _step(unit))).alias("p")
     )
     return filled.select(
         F.col("p").alias("period"),
@@ -147,6 +149,8 @@ def mann_kendall(series: DataFrame, t: str, n: str) -> DataFrame:
     first at one bit, so per bit and common higher bits it is enough to count, in time
     order, how many zeros stood before each one and how many ones before each zero.
     """
+    # One row per period, staged because it is read for the ranks and for the ties.
+    series = stage(series.select(t, n), "series")
     ranked = series.select(
         F.col(t).alias("_t"), (F.dense_rank().over(Window.orderBy(n)) - 1).alias("_r")
     )
@@ -189,6 +193,8 @@ def poisson_trend(series: DataFrame, n: str = "n", order: str = "period") -> Dat
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
+    # One row per period, staged because every iteration of the fit reads it.
+    series = stage(series.select(order, n), "series")
     place = F.row_number().over(Window.orderBy(order)).cast("double")
     frame = series.select(F.col(n).cast("double").alias("label"), place.alias("t"))
     vectors = VectorAssembler(inputCols=["t"], outputCol="features").transform(frame)

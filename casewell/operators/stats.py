@@ -12,6 +12,7 @@ from casewell.functions.special import chi_square_p, fisher_p, student_p
 from casewell.functions.text import matches_any_case
 from casewell.functions.values import null_to_false
 from casewell.operators.keys import positioned
+from casewell.session import stage
 
 Z95 = 1.959963984540054
 
@@ -121,17 +122,21 @@ def logistic_or(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     typed = df.select(
-        null_to_false(F.col(outcome)).cast("int").cast("double").alias("_y"),
+        null_to_false(F.col(outcome)).cast("int").cast("double").alias("modelled_outcome"),
         *[F.col(t).cast("string").alias(t) for t in terms],
     ).dropna()
-    counted = typed.groupBy("_y", *terms).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    counts = typed.groupBy("modelled_outcome", *terms).agg(
+        F.count(F.lit(1)).cast("double").alias("modelled_rows")
+    )
+    # Staged, since every iteration of the fit reads it.
+    counted = stage(counts, "levels")
     # The last level is dropped; in falling order that is the first one.
     formula = RFormula(
-        formula="_y ~ " + " + ".join(terms), stringIndexerOrderType="alphabetDesc"
+        formula="modelled_outcome ~ " + " + ".join(terms), stringIndexerOrderType="alphabetDesc"
     ).fit(counted)
     design = formula.transform(counted)
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="_w", maxIter=50, tol=1e-10
+        family="binomial", link="logit", weightCol="modelled_rows", maxIter=50, tol=1e-10
     ).fit(design)
     fit = model.summary
     names = [

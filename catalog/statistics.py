@@ -1 +1,232 @@
-"""Queries."""
+"""Queries of association statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casewell.operators import series as S
+from casewell.operators import stats as G
+from casewell.operators.joins import merge_indicator
+from casewell.operators.rates import linear_fit as fit_line
+from catalog.registry import Tables, query
+from catalog.reports import EVENTS_SQL, flagged_events, monthly_sql
+from catalog.texts import EN_MARKER, ES_MARKER
+
+
+def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+FACTORS = {
+    "is_open": "l_linestatus = 'O'",
+    "discounted": "l_discount > 0.05",
+    "large": "l_quantity > 30",
+}
+Z = "1.959963984540054::DOUBLE"
+
+
+def lines_with_factors(t: Tables) -> DataFrame:
+    return t.lineitem.select(
+        (F.col("l_returnflag") == "R").alias("returned"),
+        *[F.expr(condition).alias(name) for name, condition in FACTORS.items()],
+    )
+
+
+# Exact p: hypergeometric probabilities of all tables with the same margins.
+FISHER = """
+SELECT factor, sum(exp(lp)) FILTER (lp <= own + 1e-7) AS p_value FROM (
+  SELECT factor, k, own, lgamma(a+b+1) - lgamma(k+1) - lgamma(a+b-k+1) + lgamma(c+d+1)
+         - lgamma(a+c-k+1) - lgamma(c+d-a-c+k+1) - (lgamma(a+b+c+d+1) - lgamma(a+c+1) - lgamma(b+d+1)) AS lp
+  FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k,
+          lgamma(a+b+1) - lgamma(a+1) - lgamma(b+1) + lgamma(c+d+1) - lgamma(c+1) - lgamma(d+1)
+          - (lgamma(a+b+c+d+1) - lgamma(a+c+1) - lgamma(b+d+1)) AS own FROM x))
+GROUP BY factor"""
+
+
+@query(f"""
+WITH x AS ({" UNION ALL ".join(f'''
+  SELECT '{name}' AS factor, count(*) FILTER (({c}) AND l_returnflag = 'R') AS a,
+         count(*) FILTER (({c}) AND l_returnflag <> 'R') AS b,
+         count(*) FILTER (NOT ({c}) AND l_returnflag = 'R') AS c,
+         count(*) FILTER (NOT ({c}) AND l_returnflag <> 'R') AS d FROM lineitem'''
+    for name, c in FACTORS.items())}),
+ p AS ({FISHER}),
+ r AS (SELECT *, CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c) AS o,
+              sqrt(1.0::DOUBLE / a + 1.0::DOUBLE / b + 1.0::DOUBLE / c + 1.0::DOUBLE / d) AS e FROM x)
+SELECT factor, a, b, c, d, CAST(a AS DOUBLE) * 100 / (a + b) AS rate, round(o, 9) AS odds_ratio,
+       round(exp(ln(o) - {Z} * e), 9) AS ci_low, round(exp(ln(o) + {Z} * e), 9) AS ci_high,
+       round(p_value, 6) AS p_value
+FROM r JOIN p USING (factor)""")
+def odds_ratios(t: Tables) -> DataFrame:
+    table = G.odds_ratios(lines_with_factors(t), "returned", list(FACTORS))
+    return rounded(rounded(table, 9, "odds_ratio", "ci_low", "ci_high"), 6, "p_value")
+
+
+@query("""
+WITH c AS (SELECT event_type AS a, dayofweek(ts) AS b, count(*) AS n FROM events GROUP BY ALL),
+     s AS (SELECT n, a, b, CAST(n AS DOUBLE) * n / sum(n) OVER (PARTITION BY a)
+                           / sum(n) OVER (PARTITION BY b) AS share FROM c),
+     g AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(n) * (sum(share) - 1) AS x,
+                  (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS f FROM s)
+SELECT n, round(x, 6) AS statistic, f AS freedom, round(exp(-x / 2) * list_sum(list_transform(
+         range(0, CAST(f / 2 AS BIGINT)), lambda k: exp(k * ln(x / 2) - lgamma(k + 1)))), 6) AS p_value
+FROM g""")
+def chi_square(t: Tables) -> DataFrame:
+    rows = t.events.select("event_type", F.dayofweek("ts").alias("day"))
+    return rounded(G.chi_square(rows, "event_type", "day"), 6, "statistic", "p_value")
+
+
+# With one categorical term the fit reproduces the level odds, so SQL can state it.
+@query(f"""
+WITH l AS (SELECT event_type, count(*) FILTER (high_k) AS y, count(*) FILTER (NOT high_k) AS z
+           FROM {EVENTS_SQL} GROUP BY 1),
+     r AS (SELECT y AS y0, z AS z0 FROM l WHERE event_type = 'click'),
+     d AS (SELECT sum(y * ln(y / (y + z)) + z * ln(z / (y + z))) AS fit, sum(y) AS sy, sum(z) AS sz FROM l),
+     q AS (SELECT 1 - fit / (sy * ln(sy / (sy + sz)) + sz * ln(sz / (sy + sz))) AS r2 FROM d),
+     o AS (SELECT 'event_type_' || event_type AS term, ln((y / z) / (y0 / z0)) AS b,
+                  sqrt(1 / y + 1 / z + 1 / y0 + 1 / z0) AS e FROM l, r WHERE event_type <> 'click'
+           UNION ALL SELECT '(intercept)', ln(y0 / z0), sqrt(1 / y0 + 1 / z0) FROM r)
+SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * e), 6) AS ci_low,
+       round(exp(b + {Z} * e), 6) AS ci_high, round(r2, 6) AS pseudo_r2
+FROM o, q""")
+def logistic_or(t: Tables) -> DataFrame:
+    fit = G.logistic_or(flagged_events(t), "high_k", ["event_type"]).drop("p_value")
+    return rounded(fit, 6, "odds_ratio", "ci_low", "ci_high", "pseudo_r2")
+
+
+@query()
+def logistic_adjusted(t: Tables) -> DataFrame:
+    rows = lines_with_factors(t)
+    return G.logistic_or(rows, "returned", list(FACTORS))
+
+
+INDICATOR_SQL = """
+WITH v AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1),
+     i AS (SELECT s_nationkey AS nation, avg(s_acctbal) AS indicator FROM supplier GROUP BY 1),
+     m AS (SELECT CAST(nation AS DOUBLE) AS nation, CAST(n AS DOUBLE) AS n, indicator
+           FROM v JOIN i USING (nation))"""
+
+
+def indicator_frame(t: Tables) -> DataFrame:
+    volume = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+    indicator = t.supplier.groupBy(F.col("s_nationkey").alias("nation")).agg(
+        F.avg("s_acctbal").alias("indicator")
+    )
+    return merge_indicator(volume, indicator, "nation")
+
+
+@query(f"""{INDICATOR_SQL}
+SELECT 'all' AS subset, count(*) AS n, round(corr(n, indicator), 9) AS r,
+       round(regr_slope(n, indicator), 9) AS slope, round(regr_intercept(n, indicator), 6) AS intercept
+FROM m
+UNION ALL
+SELECT 'without the first', count(*), round(corr(n, indicator), 9),
+       round(regr_slope(n, indicator), 9), round(regr_intercept(n, indicator), 6)
+FROM m WHERE nation <> 0""")
+def indicator_corr(t: Tables) -> DataFrame:
+    found = G.pearson(
+        indicator_frame(t), "indicator", "n", {"without the first": F.col("nation") == 0}
+    ).drop("p_value")
+    return rounded(rounded(found, 9, "r", "slope"), 6, "intercept")
+
+
+@query("""
+SELECT round(regr_slope(o_totalprice, o_custkey), 6) AS slope,
+       round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept FROM orders""")
+def linear_fit(t: Tables) -> DataFrame:
+    fit = fit_line(t.orders, "o_custkey", "o_totalprice")
+    return rounded(rounded(fit, 6, "slope"), 3, "intercept")
+
+
+CONTRA = """(SELECT CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS f,
+                    CASE WHEN o_totalprice > 300000 THEN 'x' END AS v FROM orders)"""
+
+
+@query(f"""
+SELECT count(*) FILTER (NOT f AND v IS NOT NULL) AS false_with_value,
+       count(*) FILTER (f AND v IS NULL) AS true_without_value,
+       count(*) FILTER (f IS NULL AND v IS NOT NULL) AS unknown_with_value, count(*) AS n
+FROM {CONTRA}""")
+def contradictions(t: Tables) -> DataFrame:
+    status = F.col("o_orderstatus")
+    rows = t.orders.select(
+        F.when(status == "F", True).when(status == "O", False).alias("f"),
+        F.when(F.col("o_totalprice") > 300000, "x").alias("v"),
+    )
+    return G.contradictions(rows, "f", "v")
+
+
+@query(f"""
+WITH m AS (SELECT coalesce(nullif(lang, 'fr'), 'unknown') AS a,
+                  regexp_matches(text, '(?i){EN_MARKER}') AS x,
+                  regexp_matches(text, '(?i){ES_MARKER}') AS y FROM documents),
+     c AS (SELECT a, CASE WHEN x AND NOT y THEN 'en' WHEN y AND NOT x THEN 'es' ELSE 'unknown' END AS b
+           FROM m)
+SELECT count(*) FILTER (a <> 'unknown' AND b <> 'unknown') AS both_decided,
+       CAST(count(*) FILTER (a <> 'unknown' AND b <> 'unknown' AND a = b) AS DOUBLE) * 100
+         / count(*) FILTER (a <> 'unknown' AND b <> 'unknown') AS agreement,
+       CAST(count(*) FILTER (a = 'unknown') AS DOUBLE) * 100 / count(*) AS undecided_before,
+       CAST(count(*) FILTER (a = 'unknown' AND b = 'unknown') AS DOUBLE) * 100 / count(*)
+         AS undecided_after
+FROM c""")
+def agreement(t: Tables) -> DataFrame:
+    from casewell.functions.text import marker_class
+
+    markers = {"en": EN_MARKER, "es": ES_MARKER}
+    found = marker_class(F.col("text"), F.lit(None).cast("string"), markers, "unknown")
+    rows = t.documents.select(F.nullif(F.col("lang"), F.lit("fr")).alias("a"), found.alias("b"))
+    return G.agreement(rows, "a", "b", "unknown")
+
+
+WORDS = {"the": EN_MARKER, "tion": "TION", "number": "[0-9]{7,}", "never": "QQQZZZ"}
+
+
+@query(" UNION ALL ".join(f"""
+SELECT '{word}' AS keyword, count(*) FILTER (regexp_matches(text, '(?i){pattern}')) AS n,
+       CAST(count(*) FILTER (regexp_matches(text, '(?i){pattern}')) AS DOUBLE) * 100 / count(text)
+         AS share FROM documents""" for word, pattern in WORDS.items()))
+def keyword_counts(t: Tables) -> DataFrame:
+    return G.keyword_counts(t.documents, "text", WORDS)
+
+
+# Goodness-of-fit tests with 4 degrees of freedom, whose p is exp(-x/2) * (1 + x/2).
+USER_TESTS = """
+WITH t AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+     x AS (SELECT user_id, 5.0::DOUBLE * CAST(sum(n * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE)
+                           - CAST(sum(n) AS DOUBLE) AS x FROM t GROUP BY 1),
+     p AS (SELECT user_id, round(exp(-x / 2) * (1 + x / 2), 9) AS p FROM x)"""
+
+
+def user_tests(t: Tables) -> DataFrame:
+    kinds = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    squares = F.sum(F.col("n") * F.col("n")).cast("double")
+    total = F.sum("n").cast("double")
+    x = kinds.groupBy("user_id").agg((squares * 5 / total - total).alias("x"))
+    p = F.exp(-F.col("x") / 2) * (1 + F.col("x") / 2)
+    return x.select("user_id", F.round(p, 9).alias("p"))
+
+
+@query(f"""{USER_TESTS},
+     r AS (SELECT *, row_number() OVER (ORDER BY p, user_id) AS k, count(*) OVER () AS m FROM p)
+SELECT user_id, p, least(1, min(p * m / k) OVER (ORDER BY k DESC)) AS p_adjusted FROM r""")
+def fdr(t: Tables) -> DataFrame:
+    return G.fdr(user_tests(t), "p", ["user_id"])
+
+
+@query(f"""
+WITH s AS ({monthly_sql("orders")}), w AS (SELECT m AS t, n FROM s),
+     z AS (SELECT CAST(sum(sign(b.n - a.n)) AS BIGINT) AS s FROM w a JOIN w b ON a.t < b.t),
+     g AS (SELECT n, count(*) AS g FROM w GROUP BY 1),
+     v AS (SELECT CAST(sum(g) AS BIGINT) AS periods,
+                  (CAST(sum(g) AS DOUBLE) * (sum(g) - 1) * (2 * sum(g) + 5)
+                   - CAST(sum(g * (g - 1) * (2 * g + 5)) AS DOUBLE)) / 18 AS variance FROM g)
+SELECT periods, s, variance, round((s - sign(s)) / sqrt(variance), 9) AS z FROM v, z""")
+def trend(t: Tables) -> DataFrame:
+    series = S.period_series(t.orders, "o_orderdate", "month")
+    return rounded(S.mann_kendall(series, "period", "n").drop("p_value"), 9, "z")
+
+
+@query()
+def poisson_trend(t: Tables) -> DataFrame:
+    return S.poisson_trend(S.period_series(t.orders, "o_orderdate", "month"))
