@@ -45,33 +45,43 @@ def long_number_pattern(min_digits: int = R.MIN_DIGITS) -> str:
 
 def deidentify_rules(min_digits: int = R.MIN_DIGITS) -> list[Rule]:
     return [
-        Rule("reference_id", R.REFERENCE_ID, ""),
+        Rule("reference_id", R.REFERENCE_ID, "", "remoto"),
         Rule("badge", R.BADGE_NUMBER, R.BADGE_MARK),
         Rule("long_number", long_number_pattern(min_digits), R.NUMBER_MARK),
         Rule("blank_run", R.BLANK_RUN, " "),
     ]
 
 
+def _possible(col: Column, rule: Rule) -> Column | None:
+    return F.contains(F.lower(col), F.lit(rule.needs)) if rule.needs else None
+
+
+def replace_rule(col: Column, rule: Rule) -> Column:
+    replaced = F.regexp_replace(col, rule.pattern, rule.replacement)
+    possible = _possible(col, rule)
+    return replaced if possible is None else F.when(possible, replaced).otherwise(col)
+
+
 def drop_reference_ids(col: Column) -> Column:
-    return F.regexp_replace(col, R.REFERENCE_ID, "")
+    return replace_rule(col, deidentify_rules()[0])
 
 
 def mask_badges(col: Column) -> Column:
-    return F.regexp_replace(col, R.BADGE_NUMBER, R.BADGE_MARK)
+    return replace_rule(col, deidentify_rules()[1])
 
 
 def mask_long_numbers(col: Column, min_digits: int = R.MIN_DIGITS) -> Column:
-    return F.regexp_replace(col, long_number_pattern(min_digits), R.NUMBER_MARK)
+    return replace_rule(col, deidentify_rules(min_digits)[2])
 
 
 def squeeze(col: Column) -> Column:
-    return strip(F.regexp_replace(col, R.BLANK_RUN, " "))
+    return strip(replace_rule(col, deidentify_rules()[3]))
 
 
 def deidentify(col: Column, min_digits: int = R.MIN_DIGITS) -> Column:
     """All de-identification rules in their fixed order; NULL and '' pass through."""
     for rule in deidentify_rules(min_digits):
-        col = F.regexp_replace(col, rule.pattern, rule.replacement)
+        col = replace_rule(col, rule)
     return strip(col)
 
 
@@ -79,11 +89,17 @@ def apply_rules(df: DataFrame, col: str, rules: Sequence[Rule], prefix: str = "h
     """Apply an ordered rule table to `col` and count the hits of each rule.
 
     Each rule sees the text left by the rules before it; every step is its own
-    projection, so no replacement is evaluated twice.
+    projection, so nothing is evaluated twice, and only texts with a hit are rewritten.
     """
     for rule in rules:
-        df = df.withColumn(f"{prefix}{rule.name}", F.regexp_count(col, F.lit(rule.pattern)))
-        df = df.withColumn(col, F.regexp_replace(col, rule.pattern, rule.replacement))
+        text, hits = F.col(col), f"{prefix}{rule.name}"
+        found = F.regexp_count(text, F.lit(rule.pattern))
+        possible = _possible(text, rule)
+        if possible is not None:
+            found = F.when(possible, found).when(text.isNotNull(), 0)
+        df = df.withColumn(hits, found)
+        replaced = F.regexp_replace(text, rule.pattern, rule.replacement)
+        df = df.withColumn(col, F.when(F.col(hits) > 0, replaced).otherwise(text))
     return df.withColumn(col, strip(F.col(col)))
 
 
@@ -128,12 +144,9 @@ def marker_class(
     """
     (a, a_pattern), (b, b_pattern) = markers.items()
     has_a, has_b = matches_any_case(text, a_pattern), matches_any_case(text, b_pattern)
-    return (
-        F.when(override.isin(a, b), override)
-        .when(has_a & ~has_b, a)
-        .when(has_b & ~has_a, b)
-        .otherwise(default)
-    )
+    # Nested, so that each pattern is searched once.
+    marked = F.when(has_a, F.when(has_b, default).otherwise(a)).when(has_b, b)
+    return F.when(override.isin(a, b), override).otherwise(F.coalesce(marked, F.lit(default)))
 
 
 def has_prefix(col: Column, codes: str, after: str = " ") -> Column:

@@ -45,6 +45,11 @@ def json_field(col: Column, path: str, dtype: str = "string") -> Column:
     return text if dtype == "string" else text.try_cast(dtype)
 
 
+def json_texts(col: str, fields: Sequence[str]) -> Column:
+    """Several fields of a JSON text as a struct of texts, from one parse."""
+    return F.from_json(col, T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+
+
 def parse_or_default(col: Column, schema: T.StructType, default: Mapping[str, object]) -> Column:
     """Object from JSON text; the default object when the text is not JSON."""
     fallback = F.struct(

@@ -34,12 +34,14 @@ def flat_view(incidents: DataFrame, locations: DataFrame, attributes: DataFrame)
         vl.flag_or_present(F.col("traslado"), F.col("destino_traslado")).alias("trasladado"),
     )
     places = locations.select(F.col("id").alias("ubicacion_id"), "lat", "lon", "comuna")
-    notes = attributes.select(F.col("intervencion_id").alias("id"), "atributos")
+    fields = ["sexo", *R.VIEW_CATEGORIES, *R.VIEW_FLAGS]
+    notes = attributes.select(
+        F.col("intervencion_id").alias("id"), vl.json_texts("atributos", fields).alias("a")
+    )
     joined = attach(attach(derived, places, "ubicacion_id"), notes, "id")
-    notes_of = F.col("atributos")
     sex = tx.marker_class(
         motivo,
-        vl.json_field(notes_of, "$.sexo"),
+        F.col("a.sexo"),
         {"F": R.FEMALE_MARKERS, "M": R.MALE_MARKERS},
         R.CATEGORIES["sexo"][0],
     )
@@ -52,18 +54,21 @@ def flat_view(incidents: DataFrame, locations: DataFrame, attributes: DataFrame)
         "lon",
         "comuna",
         sex.alias("sexo"),
-        *[vl.json_field(notes_of, f"$.{c}").alias(c) for c in R.VIEW_CATEGORIES],
-        *[vl.json_field(notes_of, f"$.{b}", "boolean").alias(b) for b in R.VIEW_FLAGS],
+        *[F.col(f"a.{c}") for c in R.VIEW_CATEGORIES],
+        *[F.col(f"a.{b}").try_cast("boolean").alias(b) for b in R.VIEW_FLAGS],
     )
 
 
 def analysis_frame(view: DataFrame, attributes: DataFrame, flags: dict[str, str]) -> DataFrame:
     """View rows that have attributes, with further flags (`alias -> attribute`) read from
     them, NULL flags as false, and the severity flag `rojo`."""
-    notes = attributes.select(F.col("intervencion_id").alias("id"), "atributos")
+    notes = attributes.select(
+        F.col("intervencion_id").alias("id"),
+        vl.json_texts("atributos", list(flags.values())).alias("_notes"),
+    )
     rows = view.join(notes, "id")
     read = {
-        alias: vl.null_to_false(vl.json_field(F.col("atributos"), f"$.{name}", "boolean"))
+        alias: vl.null_to_false(F.col(f"_notes.{name}").try_cast("boolean"))
         for alias, name in flags.items()
     }
     return rows.withColumns(
@@ -75,4 +80,4 @@ def analysis_frame(view: DataFrame, attributes: DataFrame, flags: dict[str, str]
                 F.col("diagnostico"), R.DIAGNOSIS_GROUPS, R.DIAGNOSIS_DEFAULT
             ),
         }
-    ).drop("atributos")
+    ).drop("_notes")

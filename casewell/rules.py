@@ -9,9 +9,13 @@ from typing import NamedTuple
 
 
 class Rule(NamedTuple):
+    """A replacement. `needs` is lower-case text that every match holds, if there is one:
+    a plain search for it spares most texts the pattern."""
+
     name: str
     pattern: str
     replacement: str
+    needs: str | None = None
 
 
 # --- Fixed values: page tables -------------------------------------------------------
@@ -41,7 +45,7 @@ WHITESPACE = (
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 NON_SPACE = r"(?U)[^\s\x1c-\x1f]"
 REFERENCE_ID = r"(?iU)\[?[\s\x1c-\x1f]*id\.?[\s\x1c-\x1f]*remoto[\s\x1c-\x1f]*:?[\s\x1c-\x1f]*[\d.\-]*\]?"
-BADGE_NUMBER = r"(?iU)\b(?:L\.?[\s\x1c-\x1f]?P\.?|LEGAJO)[\s\x1c-\x1f]*\d+"
+BADGE_NUMBER = r"(?=[lL])(?iU)\b(?:L\.?[\s\x1c-\x1f]?P\.?|LEGAJO)[\s\x1c-\x1f]*\d+"
 BLANK_RUN = r"[ \t]{2,}"
 MIN_DIGITS = 7
 BADGE_MARK = "[LP]"

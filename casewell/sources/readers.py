@@ -19,6 +19,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, for costly expressions on few or unsplittable files.
+
+    A scan that already has a partition per core, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewell.sources.readers import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,6 +24,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, *cols: str) -> DataFrame:
+        """Columns of the documents, spread over the cores for costly expressions."""
+        return spread(self.documents.select(*cols))
+
 
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of `Tables` under its own name, with its SQL text."""

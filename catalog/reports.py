@@ -179,7 +179,7 @@ SELECT count(*) AS n, count(DISTINCT a) AS distinct_texts, count(*) FILTER (a <>
        count(*) FILTER (a = b) AS unchanged, count(*) FILTER (b = '') AS failed
 FROM r""")
 def run_report(t: Tables) -> DataFrame:
-    rows = tagged(t.documents).withColumn("after", tx.deidentify(F.col("text")))
+    rows = tagged(t.texts("doc_id", "text", "n_chars")).withColumn("after", tx.deidentify(F.col("text")))
     return A.run_report(rows, "text", "after", F.col("after") == "")
 
 

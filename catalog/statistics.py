@@ -175,7 +175,7 @@ def agreement(t: Tables) -> DataFrame:
 
     markers = {"en": EN_MARKER, "es": ES_MARKER}
     found = marker_class(F.col("text"), F.lit(None).cast("string"), markers, "unknown")
-    rows = t.documents.select(F.nullif(F.col("lang"), F.lit("fr")).alias("a"), found.alias("b"))
+    rows = t.texts("lang", "text").select(F.nullif(F.col("lang"), F.lit("fr")).alias("a"), found.alias("b"))
     return G.agreement(rows, "a", "b", "unknown")
 
 
@@ -187,7 +187,7 @@ SELECT '{word}' AS keyword, count(*) FILTER (regexp_matches(text, '(?i){pattern}
        CAST(count(*) FILTER (regexp_matches(text, '(?i){pattern}')) AS DOUBLE) * 100 / count(text)
          AS share FROM documents""" for word, pattern in WORDS.items()))
 def keyword_counts(t: Tables) -> DataFrame:
-    return G.keyword_counts(t.documents, "text", WORDS)
+    return G.keyword_counts(t.texts("text"), "text", WORDS)
 
 
 # Goodness-of-fit tests with 4 degrees of freedom, whose p is exp(-x/2) * (1 + x/2).

@@ -41,7 +41,7 @@ def tagged(documents: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, {CLEAN_SQL} AS clean FROM documents")
 def clean_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+    return t.texts("doc_id", "text").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
 
 
 @query(f"""
@@ -53,7 +53,7 @@ SELECT doc_id,
 FROM firsts""")
 def noise_rows(t: Tables) -> DataFrame:
     cells = F.split("text", "\n")
-    return t.documents.select("doc_id", tx.is_noise_row(cells, "the", "on").alias("noise"))
+    return t.texts("doc_id", "text").select("doc_id", tx.is_noise_row(cells, "the", "on").alias("noise"))
 
 
 @query("""
@@ -66,7 +66,7 @@ def parse_yes_no(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id, {deidentify_sql(TAGGED_SQL)} AS redacted FROM documents")
 def redact_rules(t: Tables) -> DataFrame:
-    return tagged(t.documents).select("doc_id", tx.deidentify(F.col("text")).alias("redacted"))
+    return tagged(t.texts("doc_id", "text", "n_chars")).select("doc_id", tx.deidentify(F.col("text")).alias("redacted"))
 
 
 @query(f"""
@@ -83,7 +83,7 @@ SELECT doc_id, CAST(h1 AS INTEGER) AS hits_reference_id, CAST(h2 AS INTEGER) AS
        sha256({strip_sql("regexp_replace(t4, '[ \\t]{2,}', ' ', 'g')")}) AS text_key
 FROM d""")
 def redaction_hits(t: Tables) -> DataFrame:
-    applied = tx.apply_rules(tagged(t.documents), "text", tx.deidentify_rules())
+    applied = tx.apply_rules(tagged(t.texts("doc_id", "text", "n_chars")), "text", tx.deidentify_rules())
     hits = [f"hits_{r.name}" for r in tx.deidentify_rules()]
     return applied.select("doc_id", *hits, tx.content_key(F.col("text")).alias("text_key"))
 
@@ -133,7 +133,7 @@ def marker_class(t: Tables) -> DataFrame:
     override = F.nullif(F.col("lang"), F.lit("fr"))
     markers = {"de": EN_MARKER, "es": ES_MARKER}
     found = tx.marker_class(F.col("text"), override, markers, "unknown")
-    return t.documents.select("doc_id", found.alias("class"))
+    return t.texts("doc_id", "text", "lang").select("doc_id", found.alias("class"))
 
 
 @query("""
@@ -230,4 +230,4 @@ FROM j GROUP BY source"""
 @query(REDACTION_SQL)
 def redaction_by_source(t: Tables) -> DataFrame:
     marks = t.labels.select("doc_id", (F.col("toxic") == 1).alias("flagged"))
-    return redaction_by_group(t.documents, marks, "doc_id", "text", "source")
+    return redaction_by_group(t.texts("doc_id", "text", "source"), marks, "doc_id", "text", "source")
