@@ -115,8 +115,9 @@ def pearson(
 def logistic_or(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:
     """Logistic regression of a flag on categorical terms, first level as reference.
 
-    The fit runs on counts per combination of levels, used as weights: the same
-    estimates and errors as on the rows, from a frame whose size the levels bound.
+    The fit runs on the share of true per combination of levels, weighted by its rows: the
+    same estimates and errors as on the rows, from a frame whose size the levels bound.
+    Pseudo-R2 is McFadden's, of the rows.
     """
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
@@ -125,11 +126,12 @@ def logistic_or(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:
         null_to_false(F.col(outcome)).cast("int").cast("double").alias("modelled_outcome"),
         *[F.col(t).cast("string").alias(t) for t in terms],
     ).dropna()
-    counts = typed.groupBy("modelled_outcome", *terms).agg(
-        F.count(F.lit(1)).cast("double").alias("modelled_rows")
+    shares = typed.groupBy(*terms).agg(
+        F.avg("modelled_outcome").alias("modelled_outcome"),
+        F.count(F.lit(1)).cast("double").alias("modelled_rows"),
     )
     # Staged, since every iteration of the fit reads it.
-    counted = stage(counts, "levels")
+    counted = stage(shares, "levels")
     # The last level is dropped; in falling order that is the first one.
     formula = RFormula(
         formula="modelled_outcome ~ " + " + ".join(terms), stringIndexerOrderType="alphabetDesc"
@@ -144,7 +146,14 @@ def logistic_or(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:
         for group in design.schema["features"].metadata["ml_attr"]["attrs"].values()
         for attr in sorted(group, key=lambda g: g["idx"])
     ]
-    pseudo_r2 = 1 - fit.deviance / fit.nullDeviance
+    # Deviances are measured from the log likelihood of the shares themselves.
+    share = F.col("modelled_outcome")
+    own = F.when(
+        (share > 0) & (share < 1), share * F.log(share) + (1 - share) * F.log(1 - share)
+    ).otherwise(0.0)
+    saturated = counted.agg(F.sum(own * F.col("modelled_rows"))).first()[0]
+    null = saturated - fit.nullDeviance / 2
+    pseudo_r2 = 1 - (saturated - fit.deviance / 2) / null if null else None
     rows = [
         (name, float(beta), float(error), float(p), pseudo_r2)
         for name, beta, error, p in zip(

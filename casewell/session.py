@@ -28,14 +28,14 @@ def build_session(app: str = "casewell", master: str | None = None, **conf: str)
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="casewell-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="casewell-"))
+    return context.getCheckpointDir()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
