@@ -4,7 +4,8 @@ Every zone is cut into the grid cells that its parts touch. Of a zone, a cell ke
 the edges that a ray to the right from some point of the cell can meet; that is all a
 crossing count needs. A cell that no edge crosses lies fully inside or outside, so it
 keeps a verdict and no edges. A point then meets the few zones of its own cell, and the
-rest is one expression per row: no pair of point and edge is ever built.
+rest is one expression per row: no pair of point and edge, or of point and zone, is ever
+built. What a cell holds is bounded by the zones over one place, not by the points.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casewell.functions.values import point
 from casewell.operators.joins import skew_join
+from casewell.session import stage
 
 
 def cell_key(x: Column, y: Column, cell: float) -> Column:
@@ -125,21 +127,25 @@ def zone_join(
 ) -> DataFrame:
     """Zone that strictly contains each point, NULL for none; the lowest id of several.
 
-    A point on an outline, a hole's included, is in no zone. `key` is unique per point.
+    A point on an outline, a hole's included, is in no zone. The points meet the cells in
+    one join; `key` only tells rows of one crowded cell apart when they must be spread.
     """
-    cells = zone_cells(zones, zone, rings, cell)
-    placed = points.filter(point(F.col(lon), F.col(lat)).isNotNull()).select(
-        key,
-        F.col(lon).alias("_x"),
-        F.col(lat).alias("_y"),
-        cell_key(F.col(lon), F.col(lat), cell).alias("cell"),
+    x, y = F.col(lon), F.col(lat)
+    placed = points.withColumn("_cell", F.when(point(x, y).isNotNull(), cell_key(x, y, cell)))
+    # Staged: small, of a size the planner then knows, and not computed again.
+    cells = zone_cells(zones, zone, rings, cell).groupBy(F.col("cell").alias("_cell"))
+    per_cell = stage(
+        cells.agg(F.collect_list(F.struct(zone, "inside", "edges")).alias("_zones")), "cells"
     )
-    near = skew_join(placed, cells, "cell", "inner", spread=[key])
-    x, y = F.col("_x"), F.col("_y")
-    contained = (_crossings(F.col("edges"), x, y) % 2 == 1) & ~_on_edge(F.col("edges"), x, y)
-    hits = near.filter(F.coalesce("inside", contained))
-    found = hits.groupBy(key).agg(F.min(zone).alias(zone))
-    return points.join(found, key, "left")
+    near = skew_join(placed, per_cell, "_cell", "left", spread=[key])
+
+    def contains(z: Column) -> Column:
+        edges = z["edges"]
+        decided = (_crossings(edges, x, y) % 2 == 1) & ~_on_edge(edges, x, y)
+        return F.coalesce(z["inside"], decided)
+
+    found = F.array_min(F.transform(F.filter("_zones", contains), lambda z: z[zone]))
+    return near.select(*points.columns, found.alias(zone))
 
 
 def assign_zones(

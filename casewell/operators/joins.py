@@ -58,6 +58,16 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return top.select(key, salts.alias("_salts"))
 
 
+def broadcast_sized(df: DataFrame) -> bool:
+    """Whether the planner's size of `df` is within its own limit for a broadcast. For a
+    table or a staged frame that size is the size of its files."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    return size <= (int(limit) if limit.startswith("-") else units.byteStringAsBytes(limit))
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -68,9 +78,12 @@ def skew_join(
 ) -> DataFrame:
     """Equi join (`left` or `inner`) on one key that may be very frequent on the left.
 
-    Rows of a hot key are spread over salts by the hash of their `spread` columns, and
-    only the hot rows of the right side are repeated, once per salt.
+    A right side within the broadcast limit is joined as it is, so that no left row moves.
+    Beyond it, rows of a hot key are spread over salts by the hash of their `spread`
+    columns, and only the hot rows of the right side are repeated, once per salt.
     """
+    if broadcast_sized(right):
+        return left.join(right, key, how)
     hot = hot_keys(left, key) if hot is None else hot
     spread = [c for c in (spread or left.columns) if c != key]
     salts = F.coalesce("_salts", F.lit(1))

@@ -28,7 +28,7 @@ def number_rows(
     before it. No task holds more than one chunk at a time.
     """
     *lead, last = order
-    chunked = df.withColumn("_chunk", F.floor(F.col(last) / width))
+    chunked = df.withColumn("_chunk", F.expr(f"`{last}` div {width}"))
     keys = [*part, *lead, "_chunk"]
     sizes = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
@@ -36,13 +36,17 @@ def number_rows(
         .orderBy(*lead, "_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    starts = sizes.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+    )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
+    # Null-safe, so that rows without a part or order value keep a number too.
+    same_chunk = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     return (
         chunked.withColumn("_inside", inside)
-        .join(starts.drop("_rows"), keys)
-        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_chunk", "_inside", "_start")
+        .join(starts, same_chunk)
+        .select(*df.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias(name))
     )
 
 

@@ -89,7 +89,8 @@ def _pending_texts(keyed: DataFrame, col: str, cache: DataFrame, skip_mark: str
     texts = keyed.select("key", F.col(col).alias("text")).filter("text IS NOT NULL")
     if skip_mark:
         texts = texts.filter(~tx.already_marked(F.col("text"), skip_mark))
-    return cache_misses(texts.distinct(), cache)
+    # Equal keys are equal texts; by key alone, the texts lie ready for the cache join.
+    return cache_misses(texts.dropDuplicates(["key"]), cache)
 
 
 def pending_texts(

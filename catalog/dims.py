@@ -293,7 +293,7 @@ def incident_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(priority == "3-MEDIUM", "señora y hombre OFICIO JUDICIAL")
         .when(priority == "5-LOW", "SIN DATOS")
     )
-    incidents = t.orders.select(
+    incidents = t.spread("orders", "*").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").alias("fecha_hora"),
         F.concat(F.lit("CALLE "), customer).alias("direccion"),

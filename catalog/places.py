@@ -29,7 +29,7 @@ def zones(t: Tables) -> DataFrame:
 
 
 def order_points(t: Tables) -> DataFrame:
-    return t.orders.select(
+    return t.spread("orders", "o_orderkey", "o_orderdate", "o_totalprice").select(
         "o_orderkey",
         (F.dayofyear("o_orderdate") / F.lit(40.0)).alias("lat"),
         (F.col("o_totalprice") / 50000).alias("lon"),

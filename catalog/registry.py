@@ -24,9 +24,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *cols: str) -> DataFrame:
+        """Columns of a table, its rows over all cores, for costly expressions."""
+        return spread(getattr(self, name).select(*cols))
+
     def texts(self, *cols: str) -> DataFrame:
-        """Columns of the documents, spread over the cores for costly expressions."""
-        return spread(self.documents.select(*cols))
+        return self.spread("documents", *cols)
 
 
 def query(sql: str | None = None, name: str | None = None):

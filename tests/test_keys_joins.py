@@ -46,6 +46,23 @@ def test_number_rows_in_chunks(spark):
     assert {(r["p"], r["t"], r["r"]): r["row_number"] for r in out} == expected
 
 
+def test_number_rows_keeps_rows_without_values(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 5)], "p int, r int")
+    found = rows(K.number_rows(df, ["p"], ["r"]))
+    assert found == [(1, 5, 2), (1, None, 1), (None, 1, 1), (None, 2, 2)]
+
+
+def test_broadcast_size_is_checked(spark):
+    small = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    assert J.broadcast_sized(small)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    assert not J.broadcast_sized(small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert not J.broadcast_sized(small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 5000, numPartitions=7).select(F.xxhash64("id").alias("h"))
     out = K.dense_ids(df, ["h"], start=11).orderBy("id").collect()
@@ -93,6 +110,7 @@ def test_links(spark):
 def test_skew_join_equals_plain_join(spark, monkeypatch, how):
     monkeypatch.setattr(J, "HOT_ROWS", 20)
     monkeypatch.setattr(J, "ROWS_PER_SALT", 10)
+    monkeypatch.setattr(J, "broadcast_sized", lambda df: False)
     keys = ["hot"] * 400 + ["warm"] * 50 + ["k1", "k2", "k3"] + [None] * 30
     left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     right = spark.createDataFrame(
