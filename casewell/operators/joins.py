@@ -1,7 +1,7 @@
-"""Joins. Dimension joins carry no hint: Catalyst and AQE broadcast a side only when its
-estimated or measured size is under `spark.sql.autoBroadcastJoinThreshold`, and otherwise
-sort-merge, where AQE splits skewed partitions. Joins on content keys, where one text may
-hold a large share of all rows, go through `skew_join`."""
+"""Joins. None of them forces a broadcast of data: Catalyst and AQE broadcast a side only
+when its estimated or measured size is under `spark.sql.autoBroadcastJoinThreshold`, and
+otherwise sort-merge. Lookups from facts, where one key may hold a large share of all rows,
+go through `skew_join`, which salts such keys when the other side is too large for that."""
 
 from __future__ import annotations
 
@@ -21,7 +21,12 @@ MAX_SALTS = 2048
 
 def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left equi join: facts keep their rows when the dimension has no match."""
-    return facts.join(dim, on, "left")
+    return skew_join(facts, dim, on)
+
+
+def attach_unique(facts: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left equi join where the key is unique on both sides, so that no key can be hot."""
+    return facts.join(other, on, "left")
 
 
 def require(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -47,15 +52,21 @@ def merge_indicator(volume: DataFrame, indicator: DataFrame, on: str) -> DataFra
     return merged.select(*[F.col(c).cast("double").alias(c) for c in merged.columns])
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
+def _names(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """The most frequent keys with their number of salts; at most `MAX_HOT_KEYS` rows.
 
     Keys outside the list hold at most 1/MAX_HOT_KEYS of all rows each.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counts.filter(F.col("_rows") >= HOT_ROWS).orderBy(F.desc("_rows"), key).limit(MAX_HOT_KEYS)
+    keys = _names(key)
+    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    frequent = counts.filter(F.col("_rows") >= HOT_ROWS)
+    top = frequent.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
     salts = F.least(F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int"), F.lit(MAX_SALTS))
-    return top.select(key, salts.alias("_salts"))
+    return top.select(*keys, salts.alias("_salts"))
 
 
 def broadcast_sized(df: DataFrame) -> bool:
@@ -71,31 +82,34 @@ def broadcast_sized(df: DataFrame) -> bool:
 def skew_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     how: str = "left",
     spread: Sequence[str] | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi join (`left` or `inner`) on one key that may be very frequent on the left.
+    """Equi join (`left` or `inner`) on a key that may be very frequent on the left.
 
     A right side within the broadcast limit is joined as it is, so that no left row moves.
     Beyond it, rows of a hot key are spread over salts by the hash of their `spread`
     columns, and only the hot rows of the right side are repeated, once per salt.
     """
+    keys = _names(key)
     if broadcast_sized(right):
-        return left.join(right, key, how)
-    hot = hot_keys(left, key) if hot is None else hot
-    spread = [c for c in (spread or left.columns) if c != key]
+        return left.join(right, keys, how)
+    hot = hot_keys(left, keys) if hot is None else hot
+    spread = list(spread or [c for c in left.columns if c not in keys])
     salts = F.coalesce("_salts", F.lit(1))
     # Rows without a key match nothing, so they may lie anywhere.
-    left_salts = F.when(F.col(key).isNull(), MAX_SALTS).otherwise(salts)
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), left_salts).cast("int")
+    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    left_salts = F.when(no_key, MAX_SALTS).otherwise(salts)
+    place = F.pmod(F.xxhash64(*spread), left_salts).cast("int")
+    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(left_salts > 1, place).otherwise(0)
     )
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn(
+    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), [key, "_salt"], how)
+    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casewell import rules as R
 from casewell.functions import text as tx
 from casewell.functions import values as vl
-from casewell.operators.joins import attach
+from casewell.operators.joins import attach, attach_unique
 
 RECORD_FIELDS = [
     "id", "fecha_hora", "direccion", "altura", "motivo", "diagnostico", "traslado",
@@ -38,7 +38,7 @@ def flat_view(incidents: DataFrame, locations: DataFrame, attributes: DataFrame)
     notes = attributes.select(
         F.col("intervencion_id").alias("id"), vl.json_texts("atributos", fields).alias("a")
     )
-    joined = attach(attach(derived, places, "ubicacion_id"), notes, "id")
+    joined = attach_unique(attach(derived, places, "ubicacion_id"), notes, "id")
     sex = tx.marker_class(
         motivo,
         F.col("a.sexo"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewell.functions import text as tx
-from casewell.operators.joins import attach
+from casewell.operators.joins import attach_unique
 from casewell.operators.rates import rates
 
 
@@ -18,5 +18,5 @@ def redaction_by_group(texts: DataFrame, marks: DataFrame, key: str, col: str, b
     """
     cleaned = texts.withColumn("_clean", tx.clean_text(F.col(col)))
     redacted = cleaned.withColumn("redacted", tx.deidentify(F.col("_clean")) != F.col("_clean"))
-    joined = attach(redacted.select(key, by, "redacted"), marks.select(key, "flagged"), key)
+    joined = attach_unique(redacted.select(key, by, "redacted"), marks.select(key, "flagged"), key)
     return rates(joined, [by], ["redacted", "flagged"])

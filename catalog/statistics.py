@@ -230,3 +230,22 @@ def trend(t: Tables) -> DataFrame:
 @query()
 def poisson_trend(t: Tables) -> DataFrame:
     return S.poisson_trend(S.period_series(t.orders, "o_orderdate", "month"))
+
+
+def order_profiles(t: Tables) -> DataFrame:
+    size = F.when(F.col("o_totalprice") > 350000, "large").when(F.col("o_totalprice") > 150000, "middle")
+    return t.orders.select("o_orderstatus", "o_orderpriority", size.alias("size"))
+
+
+@query()
+def kmodes(t: Tables) -> DataFrame:
+    from casewell.operators.clusters import kmodes as fit
+
+    return fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 4)
+
+
+@query()
+def mca(t: Tables) -> DataFrame:
+    from casewell.operators.clusters import mca as fit
+
+    return fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 2)

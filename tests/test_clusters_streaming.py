@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from casewell.operators import clusters as C
+from casewell.sources import sinks
+from casewell.streaming.incremental import insert_missing_stream, upsert_stream
+
+COLS = ["a", "b", "c"]
+
+
+def sample(seed=4, n=400):
+    random.seed(seed)
+    centres = [("x", "p", "1"), ("y", "q", "2"), ("z", "r", None)]
+    rows = []
+    for _ in range(n):
+        base = random.choice(centres)
+        rows.append(tuple(random.choice("xyz") if random.random() < 0.15 else v for v in base))
+    return rows
+
+
+def brute_kmodes(rows, k, rounds):
+    rows = [tuple(v or "" for v in r) for r in rows]
+    counts = Counter(rows)
+    modes = [r for r, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]]
+
+    def assign():
+        return {r: min(range(k), key=lambda j: (sum(u != v for u, v in zip(r, modes[j])), j)) for r in counts}
+
+    for _ in range(rounds):
+        where, moved = assign(), []
+        for j in range(k):
+            mode = []
+            for i in range(len(modes[j])):
+                levels = Counter()
+                for r, n in counts.items():
+                    if where[r] == j:
+                        levels[r[i]] += n
+                mode.append(min(levels, key=lambda v: (-levels[v], v)) if levels else modes[j][i])
+            moved.append(tuple(mode))
+        if moved == modes:
+            break
+        modes = moved
+    where = assign()
+    return [(modes[j], sum(n for r, n in counts.items() if where[r] == j)) for j in range(k)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_kmodes_equals_brute_force(spark, k):
+    rows = sample()
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    out = C.kmodes(df, COLS, k, 6).orderBy("cluster").collect()
+    assert [((r.a, r.b, r.c), r.n) for r in out] == brute_kmodes(rows, k, 6)
+    if k == 3:
+        assert all(r.silhouette > 0.4 for r in out)
+
+
+def test_mca_equals_the_decomposed_indicator_matrix(spark):
+    rows = sample(9)
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    found = C.mca(df, COLS, 2).collect()
+    levels = sorted({(c, r[i] or "") for r in rows for i, c in enumerate(COLS)})
+    z = np.array([[float((r[COLS.index(c)] or "") == v) for c, v in levels] for r in rows])
+    p = z / z.sum()
+    row, col = p.sum(axis=1), p.sum(axis=0)
+    s = (p - np.outer(row, col)) / np.sqrt(np.outer(row, col))
+    _, values, vectors = np.linalg.svd(s, full_matrices=False)
+    for r in found:
+        k = r.axis - 1
+        want = vectors[k, levels.index((r.col, r.level))] * values[k] / np.sqrt(col[levels.index((r.col, r.level))])
+        assert abs(r.coordinate) == pytest.approx(abs(want), abs=1e-8)
+        assert r.inertia == pytest.approx(values[k] ** 2)
+    assert len(found) == 2 * len(levels)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_tables_grow_from_a_stream(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v string").schema
+    source, dim, table = (str(tmp_path / n) for n in ("in", "dim", "table"))
+
+    def feed(*values):
+        spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        for start, path in ((insert_missing_stream, dim), (upsert_stream, table)):
+            start(stream, path, schema, ["k"], f"{path}-checkpoint").awaitTermination()
+
+    feed((1, "a"), (2, "b"))
+    feed((2, "z"), (3, "c"), (3, "b"))
+    assert rows(sinks.read_current(spark, dim)) == [(1, "a"), (2, "b"), (3, "b")]
+    assert rows(sinks.read_current(spark, table)) == [(1, "a"), (2, "z"), (3, "b")]
+    feed((1, "again"))
+    assert rows(sinks.read_current(spark, dim)) == [(1, "a"), (2, "b"), (3, "b")]
+    assert rows(sinks.read_current(spark, table)) == [(1, "again"), (2, "z"), (3, "b")]

@@ -106,11 +106,16 @@ def test_links(spark):
     assert rows(coded) == [("4 - X", "4"), (None, None)]
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_skew_join_equals_plain_join(spark, monkeypatch, how):
+@pytest.fixture
+def salted(monkeypatch):
+    """Small limits, and no side small enough to be joined as it is."""
     monkeypatch.setattr(J, "HOT_ROWS", 20)
     monkeypatch.setattr(J, "ROWS_PER_SALT", 10)
     monkeypatch.setattr(J, "broadcast_sized", lambda df: False)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_skew_join_equals_plain_join(spark, salted, how):
     keys = ["hot"] * 400 + ["warm"] * 50 + ["k1", "k2", "k3"] + [None] * 30
     left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     right = spark.createDataFrame(
@@ -121,6 +126,15 @@ def test_skew_join_equals_plain_join(spark, monkeypatch, how):
     assert rows(got) == rows(left.join(right, "k", how).select("id", "k", "v"))
 
 
+def test_skew_join_on_two_keys(spark, salted):
+    left = spark.createDataFrame(
+        [(i, "a" if i < 90 else None, i % 3) for i in range(100)], "id int, k string, n int"
+    )
+    right = spark.createDataFrame([("a", 0, 1), ("a", 1, 2)], "k string, n int, v int")
+    got = J.skew_join(left, right, ["k", "n"]).select("id", "k", "n", "v")
+    assert rows(got) == rows(left.join(right, ["k", "n"], "left").select("id", "k", "n", "v"))
+
+
 def test_apply_mapping(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, t string")
     mapping = spark.createDataFrame([("a", "A"), ("c", "c")], "old string, new string")
