@@ -95,10 +95,47 @@ def logistic_or(t: Tables) -> DataFrame:
     return rounded(fit, 6, "odds_ratio", "ci_low", "ci_high", "pseudo_r2")
 
 
-@query()
+def newton_sql(rounds: int) -> str:
+    """Newton steps of a logistic fit on two flags, from the shares `g(x, z, y, w)`."""
+    steps = ["b0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""
+     m{i} AS (SELECT x, z, y, w, p, q, r, 1 / (1 + exp(-(p + q * x + r * z))) AS mu FROM g, b{i - 1}),
+     h{i} AS (SELECT any_value(p) AS p, any_value(q) AS q, any_value(r) AS r, sum(w * mu * (1 - mu)) AS a,
+                     sum(w * mu * (1 - mu) * x) AS b, sum(w * mu * (1 - mu) * z) AS c,
+                     sum(w * mu * (1 - mu) * x * z) AS e, sum(w * (y - mu)) AS u,
+                     sum(w * (y - mu) * x) AS v, sum(w * (y - mu) * z) AS t FROM m{i}),
+     i{i} AS (SELECT *, a * (b * c - e * e) + b * (e * c - b * c) + c * (b * e - b * c) AS det FROM h{i}),
+     b{i} AS (SELECT p + ((b * c - e * e) * u + (e * c - b * c) * v + (b * e - b * c) * t) / det AS p,
+                     q + ((e * c - b * c) * u + (a * c - c * c) * v + (b * c - a * e) * t) / det AS q,
+                     r + ((b * e - b * c) * u + (b * c - a * e) * v + (a * b - b * b) * t) / det AS r,
+                     sqrt((b * c - e * e) / det) AS sp, sqrt((a * c - c * c) / det) AS sq,
+                     sqrt((a * b - b * b) / det) AS sr FROM i{i})""")
+    return ",".join(steps)
+
+
+@query(f"""
+WITH f AS (SELECT l_returnflag = 'R' AS y, l_discount > 0.05 AS x, l_quantity > 30 AS z FROM lineitem),
+     g AS (SELECT CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z, avg(CAST(CAST(y AS INTEGER) AS DOUBLE)) AS y,
+                  CAST(count(*) AS DOUBLE) AS w FROM f GROUP BY ALL),
+     {newton_sql(9)},
+     l AS (SELECT sum(w * (y * ln(mu) + (1 - y) * ln(1 - mu))) AS fit, sum(w * y) / sum(w) AS share,
+                  sum(w) AS n FROM m9),
+     k AS (SELECT 1 - fit / (n * (share * ln(share) + (1 - share) * ln(1 - share))) AS r2 FROM l),
+     o AS (SELECT '(intercept)' AS term, p AS b, sp AS e FROM b9
+           UNION ALL SELECT 'discounted_true', q, sq FROM b9
+           UNION ALL SELECT 'large_true', r, sr FROM b9)
+SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * e), 6) AS ci_low,
+       round(exp(b + {Z} * e), 6) AS ci_high, round(r2, 8) AS pseudo_r2
+FROM o, k""")
 def logistic_adjusted(t: Tables) -> DataFrame:
-    rows = lines_with_factors(t)
-    return G.logistic_or(rows, "returned", list(FACTORS))
+    fit = G.logistic_or(lines_with_factors(t), "returned", ["discounted", "large"]).drop("p_value")
+    return rounded(rounded(fit, 6, "odds_ratio", "ci_low", "ci_high"), 8, "pseudo_r2")
+
+
+@query()
+def logistic_three(t: Tables) -> DataFrame:
+    return G.logistic_or(lines_with_factors(t), "returned", list(FACTORS))
 
 
 INDICATOR_SQL = """
@@ -227,9 +264,27 @@ def trend(t: Tables) -> DataFrame:
     return rounded(S.mann_kendall(series, "period", "n").drop("p_value"), 9, "z")
 
 
-@query()
+def poisson_sql(rounds: int) -> str:
+    """Steps of a Poisson fit on the period number, from `s(x, y)`."""
+    steps = ["b0 AS (SELECT ln(avg(y)) AS p, 0.0::DOUBLE AS q FROM s)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"""
+     m{i} AS (SELECT x, y, p + q * x AS eta, exp(p + q * x) AS mu FROM s, b{i - 1}),
+     h{i} AS (SELECT sum(mu) AS a, sum(mu * x) AS b, sum(mu * x * x) AS c,
+                     sum(mu * (eta + (y - mu) / mu)) AS u, sum(mu * x * (eta + (y - mu) / mu)) AS v FROM m{i}),
+     b{i} AS (SELECT (c * u - b * v) / (a * c - b * b) AS p, (a * v - b * u) / (a * c - b * b) AS q,
+                     sqrt(a / (a * c - b * b)) AS e FROM h{i})""")
+    return ",".join(steps)
+
+
+@query(f"""
+WITH d AS ({monthly_sql("orders")}),
+     s AS (SELECT CAST(row_number() OVER (ORDER BY m) AS DOUBLE) AS x, CAST(n AS DOUBLE) AS y FROM d),
+     {poisson_sql(12)}
+SELECT round(q, 8) AS slope, round(p, 6) AS intercept, round(e, 8) AS std_error FROM b12""")
 def poisson_trend(t: Tables) -> DataFrame:
-    return S.poisson_trend(S.period_series(t.orders, "o_orderdate", "month"))
+    fit = S.poisson_trend(S.period_series(t.orders, "o_orderdate", "month")).drop("p_value")
+    return rounded(rounded(fit, 8, "slope", "std_error"), 6, "intercept")
 
 
 def order_profiles(t: Tables) -> DataFrame:
@@ -237,11 +292,48 @@ def order_profiles(t: Tables) -> DataFrame:
     return t.orders.select("o_orderstatus", "o_orderpriority", size.alias("size"))
 
 
-@query()
+def kmodes_sql(rounds: int, k: int) -> str:
+    """Rounds of k-modes on the counted combinations `g(a, b, c, n)`."""
+    steps = [f"""
+     m0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY n DESC, a, b, c) - 1 AS INTEGER) AS cluster,
+                                a, b, c FROM g QUALIFY cluster < {k})"""]
+    for i in range(1, rounds + 2):
+        steps.append(f"""
+     d{i} AS MATERIALIZED (SELECT g.*, cluster, CAST(g.a <> m.a AS INTEGER) + CAST(g.b <> m.b AS INTEGER)
+                             + CAST(g.c <> m.c AS INTEGER) AS d FROM g JOIN m{i - 1} m ON true),
+     w{i} AS MATERIALIZED (SELECT * FROM d{i}
+             QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY d, cluster) = 1)""")
+        if i <= rounds:
+            best = ", ".join(
+                f"(SELECT {v} FROM w{i} w WHERE w.cluster = m.cluster GROUP BY {v} ORDER BY sum(n) DESC, {v} LIMIT 1)"
+                f" AS {v}"
+                for v in "abc"
+            )
+            steps.append(f"""
+     m{i} AS MATERIALIZED (SELECT cluster, {best} FROM m{i - 1} m)""")
+    return ",".join(steps)
+
+
+PROFILE_SQL = """
+WITH g AS MATERIALIZED (SELECT o_orderstatus AS a, o_orderpriority AS b,
+            CASE WHEN o_totalprice > 350000 THEN 'large' WHEN o_totalprice > 150000 THEN 'middle' ELSE '' END AS c,
+            count(*) AS n FROM orders GROUP BY ALL)"""
+
+
+@query(f"""{PROFILE_SQL}, {kmodes_sql(10, 4)},
+     o AS (SELECT w.cluster, w.n, w.d, min(d.d) AS other FROM w11 w
+           JOIN d11 d ON d.a = w.a AND d.b = w.b AND d.c = w.c AND d.cluster <> w.cluster
+           GROUP BY w.a, w.b, w.c, w.cluster, w.n, w.d)
+SELECT m.cluster, any_value(a) AS o_orderstatus, any_value(b) AS o_orderpriority, any_value(c) AS size,
+       CAST(sum(n) AS BIGINT) AS n, CAST(sum(d * n) AS BIGINT) AS cost,
+       round(sum(CASE WHEN greatest(d, other) = 0 THEN 0 ELSE (other - d)::DOUBLE / greatest(d, other) END * n)
+             / sum(n), 9) AS silhouette
+FROM m10 m JOIN o ON o.cluster = m.cluster GROUP BY m.cluster""")
 def kmodes(t: Tables) -> DataFrame:
     from casewell.operators.clusters import kmodes as fit
 
-    return fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 4)
+    found = fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 4)
+    return rounded(found, 9, "silhouette")
 
 
 @query()

@@ -8,7 +8,7 @@ from oracle import compare, connect
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"kmodes", "logistic_adjusted", "mca", "poisson_trend"}
+WITHOUT_SQL = {"logistic_three", "mca"}
 
 
 @pytest.fixture(scope="module")
