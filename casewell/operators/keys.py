@@ -14,6 +14,9 @@ from casewell.session import stage
 # monotonically_increasing_id puts the partition number above these bits.
 _POSITION_BITS = 33
 
+# Rows of a part from which on it is numbered in chunks.
+LARGE_PART = 2_000_000
+
 
 def number_rows(
     df: DataFrame,
@@ -21,34 +24,50 @@ def number_rows(
     order: Sequence[str],
     name: str = "row_number",
     width: int = 1 << 20,
+    large: int = LARGE_PART,
 ) -> DataFrame:
     """1, 2, … inside each `part` in the order of integer columns, unique inside it.
 
-    A part of any size is numbered in chunks of `width` values of the last order column:
-    rows are counted per chunk, and each chunk starts after the rows of the chunks
-    before it. No task holds more than one chunk at a time.
+    A part with `large` rows or more is numbered in chunks of `width` values of the last
+    order column: each chunk starts after the rows of the chunks before it. So no task
+    sorts more than one chunk or one smaller part at a time, however large a part is.
     """
+    counted = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
+    # No more than one entry in `large` rows, which bounds the broadcast.
+    listed = counted.filter(F.col("_rows") >= large).select(
+        *[F.col(c).alias(f"_large_{c}") for c in part]
+    )
+    # Null-safe, so that rows without a part or order value keep a number too.
+    is_large = [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in part]
+    small_rows = df.join(F.broadcast(listed), is_large, "left_anti")
+    large_rows = df.join(F.broadcast(listed), is_large, "left_semi")
+    whole = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint")
+    numbered = small_rows.withColumn(name, whole)
+    return numbered.unionByName(_number_in_chunks(large_rows, part, order, name, width))
+
+
+def _number_in_chunks(
+    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str, width: int
+) -> DataFrame:
     *lead, last = order
-    chunked = df.withColumn("_chunk", F.expr(f"`{last}` div {width}"))
-    keys = [*part, *lead, "_chunk"]
-    sizes = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.struct(*lead, F.expr(f"`{last}` div {width}").alias("_step"))
+    chunked = df.withColumn("_chunk", place)
+    sizes = chunked.groupBy(*part, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = (
-        Window.partitionBy(*part)
-        .orderBy(*lead, "_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = sizes.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        *[F.col(c).alias(f"_start_{c}") for c in part],
+        F.col("_chunk").alias("_start_chunk"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
     )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(last))
-    # Null-safe, so that rows without a part or order value keep a number too.
-    same_chunk = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return (
-        chunked.withColumn("_inside", inside)
-        .join(starts, same_chunk)
-        .select(*df.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias(name))
+    inside = F.row_number().over(Window.partitionBy(*part, "_chunk").orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_start_{c}")) for c in part]
+    joined = chunked.withColumn("_inside", inside).join(
+        starts, [*same, F.col("_chunk") == F.col("_start_chunk")]
     )
+    number = (F.col("_start") + F.col("_inside")).cast("bigint").alias(name)
+    return joined.select(*df.columns, number)
 
 
 def positioned(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:

@@ -34,21 +34,26 @@ def test_ingest_fixture(spark):
     assert out[1]["movil"] == "8" and len(out[1]) == 12
 
 
-def test_number_rows_in_chunks(spark):
+@pytest.mark.parametrize("large", [1, 100, 10_000])
+def test_number_rows_in_chunks(spark, large):
     random.seed(1)
-    data = [(p, t, r) for p in (1, 2, 3) for t in (1, 2) for r in random.sample(range(500), 60)]
+    data = [
+        (p, t, r) for p in (1, 2, 3) for t in (1, 2) for r in random.sample(range(-250, 250), 20 * p)
+    ]
     df = spark.createDataFrame(random.sample(data, len(data)), "p int, t int, r int")
-    out = K.number_rows(df, ["p"], ["t", "r"], width=7).collect()
+    out = K.number_rows(df, ["p"], ["t", "r"], width=7, large=large).collect()
     expected = {}
     for p in (1, 2, 3):
         for i, key in enumerate(sorted(d for d in data if d[0] == p), start=1):
             expected[key] = i
     assert {(r["p"], r["t"], r["r"]): r["row_number"] for r in out} == expected
+    assert len(out) == len(data)
 
 
-def test_number_rows_keeps_rows_without_values(spark):
+@pytest.mark.parametrize("large", [1, 10])
+def test_number_rows_keeps_rows_without_values(spark, large):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 5)], "p int, r int")
-    found = rows(K.number_rows(df, ["p"], ["r"]))
+    found = rows(K.number_rows(df, ["p"], ["r"], large=large))
     assert found == [(1, 5, 2), (1, None, 1), (None, 1, 1), (None, 2, 2)]
 
 
