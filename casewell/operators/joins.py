@@ -148,12 +148,16 @@ def pending(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNull())
 
 
-def resolvable(df: DataFrame, street: str, number: str) -> tuple[DataFrame, DataFrame]:
-    """Rows fit for a lookup, and the skipped ones with the reason."""
+def skip_reason(df: DataFrame, street: str, number: str) -> DataFrame:
+    """Add the `reason` why a row is not fit for a lookup, NULL for the others."""
     no_street = F.coalesce(F.col(street) == "", F.lit(True))
     no_number = F.coalesce(F.col(number) <= 0, F.lit(True))
-    reason = F.when(no_street, "no_street").when(no_number, "no_number")
-    marked = df.withColumn("reason", reason)
+    return df.withColumn("reason", F.when(no_street, "no_street").when(no_number, "no_number"))
+
+
+def resolvable(df: DataFrame, street: str, number: str) -> tuple[DataFrame, DataFrame]:
+    """Rows fit for a lookup, and the skipped ones with the reason."""
+    marked = skip_reason(df, street, number)
     return marked.filter("reason IS NULL").drop("reason"), marked.filter("reason IS NOT NULL")
 
 

@@ -49,6 +49,21 @@ def read_jdbc(
     return reader.load()
 
 
+PAGE_ROWS = T.StructType(
+    [
+        T.StructField("page", T.IntegerType()),
+        T.StructField("table_no", T.IntegerType()),
+        T.StructField("row_no", T.IntegerType()),
+        T.StructField("cells", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def read_page_rows(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
+    """Decoded page tables, one row of cells per record, as JSON lines or Parquet."""
+    return spark.read.schema(PAGE_ROWS).format(form).load(path)
+
+
 def zones_from_geojson(documents: DataFrame, col: str, zone: str, name: str) -> DataFrame:
     """FeatureCollection texts to `(zone SMALLINT, name, rings)` with MultiPolygon rings.
 

@@ -10,6 +10,7 @@ from casewell.operators import audit as A
 from casewell.operators import joins as J
 from casewell.operators import keys as K
 from casewell.operators.ingest import ingest_rows as ingest
+from casewell.plans import findings
 from casewell.plans.flat import analysis_frame, flat_view as build_view
 from casewell.sources.sinks import export_ordered
 from catalog.registry import WS, Tables, query, strip_sql
@@ -152,12 +153,8 @@ def pending_rows(t: Tables) -> DataFrame:
         F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("street"),
         F.floor(F.col("o_totalprice") - 100000).cast("int").alias("number"),
     )
-    fit, skipped = J.resolvable(
-        J.pending(J.attach(orders, shipped, "o_orderkey"), "shipped"), "street", "number"
-    )
-    return fit.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(
-        skipped.select("o_orderkey", "reason")
-    )
+    waiting = J.pending(J.attach(orders, shipped, "o_orderkey"), "shipped")
+    return J.skip_reason(waiting, "street", "number").select("o_orderkey", "reason")
 
 
 @query("""
@@ -356,6 +353,37 @@ def view_rates(t: Tables) -> DataFrame:
     return rates(rows, by, ["trasladado", "au"])
 
 
+@query(f"""
+WITH i AS ({INCIDENTS_SQL}), a AS ({ATTRIBUTES_SQL}), v AS ({VIEW_SQL}),
+     r AS (SELECT sexo, coalesce(trasladado, false) AS moved,
+                  regexp_matches(coalesce(codigo_prioridad, ''), '^[14] ') AS rojo
+           FROM v WHERE id IN (SELECT intervencion_id FROM a)),
+     s AS (SELECT 'crude' AS scenario, * FROM r UNION ALL SELECT 'without pregnancy', * FROM r
+           UNION ALL SELECT 'severe, without pregnancy', * FROM r WHERE rojo)
+SELECT scenario, sexo, count(*) AS n, CAST(count(*) FILTER (moved) AS DOUBLE) * 100 / count(*) AS rate
+FROM s WHERE sexo IN ('M', 'F') GROUP BY ALL""")
+def transfer_by_sex(t: Tables) -> DataFrame:
+    incidents, locations, attributes = incident_tables(t)
+    view = build_view(incidents, locations, attributes)
+    return findings.transfer_by_sex(analysis_frame(view, attributes, findings.FLAGS))
+
+
+@query(f"""
+WITH i AS ({INCIDENTS_SQL}), a AS ({ATTRIBUTES_SQL}), v AS ({VIEW_SQL}),
+     r AS (SELECT CASE substr(coalesce(diagnostico, '00'), 1, 2) WHEN '01' THEN 'trauma'
+                  ELSE 'otros/clínico' END AS grp, sexo,
+                  CASE WHEN trasladado THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS moved
+           FROM v WHERE id IN (SELECT intervencion_id FROM a))
+SELECT g AS grupo_diagnostico, avg(moved) FILTER (sexo = 'M') * 100 AS "M",
+       avg(moved) FILTER (sexo = 'F') * 100 AS "F"
+FROM (VALUES ('trauma'), ('psiq'), ('otros/clínico'), ('cardiovascular')) x(g) LEFT JOIN r ON grp = g
+GROUP BY g""")
+def transfer_by_diagnosis(t: Tables) -> DataFrame:
+    incidents, locations, attributes = incident_tables(t)
+    view = build_view(incidents, locations, attributes)
+    return findings.transfer_by_diagnosis(analysis_frame(view, attributes, findings.FLAGS))
+
+
 MAPPING_SQL = """
 SELECT text AS old, min('REVIEWED ' || quality || left(lang, 1)) AS new
 FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY text"""

@@ -1,16 +1,23 @@
 from __future__ import annotations
 
 import json
+import sys
 
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from casewell import rules as R
 from casewell.functions import text as tx
+from casewell.plans import enrichment, findings
 from casewell.plans import transform as P
 from casewell.plans.flat import analysis_frame, flat_view
 from casewell.sources import sinks
-from casewell.sources.readers import read_table, spread
+from casewell.sources.readers import read_page_rows, read_table, spread
+
+# The resolvers of this file travel to the workers with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def rows(df):
@@ -135,6 +142,77 @@ def test_pipeline_end_to_end_twice(spark, tmp_path):
     assert found == {1: (True, True, True, "trauma"), 2: (False, True, False, "trauma")}
 
 
+def attribute_rule(texts: pd.Series) -> pd.Series:
+    return texts.map(
+        lambda t: json.dumps({"sexo": "F", "tipo_sujeto": "civil", "agresion_por_terceros": True})
+        if "MUJER" in t
+        else "no json"
+    )
+
+
+def name_rule(texts: pd.Series) -> pd.Series:
+    return texts.str.replace("MUJER", "[NOMBRE]", regex=False)
+
+
+def address_rule(places: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"lat": -34.6, "lon": -58.4, "status": "ok"}, index=places.index)
+
+
+def test_enrichment_flows(spark, tmp_path):
+    incidents = load(spark)
+    redacted, report = enrichment.redact_names(incidents, name_rule, str(tmp_path / "names"))
+    assert tuple(report.first()) == (3, 1)
+    assert "[NOMBRE] EN COMISARIA 7A [LP] TEL [NUM]" in {r.motivo for r in redacted.collect()}
+
+    stored = spark.createDataFrame(
+        [(1, "{}", "old", "v0", None), (9, "{}", "old", "v0", None)],
+        "intervencion_id long, atributos string, modelo string, prompt_version string, analizado_at timestamp_ntz",
+    )
+    notes = enrichment.enrich(
+        incidents, stored, attribute_rule, str(tmp_path / "notes"), "rule", "2024-01-01 00:00:00"
+    )
+    found = {r.intervencion_id: (r.modelo, json.loads(r.atributos).get("sexo")) for r in notes.collect()}
+    assert found == {1: ("rule", "F"), 2: ("rule", "desconocido"), 3: ("rule", "desconocido"), 9: ("old", None)}
+
+    linked = P.run_transform(incidents, str(tmp_path / "root"))
+    places = sinks.read_current(spark, str(tmp_path / "root" / "ubicaciones"), P.LOCATIONS)
+    square = [[[[-58.5, -34.7], [-58.3, -34.7], [-58.3, -34.5], [-58.5, -34.5]]]]
+    zones = spark.createDataFrame([(4, square)], "zone int, rings array<array<array<array<double>>>>")
+    run = (address_rule, zones, str(tmp_path / "points"), "rule", "2024-01-01 00:00:00")
+    placed = enrichment.locate(places, *run)
+    assert placed.schema == places.schema
+    assert {(r.id, r.lat, r.comuna, r.source) for r in placed.collect()} == {
+        (1, -34.6, 4, "rule"), (2, None, None, None),
+    }
+    assert rows(enrichment.locate(placed, *run)) == rows(placed)
+
+    view = flat_view(linked, placed, notes)
+    table = findings.place_points(linked, placed, notes).collect()
+    assert [(r.lat, r.lon, r.n) for r in table] == [(-34.6, -58.4, 2)]
+    frame = analysis_frame(view, notes, findings.FLAGS)
+    assert [tuple(r)[:3] for r in findings.needs_by_subject(frame).collect()] == [
+        ("detenido", None, None), ("civil", 1, 100.0), ("personal_policial", None, None),
+    ]
+    assert [tuple(r) for r in findings.subject_counts(frame).collect()] == [
+        ("personal_policial", 0), ("civil", 1), ("desconocido", 2), ("detenido", 0),
+    ]
+    assert findings.violence_by_setting(frame).count() == 2
+    by_sex = {(r.scenario, r.sexo): r.rate for r in findings.transfer_by_sex(frame).collect()}
+    assert by_sex[("crude", "F")] == 100.0 and len(by_sex) == 6
+    assert [r.grupo_diagnostico for r in findings.transfer_by_diagnosis(frame).collect()] == R.DIAGNOSIS_ORDER
+    assert findings.monthly(view).count() == 53
+    indicator = spark.createDataFrame([(4, 10.0)], "zone int, indicator double")
+    assert findings.volume_and_indicator(view, indicator).first().n == 1
+
+
+def test_page_rows_reader(spark, tmp_path):
+    path = tmp_path / "rows.json"
+    records = [dict(zip(("page", "table_no", "row_no", "cells"), r, strict=True)) for r in page(1, *RECORDS)]
+    path.write_text("\n".join(json.dumps(r) for r in records))
+    loaded = P.load_incidents(read_page_rows(spark, str(path)))
+    assert loaded.count() == 4 and loaded.filter("motivo LIKE '%[LP]%'").count() == 1
+
+
 def test_new_values_continue_ids(spark, tmp_path):
     root = str(tmp_path)
     P.run_transform(load(spark), root)
