@@ -14,7 +14,7 @@ from casewell.session import stage
 # monotonically_increasing_id puts the partition number above these bits.
 _POSITION_BITS = 33
 
-# Rows of a part from which on it is numbered in chunks.
+# Rows of a part from which on no task sorts it alone.
 LARGE_PART = 2_000_000
 
 
@@ -23,51 +23,38 @@ def number_rows(
     part: Sequence[str],
     order: Sequence[str],
     name: str = "row_number",
-    width: int = 1 << 20,
     large: int = LARGE_PART,
 ) -> DataFrame:
-    """1, 2, … inside each `part` in the order of integer columns, unique inside it.
+    """1, 2, … inside each `part` by the order columns, which tell its rows apart.
 
-    A part with `large` rows or more is numbered in chunks of `width` values of the last
-    order column: each chunk starts after the rows of the chunks before it. So no task
-    sorts more than one chunk or one smaller part at a time, however large a part is.
+    Parts are counted first. One with `large` rows or more is not sorted in one task: such
+    parts are put in total order over all tasks, and a row's number is its place less that
+    of the first row of its part.
     """
     counted = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
-    # No more than one entry in `large` rows, which bounds the broadcast.
-    listed = counted.filter(F.col("_rows") >= large).select(
-        *[F.col(c).alias(f"_large_{c}") for c in part]
+    # No more than one entry in `large` rows, which bounds the broadcasts below.
+    listed = stage(
+        counted.filter(F.col("_rows") >= large).select(
+            *[F.col(c).alias(f"_large_{c}") for c in part]
+        ),
+        "large-parts",
     )
-    # Null-safe, so that rows without a part or order value keep a number too.
+    whole = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint")
+    if listed.isEmpty():
+        return df.withColumn(name, whole)
+    # Null-safe, so that rows without a part value keep a number too.
     is_large = [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in part]
-    small_rows = df.join(F.broadcast(listed), is_large, "left_anti")
+    small_rows = df.join(F.broadcast(listed), is_large, "left_anti").withColumn(name, whole)
     large_rows = df.join(F.broadcast(listed), is_large, "left_semi")
-    whole = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint")
-    numbered = small_rows.withColumn(name, whole)
-    return numbered.unionByName(_number_in_chunks(large_rows, part, order, name, width))
-
-
-def _number_in_chunks(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str, width: int
-) -> DataFrame:
-    *lead, last = order
-    place = F.struct(*lead, F.expr(f"`{last}` div {width}").alias("_step"))
-    chunked = df.withColumn("_chunk", place)
-    sizes = chunked.groupBy(*part, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = (
-        Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = sizes.select(
-        *[F.col(c).alias(f"_start_{c}") for c in part],
-        F.col("_chunk").alias("_start_chunk"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+    placed = positioned(large_rows, [*part, *order], "rows").withColumn(
+        "_place", F.col("_before") + F.col("_pos")
     )
-    inside = F.row_number().over(Window.partitionBy(*part, "_chunk").orderBy(*order))
-    same = [F.col(c).eqNullSafe(F.col(f"_start_{c}")) for c in part]
-    joined = chunked.withColumn("_inside", inside).join(
-        starts, [*same, F.col("_chunk") == F.col("_start_chunk")]
+    firsts = placed.groupBy(*[F.col(c).alias(f"_large_{c}") for c in part]).agg(
+        F.min("_place").alias("_first")
     )
-    number = (F.col("_start") + F.col("_inside")).cast("bigint").alias(name)
-    return joined.select(*df.columns, number)
+    number = (F.col("_place") - F.col("_first") + 1).cast("bigint").alias(name)
+    numbered = placed.join(F.broadcast(firsts), is_large).select(*df.columns, number)
+    return small_rows.unionByName(numbered)
 
 
 def positioned(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:

@@ -35,13 +35,13 @@ def test_ingest_fixture(spark):
 
 
 @pytest.mark.parametrize("large", [1, 100, 10_000])
-def test_number_rows_in_chunks(spark, large):
+def test_number_rows_of_large_parts(spark, large):
     random.seed(1)
     data = [
         (p, t, r) for p in (1, 2, 3) for t in (1, 2) for r in random.sample(range(-250, 250), 20 * p)
     ]
     df = spark.createDataFrame(random.sample(data, len(data)), "p int, t int, r int")
-    out = K.number_rows(df, ["p"], ["t", "r"], width=7, large=large).collect()
+    out = K.number_rows(df, ["p"], ["t", "r"], large=large).collect()
     expected = {}
     for p in (1, 2, 3):
         for i, key in enumerate(sorted(d for d in data if d[0] == p), start=1):
