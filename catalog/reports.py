@@ -102,11 +102,6 @@ def scenario_rates(t: Tables) -> DataFrame:
     return Q.rate_or_zero(found, "event_type", list(conditions), ["error", "click", "refund"])
 
 
-MODE_SQL = """
-SELECT {by}, CAST(sum(c) AS BIGINT) AS n, {value} AS {name} FROM (
-  SELECT {by}, {value}, count(*) AS c FROM {table} GROUP BY ALL) GROUP BY {by}"""
-
-
 @query("""
 WITH e AS (SELECT user_id, nullif(event_type, 'error') AS kind FROM events),
      c AS (SELECT user_id, kind, count(*) AS c FROM e GROUP BY ALL),
