@@ -1,0 +1,210 @@
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks.
+
+Window sizes are a few classes, each about 1.2 times the one before. An item of n words takes
+the largest class that leaves room for `STRIDE` starts, and is fingerprinted from each of these
+starts. A document is fingerprinted at every `STRIDE`th word for every class, so that in a copy
+of the item some document window lies exactly on one of them. A fingerprint has 64 bits, each the
+sign of the summed bits of the window's words.
+
+The four 16-bit blocks of an item fingerprint, and each with one bit turned, index it. Two
+fingerprints at a distance of 7 or less share such a block, so all of them become candidates.
+Each is verified at the item's place and length: similarity of the two bags of five-word
+shingles, a shingle weighing as often as it stands there.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casewell.llm.common import LOWER, mix, runs, slim, windows, words
+
+STRIDE = 4
+RADIUS = 7
+CHUNK = 1 << 15
+
+
+def bags_alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags of shingles."""
+    keys, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left = np.bincount(place[: len(a)], minlength=len(keys))
+    right = np.bincount(place[len(a) :], minlength=len(keys))
+    return float(np.minimum(left, right).sum() / max(np.maximum(left, right).sum(), 1))
+
+
+def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """64-bit SimHash of the `size` words from each start (ascending), in bounded pieces."""
+    out = np.zeros(len(starts), np.uint64)
+    for low in range(0, len(starts), CHUNK // STRIDE):
+        own = starts[low : low + CHUNK // STRIDE]
+        # Chunks of starts may be far apart only in short texts, so the stretch stays bounded.
+        part = hashes[own[0] : own[-1] + size]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.zeros((len(part) + 1, 64), np.int32)
+        np.cumsum(bits, 0, dtype=np.int32, out=sums[1:])
+        at = own - own[0]
+        ones = sums[at + size] - sums[at]
+        out[low : low + len(own)] = np.packbits(2 * ones > size, axis=1).view(np.uint64)[:, 0]
+    return out
+
+
+def _bag(hashes: np.ndarray, width: int) -> np.ndarray:
+    if len(hashes) < width:
+        return mix(hashes + np.uint64(len(hashes))) if len(hashes) else hashes
+    return windows(hashes, np.asarray([0, len(hashes)]), width)[0]
+
+
+@dataclass(frozen=True)
+class Index:
+    """Items of one part of the benchmark."""
+
+    ids: list
+    lengths: np.ndarray
+    bags: list[np.ndarray]
+    classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]
+
+
+def build_index(ids: list, item_words: list[np.ndarray], width: int) -> Index:
+    """Fingerprints, their items and offsets per class, and for each block the sorted keys."""
+    most = max(map(len, item_words))
+    sizes = [1]
+    while sizes[-1] < most:
+        sizes.append(max(sizes[-1] + 1, int(sizes[-1] * 1.2)))
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    for item, own in enumerate(item_words):
+        room = max(len(own) - STRIDE + 1, 1)
+        size = max(s for s in sizes if s <= room)
+        starts = np.arange(min(STRIDE, len(own) - size + 1))
+        for start, print_ in zip(starts, fingerprints(own, starts, size), strict=True):
+            rows.setdefault(size, []).append((int(print_), item, int(start)))
+    classes = {}
+    for size, found in rows.items():
+        prints = np.asarray([f[0] for f in found], np.uint64)
+        tables = []
+        for block in range(4):
+            part = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
+            turned = np.concatenate([part, *[part ^ (1 << bit) for bit in range(16)]])
+            own = np.tile(np.arange(len(part)), 17)
+            order = np.argsort(turned, kind="stable")
+            begins = np.searchsorted(turned[order], np.arange((1 << 16) + 1))
+            tables.append((begins.astype(np.int32), own[order].astype(np.int32)))
+        classes[size] = (prints, np.asarray([f[1] for f in found]), np.asarray([f[2] for f in found]), tables)
+    return Index(ids, np.asarray([len(w) for w in item_words]), [_bag(w, width) for w in item_words], classes)
+
+
+def candidates(prints: np.ndarray, index: Index, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, row of the class) of all pairs within the radius."""
+    own, _, _, tables = index.classes[size]
+    left, right = [], []
+    for block, (begins, rows) in enumerate(tables):
+        key = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
+        many = begins[key + 1] - begins[key]
+        at = np.flatnonzero(many)
+        reps = many[at]
+        where = np.repeat(at, reps)
+        shift = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        row = rows[np.repeat(begins[key[at]], reps) + shift]
+        near = np.bitwise_count(prints[where] ^ own[row]) <= RADIUS
+        left.append(where[near])
+        right.append(row[near])
+    pairs = np.unique(np.concatenate(left).astype(np.int64) * (len(own) + 1) + np.concatenate(right))
+    return pairs // (len(own) + 1), pairs % (len(own) + 1)
+
+
+def matches(hashes: np.ndarray, first: np.ndarray, index: Index, least: float, width: int) -> list[tuple[int, int, int, float]]:
+    """(text, item, word at which the copy starts, similarity) of all verified windows."""
+    found: dict[tuple[int, int], tuple[float, int]] = {}
+    counts = np.diff(first)
+    for size, (_, items, offsets, _) in index.classes.items():
+        many = np.maximum((counts - size) // STRIDE + 1, 0) * (counts >= size)
+        starts = np.repeat(first[:-1], many) + STRIDE * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        if not len(starts):
+            continue
+        prints = fingerprints(hashes, starts, size)
+        for window, row in zip(*candidates(prints, index, size), strict=True):
+            text = int(np.searchsorted(first, starts[window], "right")) - 1
+            item, length = int(items[row]), int(index.lengths[items[row]])
+            begin = max(int(starts[window] - offsets[row]), int(first[text]))
+            end = min(begin + length, int(first[text + 1]))
+            alike = bags_alike(_bag(hashes[begin:end], width), index.bags[item])
+            if alike >= least and (alike, -begin) > found.get((text, item), (0.0, 0)):
+                found[text, item] = (alike, -begin)
+    return [(text, item, -begin - int(first[text]), alike) for (text, item), (alike, begin) in sorted(found.items())]
+
+
+def _item_words(texts: list[str]) -> list[np.ndarray]:
+    parts = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    hashes, first, _ = words(LOWER[np.frombuffer(b"".join(parts), np.uint8)], bounds)
+    return [hashes[first[i] : first[i + 1]] for i in range(len(parts))]
+
+
+def contaminated(
+    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", least: float = 0.8, width: int = 5, part: int = 5_000,
+) -> DataFrame:
+    """Rows of `df` as `key` with `matches`: (item, start word, similarity) of each item that a
+    stretch of the text repeats; one row per row of `df`, an empty list where there is none.
+
+    The benchmark is taken in parts of `part` items, each a pass over the documents, so what
+    travels with a task is bounded. Null or wordless texts and items match nothing.
+    """
+    items = slim(benchmark, item, item_text).filter(F.col(item).isNotNull() & F.col(item_text).rlike("[^\\x20\\x09-\\x0D]"))
+    kind, item_kind = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    schema = f"`{key}` {kind}, matches array<struct<item:{item_kind},start:bigint,similarity:double>>"
+
+    def search(index: Index | None):
+        def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for start, end, data, bounds in runs(frame.column(1), 1 << 19):
+                    lists: list[list[dict]] = [[] for _ in range(end - start)]
+                    if index:
+                        hashes, first, _ = words(LOWER[data], bounds)
+                        for at, n, place, alike in matches(hashes, first, index, least, width):
+                            lists[at].append({"item": index.ids[n], "start": place, "similarity": alike})
+                    yield pa.RecordBatch.from_arrays(
+                        [frame.column(0).slice(start, end - start), pa.array(lists, pa.list_(pa.struct([
+                            ("item", pa.int64() if item_kind != "string" else pa.string()), ("start", pa.int64()), ("similarity", pa.float64())
+                        ])))], names=[key, "matches"],
+                    )
+
+        return task
+
+    rows = items.orderBy(item, item_text).toLocalIterator()
+    held: list = []
+    results = []
+
+    def passed() -> None:
+        index = build_index([r[0] for r in held], _item_words([r[1] for r in held]), width) if held else None
+        results.append(slim(df, key, text).mapInArrow(search(index), schema))
+        held.clear()
+
+    for row in rows:
+        held.append(row)
+        if len(held) == part:
+            passed()
+    if held or not results:
+        passed()
+    if len(results) == 1:
+        return results[0]
+    union = results[0]
+    for other in results[1:]:
+        union = union.unionByName(other)
+    return union.groupBy(key).agg(F.flatten(F.collect_list("matches")).alias("matches"))
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: `key`, the items it repeats with the best similarity, and whether
+    it is `kept` (repeats none)."""
+    found = contaminated(df, benchmark, key, text)
+    return found.select(
+        key,
+        F.transform("matches", lambda m: m["item"]).alias("item_ids"),
+        F.array_max(F.transform("matches", lambda m: m["similarity"])).alias("similarity"),
+        (F.size("matches") == 0).alias("kept"),
+    )
