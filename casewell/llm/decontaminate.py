@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks.
 
-Window sizes are a few classes, each about 1.2 times the one before. An item of n words takes
+Window sizes are a few classes of whole strides, about 1.25 times apart. An item of n words takes
 the largest class that leaves room for `STRIDE` starts, and is fingerprinted from each of these
 starts. A document is fingerprinted at every `STRIDE`th word for every class, so that in a copy
-of the item some document window lies exactly on one of them. A fingerprint has 64 bits, each the
+of the item some document window lies exactly on one of them. Items shorter than 7 words have
+fewer starts than that, so their copies are found at some places only. A fingerprint has 64 bits, each the
 sign of the summed bits of the window's words.
 
 The four 16-bit blocks of an item fingerprint, and each with one bit turned, index it. Two
@@ -26,7 +27,6 @@ from casewell.llm.common import LOWER, mix, runs, slim, windows, words
 
 STRIDE = 4
 RADIUS = 7
-CHUNK = 1 << 15
 
 
 def bags_alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -37,20 +37,43 @@ def bags_alike(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(left, right).sum() / max(np.maximum(left, right).sum(), 1))
 
 
-def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit SimHash of the `size` words from each start (ascending), in bounded pieces."""
-    out = np.zeros(len(starts), np.uint64)
-    for low in range(0, len(starts), CHUNK // STRIDE):
-        own = starts[low : low + CHUNK // STRIDE]
-        # Chunks of starts may be far apart only in short texts, so the stretch stays bounded.
-        part = hashes[own[0] : own[-1] + size]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(part) + 1, 64), np.int32)
-        np.cumsum(bits, 0, dtype=np.int32, out=sums[1:])
-        at = own - own[0]
-        ones = sums[at + size] - sums[at]
-        out[low : low + len(own)] = np.packbits(2 * ones > size, axis=1).view(np.uint64)[:, 0]
-    return out
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """SimHash of some words: each bit set in more than half of them."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+    return np.packbits(2 * bits > len(hashes)).view(np.uint64)[0]
+
+
+def window_prints(hashes: np.ndarray, first: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first word, fingerprint) of the windows at every `STRIDE`th word of each text.
+
+    Texts are padded to whole strides. Bits are summed per stride, these sums to runs of 2, 4,
+    8 … strides, and every size (whole strides) is put together from such runs.
+    """
+    counts = np.diff(first)
+    strides = -(-counts // STRIDE)
+    begins = np.cumsum(strides) - strides
+    padded = np.zeros(int(strides.sum()) * STRIDE, np.uint64)
+    padded[np.arange(len(hashes) - first[0]) + np.repeat(begins * STRIDE - first[:-1] + first[0], counts)] = hashes[first[0] :]
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1).reshape(-1, STRIDE, 64)
+    wide = np.uint8 if max(sizes) < 256 else np.uint32
+    sums = [bits.sum(1, dtype=wide)]
+    while 2 ** len(sums) * STRIDE <= max(sizes):
+        half = 2 ** (len(sums) - 1)
+        sums.append(sums[-1][: len(sums[-1]) - half] + sums[-1][half:])
+    stride = np.arange(len(sums[0])) - np.repeat(begins, strides)
+    owner = np.repeat(np.arange(len(counts)), strides)
+    for size in sizes:
+        total, done, units = None, 0, size // STRIDE
+        if units > len(sums[0]):
+            continue
+        last = len(sums[0]) - units + 1
+        for level in range(len(sums)):
+            if units >> level & 1:
+                part = sums[level][done : done + last]
+                total, done = part if total is None else total + part, done + 2**level
+        at = np.flatnonzero(stride[:last] * STRIDE + size <= counts[owner[:last]])
+        prints = np.packbits(total[at] > size // 2, axis=1).view(np.uint64)[:, 0]
+        yield size, first[owner[at]] + stride[at] * STRIDE, prints
 
 
 def _bag(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -72,16 +95,14 @@ class Index:
 def build_index(ids: list, item_words: list[np.ndarray], width: int) -> Index:
     """Fingerprints, their items and offsets per class, and for each block the sorted keys."""
     most = max(map(len, item_words))
-    sizes = [1]
+    sizes = [STRIDE]
     while sizes[-1] < most:
-        sizes.append(max(sizes[-1] + 1, int(sizes[-1] * 1.2)))
+        sizes.append(sizes[-1] + STRIDE * max(1, round(sizes[-1] / STRIDE / 4)))
     rows: dict[int, list[tuple[int, int, int]]] = {}
     for item, own in enumerate(item_words):
-        room = max(len(own) - STRIDE + 1, 1)
-        size = max(s for s in sizes if s <= room)
-        starts = np.arange(min(STRIDE, len(own) - size + 1))
-        for start, print_ in zip(starts, fingerprints(own, starts, size), strict=True):
-            rows.setdefault(size, []).append((int(print_), item, int(start)))
+        size = max((s for s in sizes if s <= len(own) - STRIDE + 1), default=STRIDE)
+        for start in range(min(STRIDE, max(len(own) - size + 1, 0))):
+            rows.setdefault(size, []).append((int(fingerprint(own[start : start + size])), item, start))
     classes = {}
     for size, found in rows.items():
         prints = np.asarray([f[0] for f in found], np.uint64)
@@ -119,13 +140,13 @@ def candidates(prints: np.ndarray, index: Index, size: int) -> tuple[np.ndarray,
 def matches(hashes: np.ndarray, first: np.ndarray, index: Index, least: float, width: int) -> list[tuple[int, int, int, float]]:
     """(text, item, word at which the copy starts, similarity) of all verified windows."""
     found: dict[tuple[int, int], tuple[float, int]] = {}
-    counts = np.diff(first)
-    for size, (_, items, offsets, _) in index.classes.items():
-        many = np.maximum((counts - size) // STRIDE + 1, 0) * (counts >= size)
-        starts = np.repeat(first[:-1], many) + STRIDE * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    sizes = sorted(index.classes)
+    if not len(hashes) or not sizes:
+        return []
+    for size, starts, prints in window_prints(hashes, first, sizes):
+        _, items, offsets, _ = index.classes[size]
         if not len(starts):
             continue
-        prints = fingerprints(hashes, starts, size)
         for window, row in zip(*candidates(prints, index, size), strict=True):
             text = int(np.searchsorted(first, starts[window], "right")) - 1
             item, length = int(items[row]), int(index.lengths[items[row]])

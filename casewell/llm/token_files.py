@@ -1,0 +1,311 @@
+"""Token-id files with a minimal perfect hash index from document keys to offsets.
+
+A folder holds shards of consecutive keys. `shard-N.ids` is the raw payload: ids of its documents
+one after another, little-endian, 2 bytes each if the vocabulary allows it, else 4. `shard-N.idx`
+holds the keys in order with start and count of each, and the index: bits and ranks of a minimal
+perfect hash in levels, and per slot the key's 32-bit fingerprint, start and count. A key is
+found by a few probes, whatever the size. Both are written under another name and then moved, so
+a task that runs twice leaves one whole file.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from casewell.llm.common import mix, runs, slim
+from casewell.session import stage, staging_root
+
+CACHED = 300_000
+GAMMA = 2
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_CHUNK = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
+
+
+def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+    return (mix(keys ^ mix(np.full(1, level + 1, np.uint64))) % np.uint64(size)).astype(np.int64)
+
+
+def build_hash(keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Minimal perfect hash of distinct 64-bit keys: level by level, keys alone at their bit
+    stay there and the others go on."""
+    left, sizes, bits = keys.view(np.uint64), [], []
+    while len(left):
+        size = (GAMMA * len(left) + 63) // 64 * 64
+        at = _level(left, len(sizes), size)
+        alone = np.bincount(at, minlength=size) == 1
+        sizes.append(size)
+        bits.append(alone)
+        left = left[~alone[at]]
+    flags = np.concatenate(bits) if bits else np.zeros(0, bool)
+    words = np.packbits(flags, bitorder="little").view(np.uint64)
+    ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]) if len(words) else np.zeros(0, np.int64)
+    return {"sizes": np.asarray(sizes, np.int64), "words": words, "ranks": ranks}
+
+
+def fingerprints(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
+
+
+def slots(keys: np.ndarray, index: dict[str, np.ndarray]) -> np.ndarray:
+    """Slot of each key, -1 where the index says that it has none."""
+    out = np.full(len(keys), -1, np.int64)
+    todo, base = np.arange(len(keys)), 0
+    for level, size in enumerate(index["sizes"].tolist()):
+        at = base + _level(keys[todo].view(np.uint64), level, size)
+        word, bit = index["words"][at >> 6], (at & 63).astype(np.uint64)
+        hit = (word >> bit) & np.uint64(1) == 1
+        below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+        out[todo[hit]] = index["ranks"][at[hit] >> 6] + below[hit]
+        todo, base = todo[~hit], base + size
+    if "prints" in index and len(index["prints"]):
+        out[(out >= 0) & (index["prints"][np.maximum(out, 0)] != fingerprints(keys))] = -1
+    return out
+
+
+def find(keys: np.ndarray, index: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, count) of each key; -1 for keys that are not in the shard."""
+    at = slots(keys, index)
+    start, count = (np.append(index[c], -1)[at] for c in ("slot_start", "slot_count"))
+    return start, count
+
+
+def make_index(keys: np.ndarray, null: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Index of a shard; of rows with one key the first is indexed, rows without a key are not."""
+    starts = np.cumsum(counts) - counts
+    rows = np.flatnonzero(~null)
+    own, first = np.unique(keys[rows], return_index=True)
+    index = build_hash(own)
+    at, rows = slots(own, index), rows[first]
+    prints, start, count = np.zeros(len(own), np.uint32), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    prints[at], start[at], count[at] = fingerprints(own), starts[rows], counts[rows]
+    return {**index, "prints": prints, "slot_start": start, "slot_count": count, "keys": keys, "null": null, "starts": starts, "counts": counts}
+
+
+def _place(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _save(fs: pafs.FileSystem, path: str, data: bytes) -> None:
+    own = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(data)
+    fs.move(own, path)
+
+
+def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
+    """`key`, `ids` (binary) and `width` of every whole text, the id `end` appended; null is empty.
+
+    The tokenizers library encodes each chunk (a run of blanks and the word behind it) once per
+    task: no token of this vocabulary's pattern crosses the place before such a run. Texts with
+    other white space are encoded whole.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+
+        def ids(texts: list[str]) -> list[bytes]:
+            return [np.asarray(e.ids, kind).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+        cache: dict[str, bytes] = {}
+        stop = np.asarray([end], kind).tobytes()
+        for frame in frames:
+            for start, last, data, bounds in runs(frame.column(1)):
+                raw = data.tobytes()
+                texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                chunks = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+                if len(cache) > CACHED:
+                    cache.clear()
+                own: dict[str, bytes] = {}
+                new = list({c for t in chunks for c in t if c not in cache})
+                for chunk, value in zip(new, ids(new), strict=True):
+                    (cache if len(chunk) < 100 else own)[chunk] = value
+                rows = [b"".join([own[c] if c in own else cache[c] for c in t]) + stop for t in chunks]
+                yield pa.RecordBatch.from_arrays(
+                    [frame.column(0).slice(start, last - start), pa.array(rows, pa.binary()), pa.array([kind.itemsize] * len(rows), pa.int32())],
+                    names=[key, "ids", "width"],
+                )
+
+    return slim(df, key, text).mapInArrow(task, f"`{key}` {kind}, ids binary, width int")
+
+
+def _write_shards(folder: str):
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _place(folder)
+        now, out, own, keys, null, sizes, width = None, None, "", [], [], [], 2
+        written = []
+
+        def close() -> None:
+            nonlocal out
+            out.close()
+            fs.move(own, f"{root}/shard-{now}.ids")
+            counts = np.asarray(sizes, np.int64) // width
+            index = make_index(np.asarray(keys, np.int64), np.asarray(null, bool), counts)
+            buffer = io.BytesIO()
+            np.savez(buffer, width=np.asarray(width), **index)
+            _save(fs, f"{root}/shard-{now}.idx", buffer.getvalue())
+            written.append((now, len(keys), int(counts.sum())))
+            out = None
+
+        for frame in frames:
+            for shard, key, ids, width_ in zip(*(frame.column(i) for i in range(4)), strict=True):
+                if shard.as_py() != now:
+                    if out is not None:
+                        close()
+                    now, keys, null, sizes = shard.as_py(), [], [], []
+                    own = f"{root}/shard-{now}.ids.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(own)
+                width = width_.as_py()
+                out.write(ids.as_buffer())
+                null.append(not key.is_valid)
+                keys.append(key.as_py() or 0)
+                sizes.append(ids.as_buffer().size)
+        if out is not None:
+            close()
+        columns = list(zip(*written, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "n_docs", "n_tokens"])
+
+    return task
+
+
+def write_token_files(
+    df: DataFrame, folder: str, path: str, end: int, key: str = "doc_id", text: str = "text", shard_bytes: int = 32 << 20
+) -> DataFrame:
+    """Encode, write the shards of ascending keys to `folder` (a URI that all machines share), and
+    return the manifest: shard, low (key from which it holds), n_docs, n_tokens, start.
+
+    The key is an integer; rows without one come first, rows that share one lie together. Shard
+    limits are quantiles of the keys, so that about `shard_bytes` of text come to a shard; only
+    these limits and one row per shard reach the driver.
+    """
+    spark = df.sparkSession
+    size = df.agg(F.coalesce(F.sum(F.octet_length(df[text])), F.lit(0))).first()[0]
+    many = max(1, -(-size // shard_bytes))
+    limits: list[int] = []
+    if many > 1:
+        shares = F.array(*[F.lit(i / many) for i in range(1, many)])
+        found = df.select(df[key].cast("bigint").alias("k")).agg(F.percentile_approx("k", shares, F.lit(100 * many))).first()[0]
+        limits = sorted(set(found or []))
+    # Number of limits at or below the key; a null key belongs to the first shard.
+    shard = _bucket(key, limits)
+    rows = encoded(df.select(df[key].cast("bigint").alias(key), df[text]), path, end, key, text)
+    dealt = rows.withColumn("_shard", shard.cast("bigint")).repartition(len(limits) + 1, "_shard")
+    fs, root = _place(folder)
+    fs.create_dir(root, recursive=True)
+    ordered = dealt.sortWithinPartitions("_shard", F.col(key).asc_nulls_first(), "ids").select("_shard", key, "ids", "width")
+    written = stage(ordered.mapInArrow(_write_shards(folder), "shard bigint, n_docs bigint, n_tokens bigint"), "shards")
+    low = spark.createDataFrame([(i + 1, int(v)) for i, v in enumerate(limits)], "shard bigint, low bigint")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return stage(
+        written.join(low, "shard", "left").withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "manifest"
+    )
+
+
+def _bucket(key: str, limits: list[int]) -> Column:
+    """Number of limits at or below the key, found by halves."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) < F.lit(limits[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(within(0, len(limits)))
+
+
+def _index(fs: pafs.FileSystem, path: str) -> dict[str, np.ndarray]:
+    with fs.open_input_file(path) as file:
+        return dict(np.load(io.BytesIO(file.read())))
+
+
+def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """doc key, start, n_tokens, ids_crc32 of every document in the files, found through the index.
+
+    `start` counts the ids of all documents before it. A shard is read by one task, document by
+    document.
+    """
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _place(folder)
+        for frame in frames:
+            for shard, offset in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                index = _index(fs, f"{root}/shard-{shard}.idx")
+                width = int(index["width"])
+                keys, null = index["keys"], index["null"]
+                start, count = find(keys, index)
+                # A later row of a key, or one without a key, is not in the index.
+                _, first = np.unique(np.where(null, -1, keys), return_index=True)
+                other = np.ones(len(keys), bool)
+                other[first] = False
+                other |= null
+                start[other], count[other] = index["starts"][other], index["counts"][other]
+                sums = []
+                with fs.open_input_file(f"{root}/shard-{shard}.ids") as file:
+                    for at, n in zip(start.tolist(), count.tolist(), strict=True):
+                        ids = np.frombuffer(file.read_at(n * width, at * width), f"<u{width}")
+                        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, mask=null), pa.array(start + offset), pa.array(count), pa.array(sums, pa.int64())],
+                    names=["key", "start", "n_tokens", "ids_crc32"],
+                )
+
+    rows = manifest.select("shard", "start").repartition("shard")
+    return rows.mapInArrow(task, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def fetch(manifest: DataFrame, folder: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ids) of the wanted keys by the index alone; keys that no shard holds give null ids."""
+    shards = [(r["shard"], r["low"]) for r in manifest.orderBy("shard").collect()]
+    lows = np.asarray([r[1] for r in shards[1:]], np.int64)
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _place(folder)
+        held: tuple[int, dict[str, np.ndarray]] | None = None
+        for frame in frames:
+            keys = frame.column(0).to_pylist()
+            out: list[list[int] | None] = [None] * len(keys)
+            places = [-1 if k is None else int(np.searchsorted(lows, k, "right")) for k in keys]
+            for at in sorted(range(len(keys)), key=lambda i: places[i]):
+                if places[at] < 0:
+                    continue
+                name = shards[places[at]][0]
+                if held is None or held[0] != name:
+                    held = (name, _index(fs, f"{root}/shard-{name}.idx"))
+                start, count = find(np.asarray([keys[at]], np.int64), held[1])
+                if start[0] >= 0:
+                    width = int(held[1]["width"])
+                    with fs.open_input_file(f"{root}/shard-{name}.ids") as file:
+                        raw = file.read_at(int(count[0]) * width, int(start[0]) * width)
+                    out[at] = np.frombuffer(raw, f"<u{width}").tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["key", "ids"])
+
+    return wanted.select(wanted[key].cast("bigint").alias("key")).mapInArrow(task, "key bigint, ids array<bigint>")
+
+
+def token_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/tokens-{uuid.uuid4().hex}"
+
+
+def token_files(df: DataFrame, path: str, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the files, read them back: one row per document, null and repeated keys too."""
+    folder = token_folder(df.sparkSession)
+    manifest = write_token_files(df, folder, path, end, key, text)
+    return read_token_files(manifest, folder).withColumnRenamed("key", key)
