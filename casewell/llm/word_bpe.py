@@ -43,6 +43,7 @@ class Vocabulary:
     ranks: np.ndarray
     merged: np.ndarray
     special: dict[str, int]
+    cut: regex.Pattern | None
     pattern: regex.Pattern
     base: int
 
@@ -65,6 +66,7 @@ def load(path: str) -> Vocabulary:
         np.asarray([vocab.get(c + suffix, -1) for c in chars]),
         *table.T.copy(),
         special,
+        regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None,
         regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")),
         base,
     )
@@ -107,15 +109,14 @@ def merge_rounds(pretokens: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.
 
 def pretokenize(chunk: str, v: Vocabulary) -> list[bytes | int]:
     """Pre-tokens of a chunk as bytes, special tokens as ids."""
-    parts = regex.split("(" + "|".join(map(regex.escape, v.special)) + ")", chunk) if v.special else [chunk]
     out: list[bytes | int] = []
-    for part in parts:
+    for part in v.cut.split(chunk) if v.cut else [chunk]:
         if part in v.special:
             out.append(v.special[part])
             continue
         # Every letter is lower-cased by itself, so no sigma becomes a final one.
-        text = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-        out += [p.encode() for p in v.pattern.findall(text)]
+        text = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        out += [p.encode() for p in v.pattern.findall(text.lower())]
     return out
 
 

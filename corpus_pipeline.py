@@ -1 +1,80 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, repeated lines, near copies, benchmark passages, token ids.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
+read again as the next one's docs. All but the last keep the columns of `docs`. A column
+`n_chars`, where there is one, follows a changed text.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casewell.llm.decontaminate import decontaminate
+from casewell.llm.language_id import accepted, held_out, identify
+from casewell.llm.line_dedup import drop_repeated_lines, stays
+from casewell.llm.minhash import near_duplicates
+from casewell.llm.word_bpe import bpe_digests
+from casewell.session import staging_root
+
+# A fit of numbers and counts: SQL can't express the classifier, MinHash or BPE.
+ORACLE_SQL = None
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose text is null, has no letter, or whose language is a mere guess."""
+    train = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return identify(docs, train).filter(accepted()).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines leave the texts; emptied documents go."""
+    done = drop_repeated_lines(docs).filter(stays("text"))
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", length)
+    return done.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least id; of rows that share an id
+    and a text one stays. Pairs from a similarity of 0.8 on are linked."""
+    found = near_duplicates(docs, percent=80)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item go."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("repeated_lines", repeated_lines),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each one's result written and read again."""
+    folder = f"{staging_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
