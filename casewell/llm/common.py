@@ -7,7 +7,7 @@ text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +103,27 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = 5) -> list[n
     return sets
 
 
-def batches(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns.values(), schema, strict=True)],
-        schema=schema,
-    )
+class Kept:
+    """Values of recently used keys in two generations: the older goes when the newer is full,
+    so what is used often stays and memory is bounded."""
+
+    def __init__(self, most: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def missing(self, keys: Iterable) -> list:
+        """Keys without a value; the others can then be read from `new`."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        out = []
+        for key in set(keys):
+            if key not in self.new:
+                if key in self.old:
+                    self.new[key] = self.old[key]
+                else:
+                    out.append(key)
+        return out
 
 
 def slim(df: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from casewell.llm.common import BLANK, batches, mix, pieces, runs, slim, windows, words
+from casewell.llm.common import BLANK, mix, pieces, runs, slim, windows, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_upper", "n_digits", "n_punct", "n_bytes", "n_distinct"]

@@ -109,7 +109,7 @@ def site_quality(
     stats = stage(opened.select(F.col("_it.k").alias(key), F.col("_it.h").alias("_host"), F.col("_it.p").alias("_path"), *ALL), "site-stats")
     table, y = labelled_sample(stats.select(key, *ALL), slim(labels, key, label), key, label, bound)
     share = float(y.mean()) if len(y) else 0.5
-    model = fit_logistic(features(table), y) if 0 < share < 1 else None
+    model = fit_logistic(features(table), y) if len(y) and 0 < share < 1 else None
     scored = stage(document_scores(stats, model, share), "site-scores")
     good = F.sum("p_document").alias("good")
     paths = stage(scored.groupBy("_host", "_path").agg(good, F.count(F.lit(1)).alias("n")), "paths")

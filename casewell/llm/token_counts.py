@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from casewell.llm.common import runs, slim
+from casewell.llm.common import Kept, runs, slim
 
 MARK = "▁"
-CACHED = 500_000
+CACHED = 300_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -71,15 +71,14 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(path)
         longest, unknown = max(map(len, pieces)), min(pieces.values()) - 10
-        cache: dict[bytes, int] = {}
+        kept = Kept(CACHED)
         for frame in frames:
             for start, end, data, bounds in runs(frame.column(1), 1 << 22):
                 raw = data.tobytes()
                 texts = [raw[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                if len(cache) > CACHED:
-                    cache.clear()
                 # Byte order of UTF-8 is the order of code points.
-                new = sorted({w for t in texts for w in t if w not in cache})
+                new = sorted(kept.missing(w for t in texts for w in t))
+                cache = kept.new
                 cache.update(zip(new, terminal_counts([MARK + w.decode() for w in new], pieces, longest, unknown), strict=True))
                 sums = [sum([cache[w] for w in t]) for t in texts]
                 yield pa.RecordBatch.from_arrays(

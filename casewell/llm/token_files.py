@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewell.llm.common import mix, runs, slim
+from casewell.llm.common import Kept, mix, runs, slim
 from casewell.session import stage, staging_root
 
 CACHED = 300_000
@@ -125,17 +125,16 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
         def ids(texts: list[str]) -> list[bytes]:
             return [np.asarray(e.ids, kind).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-        cache: dict[str, bytes] = {}
+        kept = Kept(CACHED)
         stop = np.asarray([end], kind).tobytes()
         for frame in frames:
             for start, last, data, bounds in runs(frame.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 chunks = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-                if len(cache) > CACHED:
-                    cache.clear()
                 own: dict[str, bytes] = {}
-                new = list({c for t in chunks for c in t if c not in cache})
+                new = kept.missing(c for t in chunks for c in t)
+                cache = kept.new
                 for chunk, value in zip(new, ids(new), strict=True):
                     (cache if len(chunk) < 100 else own)[chunk] = value
                 rows = [b"".join([own[c] if c in own else cache[c] for c in t]) + stop for t in chunks]

@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewell.llm.common import runs, slim
+from casewell.llm.common import Kept, runs, slim
 
 NO_PAIR = np.iinfo(np.int64).max
-CACHED = 300_000
+CACHED = 200_000
 
 
 def byte_chars() -> list[str]:
@@ -153,14 +153,13 @@ def _encoded(df: DataFrame, path: str, key: str, text: str, whole: bool) -> Data
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(path)
-        cache: dict[bytes, tuple[int, str, str]] = {}
+        kept = Kept(CACHED)
         for frame in frames:
             for start, end, data, bounds in runs(frame.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                if len(cache) > CACHED:
-                    cache.clear()
-                new = list({c for t in texts for c in t if c not in cache})
+                new = kept.missing(c for t in texts for c in t)
+                cache = kept.new
                 for chunk, ids in zip(new, encode_chunks(new, v), strict=True):
                     cache[chunk] = (len(ids), " ".join(map(str, ids.tolist())), decode(ids, v))
                 counts, shas, decoded, listed, joined = [], [], [], [], []
