@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewell.functions.values import point
-from casewell.operators.joins import skew_join
+from casewell.operators.joins import lookup
 from casewell.session import stage
 
 
@@ -137,7 +137,7 @@ def zone_join(
     per_cell = stage(
         cells.agg(F.collect_list(F.struct(zone, "inside", "edges")).alias("_zones")), "cells"
     )
-    near = skew_join(placed, per_cell, "_cell", "left", spread=[key])
+    near = lookup(placed, per_cell, "_cell")
 
     def contains(z: Column) -> Column:
         edges = z["edges"]

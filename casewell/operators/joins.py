@@ -1,7 +1,7 @@
 """Joins. None of them forces a broadcast of data: Catalyst and AQE broadcast a side only
 when its estimated or measured size is under `spark.sql.autoBroadcastJoinThreshold`, and
-otherwise sort-merge. Lookups from facts, where one key may hold a large share of all rows,
-go through `skew_join`, which salts such keys when the other side is too large for that."""
+otherwise sort-merge. Where one key holds a large share of the rows of one side, AQE splits its
+partition (`spark.sql.adaptive.skewJoin.enabled`), so every size takes the same path."""
 
 from __future__ import annotations
 
@@ -12,16 +12,9 @@ from pyspark.sql import functions as F
 
 from casewell.functions import text as tx
 
-# No more than this many keys can be treated as hot, so their list may be broadcast.
-MAX_HOT_KEYS = 1000
-HOT_ROWS = 200_000
-ROWS_PER_SALT = 100_000
-MAX_SALTS = 2048
-
-
 def attach(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left equi join: facts keep their rows when the dimension has no match."""
-    return skew_join(facts, dim, on)
+    return lookup(facts, dim, on)
 
 
 def attach_unique(facts: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -52,65 +45,9 @@ def merge_indicator(volume: DataFrame, indicator: DataFrame, on: str) -> DataFra
     return merged.select(*[F.col(c).cast("double").alias(c) for c in merged.columns])
 
 
-def _names(key: str | Sequence[str]) -> list[str]:
-    return [key] if isinstance(key, str) else list(key)
-
-
-def hot_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """The most frequent keys with their number of salts; at most `MAX_HOT_KEYS` rows.
-
-    Keys outside the list hold at most 1/MAX_HOT_KEYS of all rows each.
-    """
-    keys = _names(key)
-    counts = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    frequent = counts.filter(F.col("_rows") >= HOT_ROWS)
-    top = frequent.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
-    salts = F.least(F.ceil(F.col("_rows") / ROWS_PER_SALT).cast("int"), F.lit(MAX_SALTS))
-    return top.select(*keys, salts.alias("_salts"))
-
-
-def broadcast_sized(df: DataFrame) -> bool:
-    """Whether the planner's size of `df` is within its own limit for a broadcast. For a
-    table or a staged frame that size is the size of its files."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(plan.stats().sizeInBytes())
-    units = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
-    return size <= (int(limit) if limit.startswith("-") else units.byteStringAsBytes(limit))
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str | Sequence[str],
-    how: str = "left",
-    spread: Sequence[str] | None = None,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Equi join (`left` or `inner`) on a key that may be very frequent on the left.
-
-    A right side within the broadcast limit is joined as it is, so that no left row moves.
-    Beyond it, rows of a hot key are spread over salts by the hash of their `spread`
-    columns, and only the hot rows of the right side are repeated, once per salt.
-    """
-    keys = _names(key)
-    if broadcast_sized(right):
-        return left.join(right, keys, how)
-    hot = hot_keys(left, keys) if hot is None else hot
-    spread = list(spread or [c for c in left.columns if c not in keys])
-    salts = F.coalesce("_salts", F.lit(1))
-    # Rows without a key match nothing, so they may lie anywhere.
-    no_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    left_salts = F.when(no_key, MAX_SALTS).otherwise(salts)
-    place = F.pmod(F.xxhash64(*spread), left_salts).cast("int")
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(left_salts > 1, place).otherwise(0)
-    )
-    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+def lookup(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Equi join (`left` or `inner`) on a key that may be very frequent on the left."""
+    return left.join(right, [key] if isinstance(key, str) else list(key), how)
 
 
 def cache_misses(df: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -123,7 +60,7 @@ def cache_apply(
 ) -> DataFrame:
     """Cached `value` of each row's key as `name`, or `fallback` where there is none."""
     hits = cache.select(key, F.col("value").alias("_value"))
-    joined = skew_join(df, hits, key)
+    joined = lookup(df, hits, key)
     return joined.withColumn(name, F.coalesce("_value", fallback)).drop("_value")
 
 
@@ -133,8 +70,8 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, col: str, key: str = "key")
     `mapping` has (`old`, `new`). Adds `changed`, true where the value differs.
     """
     keyed = df.withColumn(key, tx.content_key(F.col(col)))
-    lookup = mapping.select(tx.content_key(F.col("old")).alias(key), F.col("new").alias("_new"))
-    joined = skew_join(keyed, lookup, key)
+    known = mapping.select(tx.content_key(F.col("old")).alias(key), F.col("new").alias("_new"))
+    joined = lookup(keyed, known, key)
     replaced = F.coalesce("_new", col)
     return (
         joined.withColumn("changed", F.coalesce(replaced != F.col(col), F.lit(False)))

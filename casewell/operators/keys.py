@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewell.functions import text as tx
-from casewell.operators.joins import skew_join
+from casewell.operators.joins import lookup
 from casewell.session import stage
 
 # monotonically_increasing_id puts the partition number above these bits.
@@ -155,7 +155,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 
 def link_by_name(df: DataFrame, dim: DataFrame, col: str, name: str, id_: str) -> DataFrame:
     """Add the id of the dimension row whose name equals `col`, NULL without one."""
-    return skew_join(df, dim.select(F.col(name).alias(col), id_), col)
+    return lookup(df, dim.select(F.col(name).alias(col), id_), col)
 
 
 def link_by_pair(
@@ -164,7 +164,7 @@ def link_by_pair(
     """Add the id of the row with equal `a` and `b`, where `b` is text on the fact side."""
     right = dim.select(F.col(a), F.col(b).alias("_b"), id_)
     left = df.withColumn("_b", F.trim(F.col(b).cast("string")).try_cast(dtype))
-    return skew_join(left, right, [a, "_b"]).select(*df.columns, id_)
+    return lookup(left, right, [a, "_b"]).select(*df.columns, id_)
 
 
 def link_code(df: DataFrame, col: str, name: str, sep: str = tx.R.LABEL_SEPARATOR) -> DataFrame:

@@ -23,9 +23,7 @@ TextResolver = Callable[[pd.Series], pd.Series]
 PointResolver = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-TEXT_ANSWERS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("key", "text", "value")]
-)
+TEXT_ANSWERS = TEXT_CACHE
 POINT_ANSWERS = POINT_CACHE
 
 
@@ -44,19 +42,21 @@ def _batches(frames: Iterator[pd.DataFrame], options: Options) -> Iterator[pd.Da
     for frame in frames:
         for start in range(0, len(frame), options.batch):
             yield frame.iloc[start : start + options.batch]
-            if options.pause:
-                time.sleep(options.pause)
 
 
-def _call(resolver: Callable, values, failed):
-    """Answers for a batch; when it fails, its values are tried one by one."""
+def _call(resolver: Callable, values, failed, pause: float = 0.0):
+    """Answers for a batch; when it fails, its values are tried one by one. Every call, also
+    one that fails, is followed by the pause."""
     try:
         return resolver(values)
     except Exception:
         if len(values) == 1:
             return failed(values)
-        parts = [_call(resolver, values.iloc[i : i + 1], failed) for i in range(len(values))]
-        return pd.concat(parts)
+    finally:
+        if pause:
+            time.sleep(pause)
+    parts = [_call(resolver, values.iloc[i : i + 1], failed, pause) for i in range(len(values))]
+    return pd.concat(parts)
 
 
 def _run(
@@ -76,12 +76,7 @@ def _run(
         if options.parallelism:
             chunk = chunk.repartition(options.parallelism)
         answers = chunk.mapInPandas(task, answer).filter(keep)
-        schema = POINT_CACHE if answer is POINT_ANSWERS else TEXT_CACHE
-        if schema is TEXT_CACHE:
-            # An answer without its quotes; no answer keeps the text.
-            value = F.coalesce(tx.unwrap_quotes(F.col("value")), F.col("text"))
-            answers = answers.withColumn("value", value)
-        answers.select(*schema.fieldNames()).write.mode("append").parquet(cache)
+        answers.write.mode("append").parquet(cache)
 
 
 def _pending_texts(keyed: DataFrame, col: str, cache: DataFrame, skip_mark: str | None) -> DataFrame:
@@ -89,8 +84,9 @@ def _pending_texts(keyed: DataFrame, col: str, cache: DataFrame, skip_mark: str
     texts = keyed.select("key", F.col(col).alias("text")).filter("text IS NOT NULL")
     if skip_mark:
         texts = texts.filter(~tx.already_marked(F.col("text"), skip_mark))
-    # Equal keys are equal texts; by key alone, the texts lie ready for the cache join.
-    return cache_misses(texts.dropDuplicates(["key"]), cache)
+    # The cache is asked by keys; only texts that it lacks are brought together.
+    wanted = cache_misses(texts.select("key").distinct(), cache)
+    return texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
 def pending_texts(
@@ -105,10 +101,9 @@ def _text_task(resolver: TextResolver, options: Options) -> Callable:
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _batches(frames, options):
             texts = batch["text"]
-            answers = _call(resolver, texts, lambda v: pd.Series([None] * len(v), index=v.index))
-            yield pd.DataFrame(
-                {"key": batch["key"], "text": texts, "value": answers}
-            )
+            none = lambda v: pd.Series([None] * len(v), index=v.index)
+            answers = _call(resolver, texts, none, options.pause)
+            yield pd.DataFrame({"key": batch["key"], "value": answers})
 
     return task
 
@@ -123,7 +118,8 @@ def resolve_text(
 ) -> tuple[DataFrame, DataFrame]:
     """Replace texts by the resolver's answer, then apply the de-identification rules.
 
-    Only distinct texts that are neither cached nor already marked are resolved; a text
+    Only distinct texts that are neither cached nor already marked are resolved. The cache
+    holds the answer, or NULL for none; at reading an answer loses its quotes, and a text
     without an answer stays as it is. Returns the rows (with `changed`) and the cache.
     """
     spark = df.sparkSession
@@ -131,7 +127,8 @@ def resolve_text(
     todo = _pending_texts(keyed, col, read_cache(spark, cache, TEXT_CACHE), mark)
     _run(todo, _text_task(resolver, options), TEXT_ANSWERS, F.lit(True), cache, options)
     cached = read_cache(spark, cache, TEXT_CACHE)
-    resolved = cache_apply(keyed, cached, "key", F.col(col), "_resolved")
+    bare = cached.withColumn("value", tx.unwrap_quotes(F.col("value")))
+    resolved = cache_apply(keyed, bare, "key", F.col(col), "_resolved")
     final = tx.deidentify(F.col("_resolved"))
     rows = (
         resolved.withColumn("_final", final)
@@ -204,7 +201,7 @@ def resolve_points(
             return pd.DataFrame({"lat": None, "lon": None, "status": "error"}, index=values.index)
 
         for batch in _batches(frames, options):
-            answers = _call(resolver, batch[[street, number]], failed)
+            answers = _call(resolver, batch[[street, number]], failed, options.pause)
             yield answers[["lat", "lon", "status"]].assign(key=batch["key"])[
                 ["key", "lat", "lon", "status"]
             ].astype({"lat": "float64", "lon": "float64"})

@@ -27,7 +27,7 @@ def period_start(ts: Column, unit: str) -> Column:
 
 
 def _step(unit: str) -> Column:
-    return F.expr(f"interval 1 {unit}")
+    return F.expr("interval 3 months" if unit == "quarter" else f"interval 1 {unit}")
 
 
 def period_counts(df: DataFrame, ts: str, unit: str) -> DataFrame:

@@ -22,10 +22,13 @@ POINT_CACHE = T.StructType(
 
 
 def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The cache as a frame; an absent one is empty."""
+    """The cache as a frame with one row per key; an absent one is empty. Where two runs
+    answered for one key, an answer counts before none, and the greater one of two."""
     if not table_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    values = [n for n in schema.fieldNames() if n != "key"]
+    rows = spark.read.schema(schema).parquet(path).groupBy("key")
+    return rows.agg(F.max(F.struct(*values)).alias("_row")).select("key", "_row.*")
 
 
 def append_cache(entries: DataFrame, path: str, schema: T.StructType) -> None:

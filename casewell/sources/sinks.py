@@ -68,8 +68,11 @@ def refresh(df: DataFrame, path: str, dependents: Mapping[str, T.StructType]) ->
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there; one that can't be read is an error."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
     return True

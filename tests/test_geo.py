@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from casewell.operators import geo
-from casewell.operators import joins as J
 from casewell.sources.readers import read_geojson, read_indicator_csv
 
 RINGS = "array<array<array<array<double>>>>"
@@ -38,10 +37,7 @@ def test_strict_containment(spark):
         assert found == {**{i: want for i, (_, _, want) in enumerate(CASES)}, 99: None}, cell
 
 
-def test_crowded_cells_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(J, "HOT_ROWS", 20)
-    monkeypatch.setattr(J, "ROWS_PER_SALT", 10)
-    monkeypatch.setattr(J, "broadcast_sized", lambda df: False)
+def test_crowded_cells(spark):
     points = [(i, 0.5, 0.5) for i in range(300)] + [(1000, 5.0, 5.0), (1001, None, None)]
     df = spark.createDataFrame(points, "id int, lat double, lon double")
     found = {r["id"]: r["zone"] for r in geo.zone_join(df, zones(spark), "id", 1.0).collect()}

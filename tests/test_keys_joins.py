@@ -57,17 +57,6 @@ def test_number_rows_keeps_rows_without_values(spark, large):
     assert found == [(1, 5, 2), (1, None, 1), (None, 1, 1), (None, 2, 2)]
 
 
-def test_broadcast_size_is_checked(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
-    assert J.broadcast_sized(small)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
-    assert not J.broadcast_sized(small)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert not J.broadcast_sized(small)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def test_dense_ids(spark):
     df = spark.range(0, 5000, numPartitions=7).select(F.xxhash64("id").alias("h"))
     out = K.dense_ids(df, ["h"], start=11).orderBy("id").collect()
@@ -112,31 +101,62 @@ def test_links(spark):
 
 
 @pytest.fixture
-def salted(monkeypatch):
-    """Small limits, and no side small enough to be joined as it is."""
-    monkeypatch.setattr(J, "HOT_ROWS", 20)
-    monkeypatch.setattr(J, "ROWS_PER_SALT", 10)
-    monkeypatch.setattr(J, "broadcast_sized", lambda df: False)
+def merged(spark):
+    """No side is broadcast, and partitions of a few kilobytes count as skewed."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_key_is_split(spark, merged, tmp_path):
+    hot = spark.range(60_000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) AS k", "sha2(cast(id as string), 256) AS x")
+    hot.repartition(8).write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = spark.range(500).selectExpr("if(id = 0, 'hot', cast(id as string)) AS k", "id AS v")
+    joined = J.lookup(left, right, "k")
+    assert joined.agg({"v": "count", "id": "count"}).first()[1] == 60_000
+    joined.collect()
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("column", ["map('a', id) AS m", "parse_json('1') AS m", "NULL AS m"])
+def test_attach_takes_any_columns(spark, merged, column):
+    left = spark.range(5).selectExpr("nullif(id, 3) AS k", column)
+    for frame in (left, left.select("k")):
+        got = J.attach(frame, spark.createDataFrame([(1, "x"), (None, "y")], "k long, v string"), "k")
+        assert sorted((r["k"], r["v"]) for r in got.select("k", "v").collect() if r["k"] is not None) == [
+            (0, None), (1, "x"), (2, None), (4, None),
+        ]
+        assert got.filter("k IS NULL AND v IS NULL").count() == 1
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_skew_join_equals_plain_join(spark, salted, how):
+def test_lookup_with_hot_and_null_keys(spark, merged, how):
     keys = ["hot"] * 400 + ["warm"] * 50 + ["k1", "k2", "k3"] + [None] * 30
     left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     right = spark.createDataFrame(
         [("hot", 1), ("hot", 2), ("warm", 3), ("k1", 4), ("other", 5)], "k string, v int"
     )
-    assert J.hot_keys(left, "k").count() == 2
-    got = J.skew_join(left, right, "k", how).select("id", "k", "v")
+    got = J.lookup(left, right, "k", how).select("id", "k", "v")
     assert rows(got) == rows(left.join(right, "k", how).select("id", "k", "v"))
 
 
-def test_skew_join_on_two_keys(spark, salted):
+def test_lookup_on_two_keys(spark, merged):
     left = spark.createDataFrame(
         [(i, "a" if i < 90 else None, i % 3) for i in range(100)], "id int, k string, n int"
     )
     right = spark.createDataFrame([("a", 0, 1), ("a", 1, 2)], "k string, n int, v int")
-    got = J.skew_join(left, right, ["k", "n"]).select("id", "k", "n", "v")
+    got = J.lookup(left, right, ["k", "n"]).select("id", "k", "n", "v")
     assert rows(got) == rows(left.join(right, ["k", "n"], "left").select("id", "k", "n", "v"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"logistic_three", "mca"}
@@ -16,7 +17,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) is None
 
@@ -27,7 +28,8 @@ def test_query_without_sql_gives_rows(spark, name):
 
 
 def test_only_iterative_fits_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WITHOUT_SQL
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import time
+from contextlib import contextmanager
 import sys
 
 import pandas as pd
@@ -61,7 +63,7 @@ def test_failed_text_stays(spark, tmp_path):
     rows, cached = X.resolve_text(texts_frame(spark), "t", failing, cache)
     found = {r["id"]: r["t"] for r in rows.collect()}
     assert found[0] == "OFICIAL OJEDA [LP]" and found[1] == "dolor"
-    assert "OFICIAL OJEDA LP 12" in answers(cached).values()
+    assert None in answers(cached).values()
 
 
 def test_parts_resume(spark, tmp_path):
@@ -91,14 +93,47 @@ def test_attributes(spark, tmp_path, version):
 
     out = {r["id"]: json.loads(r["attributes"])["kind"] for r in run(attribute_rule, version).collect()}
     assert out == {1: "x", 2: "none", 3: "none", 5: "x"}
-    run(forbidden_attributes, version).collect()
+    with calls(tmp_path) as counted:
+        run(counted, version).collect()
+    assert not (tmp_path / "called").exists()
     # Another version asks again for every text.
     todo = X.pending_texts(df, "t", read_cache(spark, cache, TEXT_CACHE), version + "-next")
     assert todo.count() == 3
 
 
-def forbidden_attributes(texts: pd.Series) -> pd.Series:
-    raise AssertionError("must not be called")
+@contextmanager
+def calls(folder):
+    """A resolver that leaves a file when it is called."""
+    path = str(folder / "called")
+
+    def resolver(texts: pd.Series) -> pd.Series:
+        open(path, "w").close()
+        return pd.Series([None] * len(texts), index=texts.index)
+
+    yield resolver
+
+
+def test_texts_that_are_json_are_no_answers(spark, tmp_path):
+    texts = ["true", "12345", '{"sexo": "M"}', '"{}"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    none = lambda v: pd.Series([None] * len(v), index=v.index)
+    out = X.resolve_attributes(df, "id", "t", none, str(tmp_path / "c"), {"k": 1}, "2024-01-01 00:00:00", "m")
+    assert {r["attributes"] for r in out.collect()} == {'{"k": 1}'}
+
+
+def test_pause_follows_every_call():
+    def refuse(v):
+        raise RuntimeError
+
+    start = time.time()
+    X._call(refuse, pd.Series(["a"] * 4), lambda v: pd.Series([None], index=v.index), 0.05)
+    assert time.time() - start >= 0.25
+
+
+def test_double_keys_in_a_cache_do_not_double_rows(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    spark.createDataFrame([("k", None), ("k", "a"), ("k", "b")], TEXT_CACHE).write.parquet(path)
+    assert answers(read_cache(spark, path, TEXT_CACHE)) == {"k": "b"}
 
 
 def test_default_object_is_the_contract():
