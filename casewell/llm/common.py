@@ -7,7 +7,7 @@ text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,18 +112,14 @@ class Kept:
         self.old: dict = {}
         self.most = most
 
-    def missing(self, keys: Iterable) -> list:
+    def missing(self, keys: set) -> list:
         """Keys without a value; the others can then be read from `new`."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        out = []
-        for key in set(keys):
-            if key not in self.new:
-                if key in self.old:
-                    self.new[key] = self.old[key]
-                else:
-                    out.append(key)
-        return out
+        out = keys - self.new.keys()
+        known = out & self.old.keys()
+        self.new.update((key, self.old[key]) for key in known)
+        return list(out - known)
 
 
 def slim(df: DataFrame, *columns: str) -> DataFrame:

@@ -77,7 +77,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 raw = data.tobytes()
                 texts = [raw[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 # Byte order of UTF-8 is the order of code points.
-                new = sorted(kept.missing(w for t in texts for w in t))
+                new = sorted(kept.missing(set().union(*texts)))
                 cache = kept.new
                 cache.update(zip(new, terminal_counts([MARK + w.decode() for w in new], pieces, longest, unknown), strict=True))
                 sums = [sum([cache[w] for w in t]) for t in texts]

@@ -14,6 +14,7 @@ import io
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,9 +122,10 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
         tokenizer.no_truncation()
         tokenizer.no_padding()
         kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        code = kind.char
 
         def ids(texts: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, kind).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         kept = Kept(CACHED)
         stop = np.asarray([end], kind).tobytes()
@@ -132,12 +134,14 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 chunks = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-                own: dict[str, bytes] = {}
-                new = kept.missing(c for t in chunks for c in t)
+                new = kept.missing(set().union(*chunks))
                 cache = kept.new
-                for chunk, value in zip(new, ids(new), strict=True):
-                    (cache if len(chunk) < 100 else own)[chunk] = value
-                rows = [b"".join([own[c] if c in own else cache[c] for c in t]) + stop for t in chunks]
+                cache.update(zip(new, ids(new), strict=True))
+                rows = [b"".join(map(cache.__getitem__, t)) + stop for t in chunks]
+                # Long chunks are not worth their memory.
+                for chunk in new:
+                    if len(chunk) >= 100:
+                        del cache[chunk]
                 yield pa.RecordBatch.from_arrays(
                     [frame.column(0).slice(start, last - start), pa.array(rows, pa.binary()), pa.array([kind.itemsize] * len(rows), pa.int32())],
                     names=[key, "ids", "width"],

@@ -158,7 +158,7 @@ def _encoded(df: DataFrame, path: str, key: str, text: str, whole: bool) -> Data
             for start, end, data, bounds in runs(frame.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b].split() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                new = kept.missing(c for t in texts for c in t)
+                new = kept.missing(set().union(*texts))
                 cache = kept.new
                 for chunk, ids in zip(new, encode_chunks(new, v), strict=True):
                     cache[chunk] = (len(ids), " ".join(map(str, ids.tolist())), decode(ids, v))
