@@ -14,68 +14,64 @@ from casewell.session import stage
 # monotonically_increasing_id puts the partition number above these bits.
 _POSITION_BITS = 33
 
-# Rows of a part from which on no task sorts it alone.
-LARGE_PART = 2_000_000
-
 
 def number_rows(
-    df: DataFrame,
-    part: Sequence[str],
-    order: Sequence[str],
-    name: str = "row_number",
-    large: int = LARGE_PART,
+    df: DataFrame, part: Sequence[str], order: Sequence[str], name: str = "row_number"
 ) -> DataFrame:
     """1, 2, … inside each `part` by the order columns, which tell its rows apart.
 
-    Parts are counted first. One with `large` rows or more is not sorted in one task: such
-    parts are put in total order over all tasks, and a row's number is its place less that
-    of the first row of its part.
+    All rows are put in total order over all tasks. A row is numbered among the rows of its
+    part that lie in the same partition; only the part at the start of a partition can have
+    rows in earlier ones, and their number is added. So no task sorts a part alone.
     """
-    counted = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
-    # No more than one entry in `large` rows, which bounds the broadcasts below.
-    listed = stage(
-        counted.filter(F.col("_rows") >= large).select(
-            *[F.col(c).alias(f"_large_{c}") for c in part]
-        ),
-        "large-parts",
+    placed = _ordered(df, [*part, *order], "rows")
+    pieces = placed.groupBy("_part", *part).agg(
+        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    whole = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint")
-    if listed.isEmpty():
-        return df.withColumn(name, whole)
-    # Null-safe, so that rows without a part value keep a number too.
-    is_large = [F.col(c).eqNullSafe(F.col(f"_large_{c}")) for c in part]
-    small_rows = df.join(F.broadcast(listed), is_large, "left_anti").withColumn(name, whole)
-    large_rows = df.join(F.broadcast(listed), is_large, "left_semi")
-    placed = positioned(large_rows, [*part, *order], "rows").withColumn(
-        "_place", F.col("_before") + F.col("_pos")
+    # A part has no more pieces than there are partitions.
+    earlier = Window.partitionBy(*part).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    run_over = pieces.withColumn("_earlier", F.sum("_rows").over(earlier)).filter(
+        "_first = 0 AND _earlier > 0"
     )
-    firsts = placed.groupBy(*[F.col(c).alias(f"_large_{c}") for c in part]).agg(
-        F.min("_place").alias("_first")
+    inside = F.row_number().over(Window.partitionBy("_part", *part).orderBy("_pos"))
+    # One row per partition at most, which bounds the broadcast.
+    own = run_over.select(
+        F.col("_part").alias("_at"), "_earlier", *[F.col(c).alias(f"_over_{c}") for c in part]
     )
-    number = (F.col("_place") - F.col("_first") + 1).cast("bigint").alias(name)
-    numbered = placed.join(F.broadcast(firsts), is_large).select(*df.columns, number)
-    return small_rows.unionByName(numbered)
+    same = F.col("_part") == F.col("_at")
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_over_{c}"))
+    numbered = placed.withColumn("_inside", inside).join(F.broadcast(own), same, "left")
+    number = (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).cast("bigint").alias(name)
+    return numbered.select(*df.columns, number)
 
 
-def positioned(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
-    """`df` in total order with `_part`, `_pos` (0-based place in the part), `_before`
-    (rows in earlier parts) and `_total` (all rows).
+def _ordered(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+    """`df` in total order with `_part` and `_pos` (0-based place in the part).
 
     Rows are range-partitioned and sorted, never brought into one task. The ordered rows
     are staged, since range bounds are sampled and a re-run task could cut them elsewhere.
-    The table of part sizes has one row per partition, so it may be broadcast.
     """
     ordered = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_seq", F.monotonically_increasing_id())
     )
-    staged = (
+    return (
         stage(ordered, label)
         .withColumn("_part", F.shiftright("_seq", _POSITION_BITS))
         .withColumn("_pos", F.col("_seq").bitwiseAND((1 << _POSITION_BITS) - 1))
         .drop("_seq")
     )
+
+
+def positioned(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+    """`df` in total order with `_part`, `_pos` (0-based place in the part), `_before`
+    (rows in earlier parts) and `_total` (all rows).
+
+    The table of part sizes has one row per partition, so it may be broadcast.
+    """
+    staged = _ordered(df, order, label)
     sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
@@ -100,12 +96,19 @@ def distinct_of(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def _told_apart(df: DataFrame) -> DataFrame:
+    """Distinct rows, by counting them. The optimizer would drop a plain distinct below a
+    minimum, and the minimum of a text or struct sorts every row it reads."""
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.filter("_n > 0").drop("_n")
+
+
 def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key: the least of its distinct rows."""
     rest = [c for c in df.columns if c not in keys]
-    rows = df.distinct()
     if not rest:
-        return rows
+        return df.distinct()
+    rows = _told_apart(df)
     least = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
     return least.select(*keys, "_row.*").select(*df.columns)
 
@@ -116,7 +119,7 @@ def one_name_per_code(df: DataFrame, code: str = "code", name: str = "name") ->
 
 def coded_dim(df: DataFrame, label: str) -> DataFrame:
     """`(code, name)` of a coded label column, one row per code."""
-    labels = df.select(label).filter(F.col(label).isNotNull()).distinct()
+    labels = _told_apart(df.select(label).filter(F.col(label).isNotNull()))
     pairs = labels.select(
         tx.label_code(F.col(label)).alias("code"), tx.label_name(F.col(label)).alias("name")
     )

@@ -210,7 +210,12 @@ def resolve_points(
     cached = read_cache(spark, cache, POINT_CACHE).filter(vl.in_box(F.col("lat"), F.col("lon"), box))
     hits = cached.select("key", "lat", "lon")
     fit_key = F.when((F.col(street) != "") & (F.col(number) > 0), pair)
-    found = locations.withColumn("key", fit_key).join(hits, "key", "left").drop("key")
+    keyed = locations.withColumn("key", fit_key)
+    # Rows that are not looked up share no key in a shuffle.
+    unknown = F.lit(None).cast("double")
+    skipped = keyed.filter("key IS NULL").withColumns({"lat": unknown, "lon": unknown})
+    asked = keyed.filter("key IS NOT NULL").join(hits, "key", "left")
+    found = asked.unionByName(skipped).drop("key")
     located = F.col("lat").isNotNull()
     return found.withColumns(
         {

@@ -34,14 +34,23 @@ def test_ingest_fixture(spark):
     assert out[1]["movil"] == "8" and len(out[1]) == 12
 
 
-@pytest.mark.parametrize("large", [1, 100, 10_000])
-def test_number_rows_of_large_parts(spark, large):
+@pytest.fixture(params=["true", "false"])
+def cut(spark, request):
+    """Once with few partitions, once with as many as there are."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, request.param)
+    yield
+    spark.conf.set(setting, before)
+
+
+def test_number_rows_of_large_parts(spark, cut):
     random.seed(1)
     data = [
         (p, t, r) for p in (1, 2, 3) for t in (1, 2) for r in random.sample(range(-250, 250), 20 * p)
     ]
     df = spark.createDataFrame(random.sample(data, len(data)), "p int, t int, r int")
-    out = K.number_rows(df, ["p"], ["t", "r"], large=large).collect()
+    out = K.number_rows(df, ["p"], ["t", "r"]).collect()
     expected = {}
     for p in (1, 2, 3):
         for i, key in enumerate(sorted(d for d in data if d[0] == p), start=1):
@@ -50,13 +59,19 @@ def test_number_rows_of_large_parts(spark, large):
     assert len(out) == len(data)
 
 
-@pytest.mark.parametrize("large", [1, 10])
-def test_number_rows_keeps_rows_without_values(spark, large):
+def test_number_rows_keeps_rows_without_values(spark, cut):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 5)], "p int, r int")
-    found = rows(K.number_rows(df, ["p"], ["r"], large=large))
+    found = rows(K.number_rows(df, ["p"], ["r"]))
     assert found == [(1, 5, 2), (1, None, 1), (None, 1, 1), (None, 2, 2)]
 
 
+def test_number_rows_of_one_giant_part(spark, cut):
+    df = spark.range(0, 5000, numPartitions=7).select(F.lit(1).alias("p"), F.xxhash64("id").alias("r"))
+    out = K.number_rows(df, ["p"], ["r"]).orderBy("row_number").collect()
+    assert [r["row_number"] for r in out] == list(range(1, 5001))
+    assert [r["r"] for r in out] == sorted(r["r"] for r in out)
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 5000, numPartitions=7).select(F.xxhash64("id").alias("h"))
     out = K.dense_ids(df, ["h"], start=11).orderBy("id").collect()
@@ -67,7 +82,10 @@ def test_dense_ids(spark):
 def test_one_name_per_code(spark):
     labels = ["04 - B", "04 - A", "05 - C", None, "SIN"]
     df = spark.createDataFrame([(v,) for v in labels], "l string")
-    assert rows(K.coded_dim(df, "l")) == [("04", "A"), ("05", "C"), ("SIN", "SIN")]
+    dim = K.coded_dim(df, "l")
+    assert rows(dim) == [("04", "A"), ("05", "C"), ("SIN", "SIN")]
+    plan = dim._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan  # labels are counted before the least name is taken
 
 
 def test_insert_upsert(spark):
