@@ -7,7 +7,9 @@ text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,19 @@ class Kept:
         return list(out - known)
 
 
+_HELD: dict[str, tuple] = {}
+
+
+def held(name: str, path: str, make: Callable[[], Any]) -> Any:
+    """What `make` builds from a file, held by the Python worker for its later tasks: one value
+    a name, built anew when another file is asked for or the file has changed."""
+    stat = os.stat(path)
+    mark = (path, stat.st_mtime_ns, stat.st_size)
+    if name not in _HELD or _HELD[name][0] != mark:
+        _HELD[name] = (mark, make())
+    return _HELD[name][1]
+
+
 def slim(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that clashing extra ones can't matter."""
     return df.select(*[df[c] for c in columns])

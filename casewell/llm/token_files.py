@@ -23,17 +23,46 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewell.llm.common import Kept, mix, runs, slim
+from casewell.llm.common import Kept, held, mix, runs, slim
 from casewell.session import stage, staging_root
 
-CACHED = 300_000
+CACHED = 400_000
 GAMMA = 2
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-_CHUNK = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+")
-
+_RUN = re.compile(r"((?:[ \t\n\x0b\f\r]{2,}|[\t\x0b\f\r])[^ \t\n\x0b\f\r]*)")
+_RUN_SIGNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\f")
+_BLANKS = " \t\n\x0b\f\r"
 _TAIL = ".,;:!?"
 
 
+def _keys(text: str) -> list[str]:
+    """Keys of a text's chunks (a run of blanks and the word behind it), see `_chunk`.
+
+    Between longer runs of blanks a plain split does: only single spaces and line ends are left.
+    """
+    out: list[str] = []
+    # Plain searches tell far sooner than the pattern that a text has no such run.
+    for i, part in enumerate(_RUN.split(text) if any(s in text for s in _RUN_SIGNS) else [text]):
+        if i % 2:
+            out.append(part)
+            continue
+        own = part.replace("\n", " \n").split(" ")
+        if not own[0]:
+            del own[0]
+        elif i == 0:
+            own[0] = " " + own[0]
+        out += own
+    return out
+
+
+def _chunk(key: str) -> str:
+    """Text of a key: a word's own is short for a space and the word, a word with one space
+    before it is the first of a text, and other blanks stand for themselves."""
+    if key[:1] not in _BLANKS or not key:
+        return " " + key
+    return key[1:] if key[0] == " " and key[1:2] not in _BLANKS else key
+
+
 def _parts(chunk: str) -> tuple[str, ...]:
     """A chunk without the marks behind its last letter, and these marks: no token of the
     pattern holds a letter and one of them, so both are encoded apart and shared more often."""
@@ -114,12 +143,22 @@ def _save(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     fs.move(own, path)
 
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
     """`key`, `ids` (binary) and `width` of every whole text, the id `end` appended; null is empty.
 
-    The tokenizers library encodes each chunk (a run of blanks and the word behind it) once per
-    task: no token of this vocabulary's pattern crosses the place before such a run. Marks at the
-    end of a chunk are encoded apart. Texts with other white space are encoded whole.
+    The tokenizers library encodes each new chunk (a run of blanks and the word behind it): no
+    token of this vocabulary's pattern crosses the place before such a run. Marks at the end of a
+    chunk are encoded apart. Texts with other white space are encoded whole. Recent results stay
+    in the Python worker, up to a bound, for its later tasks too.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -127,35 +166,38 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer, kept = held("token_files", path, lambda: (_tokenizer(path), Kept(CACHED)))
         kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         code = kind.char
 
         def ids(texts: list[str]) -> list[bytes]:
             return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        kept = Kept(CACHED)
+        def learn(keys: set[str]) -> list[str]:
+            """Put the ids of keys into `kept.new`; new long ones are returned."""
+            new = kept.missing(keys)
+            parts = [_parts(_chunk(k)) for k in new]
+            unseen = list(set().union(*parts))
+            found = dict(zip(unseen, ids(unseen), strict=True))
+            kept.new.update((k, b"".join(map(found.__getitem__, p))) for k, p in zip(new, parts, strict=True))
+            return [k for k in new if len(k) >= 100]
+
         stop = np.asarray([end], kind).tobytes()
         for frame in frames:
             for start, last, data, bounds in runs(frame.column(1)):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                chunks = [[t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-                new = kept.missing(set().union(*chunks))
-                cache = kept.new
-                parts = [_parts(c) for c in new]
-                unseen = list(set().union(*parts) - cache.keys())
-                cache.update(zip(unseen, ids(unseen), strict=True))
-                cache.update((c, b"".join(map(cache.__getitem__, p))) for c, p in zip(new, parts, strict=True) if len(p) > 1)
-                rows = [b"".join(map(cache.__getitem__, t)) + stop for t in chunks]
-                # Long chunks are not worth their memory.
-                for chunk in {*new, *unseen}:
-                    if len(chunk) >= 100:
-                        del cache[chunk]
+                odd = [bool(_ODD_SPACE.search(t)) for t in texts]
+                keys = [[] if o else _keys(t) for o, t in zip(odd, texts, strict=True)]
+                found = [list(map(kept.new.get, k)) for k in keys]
+                open_ = [i for i, f in enumerate(found) if None in f]
+                long = learn({k for i in open_ for k, f in zip(keys[i], found[i], strict=True) if f is None})
+                for i in open_:
+                    # A full generation may just have been put behind a new one.
+                    found[i] = [kept.new[k] if f is None else f for k, f in zip(keys[i], found[i], strict=True)]
+                rows = [b"".join(ids([t]) if o else f) + stop for o, t, f in zip(odd, texts, found, strict=True)]
+                for key_ in long:  # not worth their memory
+                    del kept.new[key_]
                 yield pa.RecordBatch.from_arrays(
                     [frame.column(0).slice(start, last - start), pa.array(rows, pa.binary()), pa.array([kind.itemsize] * len(rows), pa.int32())],
                     names=[key, "ids", "width"],
