@@ -15,7 +15,7 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewell.llm.common import Kept, held, mix, runs, slim
+from casewell.llm.word_bpe import byte_chars
 from casewell.session import stage, staging_root
 
 CACHED = 400_000
@@ -32,7 +33,10 @@ _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 _RUN = re.compile(r"((?:[ \t\n\x0b\f\r]{2,}|[\t\x0b\f\r])[^ \t\n\x0b\f\r]*)")
 _RUN_SIGNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\f")
 _BLANKS = " \t\n\x0b\f\r"
-_TAIL = ".,;:!?"
+_TAIL = ".,;:!?#$%&*"
+# A space or none and Latin letters: one pre-token whatever the version of the letter tables.
+_WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SHOWN = dict(enumerate(byte_chars()))
 
 
 def _keys(text: str) -> list[str]:
@@ -64,8 +68,10 @@ def _chunk(key: str) -> str:
 
 
 def _parts(chunk: str) -> tuple[str, ...]:
-    """A chunk without the marks behind its last letter, and these marks: no token of the
-    pattern holds a letter and one of them, so both are encoded apart and shared more often."""
+    """A chunk cut at places that no token of the pattern crosses, so that its parts are shared
+    more often: behind a single line end, and between a last letter and the marks behind it."""
+    if chunk[0] == "\n" and chunk[1:2] not in _BLANKS:
+        return "\n", *_parts(chunk[1:])
     base = chunk.rstrip(_TAIL)
     if len(base) < len(chunk) and base[-1:].isascii() and base[-1:].isalpha():
         return base, chunk[len(base) :]
@@ -170,15 +176,28 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
         kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         code = kind.char
 
+        model = tokenizer.model
+
         def ids(texts: list[str]) -> list[bytes]:
             return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+        def part_ids(parts: Iterable[str]) -> dict[str, bytes]:
+            """Single words go to the library's model at once, all other parts to its whole chain."""
+            out, other = {}, []
+            for p in parts:
+                if _WORD.fullmatch(p):
+                    shown = p.encode().decode("latin-1").translate(_SHOWN)
+                    out[p] = array(code, [t.id for t in model.tokenize(shown)]).tobytes()
+                else:
+                    other.append(p)
+            out.update(zip(other, ids(other), strict=True))
+            return out
+
         def learn(keys: set[str]) -> list[str]:
             """Put the ids of keys into `kept.new`; new long ones are returned."""
             new = kept.missing(keys)
             parts = [_parts(_chunk(k)) for k in new]
-            unseen = list(set().union(*parts))
-            found = dict(zip(unseen, ids(unseen), strict=True))
+            found = part_ids(set().union(*parts))
             kept.new.update((k, b"".join(map(found.__getitem__, p))) for k, p in zip(new, parts, strict=True))
             return [k for k in new if len(k) >= 100]
 
