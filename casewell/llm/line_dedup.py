@@ -12,7 +12,11 @@ the corpus is the sequence of documents by key. Positions are numbered in that o
    and the first copy matter. Prefixes that occur once drop out in every round.
 3. A run is the shortest one from a position with `min_words` words. Its interval is found from
    the names of the two power-of-two prefixes that cover it. Where the interval begins
-   earlier, the run is a later copy. Runs that touch or overlap join to maximal ones.
+   earlier, the run is a later copy. Runs that touch or overlap join to longer ones.
+   With `maximal` the shortest run that ends at each line counts as well. The two together
+   cover every repeated run of `min_words` words to its last line: of such a run the shortest
+   ones from its lines, and the shortest one that ends with it, all lie inside it. Without it
+   (as the SQL of `op9_line_dedup` has it) lines behind the last full run from a line stay.
 4. The lines of later copies are deleted; all else stays, in order.
 
 The rounds end with the longest run that `min_words` needs, or when nothing repeats any more.
@@ -69,6 +73,24 @@ def run_lengths(words: str, least: int) -> Column:
     return F.expr(f"element_at(transform(array({sums}), sums -> {search}), 1)")
 
 
+def run_spans(lengths: Column, size: Column) -> Column:
+    """(length, most) per line: from the shortest run there to the longest of those that start
+    there and are the shortest that end at their last line, or null.
+
+    The run from the next line ends where runs from this one cease to be the shortest. Over
+    all lines these are at most two runs a line.
+    """
+    return F.transform(
+        F.array(lengths),
+        lambda all_: F.transform(
+            all_,
+            lambda x, i: F.when(
+                x.isNotNull(), F.struct(x.alias("length"), F.greatest(x, F.coalesce(F.get(all_, i + 1), size - i)).alias("most"))
+            ),
+        ),
+    )[0]
+
+
 def _first(rows: DataFrame, *name: str) -> DataFrame:
     """Least position of each name that stands at more than one."""
     ends = rows.groupBy(*name).agg(F.min("at").alias("first"), F.max("at").alias("last"))
@@ -79,20 +101,28 @@ def doubled(names: DataFrame, h: int) -> DataFrame:
     """(at, name) of the repeated prefixes of 2h lines from those of h lines."""
     ahead = names.select((F.col("at") - h).alias("at"), F.col("name").alias("next"))
     pairs = names.join(ahead, "at")
-    return pairs.join(_first(pairs, "name", "next"), ["name", "next"]).select("at", F.col("first").alias("name"), "length")
+    rest = [c for c in names.columns if c not in ("at", "name")]
+    return pairs.join(_first(pairs, "name", "next"), ["name", "next"]).select("at", F.col("first").alias("name"), *rest)
 
 
 def later_copies(names: DataFrame, h: int) -> DataFrame:
     """(at, length) of runs of h to 2h - 1 lines whose interval begins earlier."""
-    own = names.filter(F.col("length").between(h, 2 * h - 1))
+    if "most" in names.columns:
+        some = names.filter((F.col("length") < 2 * h) & (F.col("most") >= h))
+        each = F.explode(F.sequence(F.greatest("length", F.lit(h)), F.least("most", F.lit(2 * h - 1))))
+        own = some.select("at", "name", each.alias("length"))
+    else:
+        own = names.filter(F.col("length").between(h, 2 * h - 1))
     tails = names.select(F.col("at").alias("_tail"), F.col("name").alias("tail"))
     runs = own.withColumn("_tail", F.col("at") + F.col("length") - h).join(tails, "_tail").drop("_tail")
     first = runs.groupBy("name", "tail", "length").agg(F.min("at").alias("first"))
     return runs.join(first, ["name", "tail", "length"]).filter("at > first").select("at", "length")
 
 
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """Later copies as maximal runs of lines: `_key`, `_hash`, `runs` (start, stop; from 0, stop
+def repeated_runs(
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, maximal: bool = False
+) -> DataFrame:
+    """Later copies as joined runs of lines: `_key`, `_hash`, `runs` (start, stop; from 0, stop
     excluded, in order), for documents that have any.
 
     Rows with the same key and text are one document; different texts of one key stand in the
@@ -100,21 +130,23 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """
     documents = stage(line_rows(df, key, text), "lines")
     order = dense_ids(documents.select("_key", "_hash").distinct(), ["_key", "_hash"], "_number", 0)
-    lengths = run_lengths("lines.words", min_words).alias("lengths")
-    numbered = documents.join(order, ["_key", "_hash"]).select("_number", "lines", lengths)
-    cell = F.posexplode(F.arrays_zip(F.col("lines.a").alias("a"), F.col("lines.b").alias("b"), F.col("lengths").alias("length")))
+    lengths = run_lengths("lines.words", min_words)
+    spans = run_spans(lengths, F.size("lines")) if maximal else lengths
+    numbered = documents.join(order, ["_key", "_hash"]).select("_number", "lines", spans.alias("spans"))
+    cell = F.posexplode(F.arrays_zip(F.col("lines.a").alias("a"), F.col("lines.b").alias("b"), F.col("spans").alias("span")))
+    span = [F.col("_it.span.length"), F.col("_it.span.most")] if maximal else [F.col("_it.span").alias("length")]
     lines = stage(
         numbered.select("_number", cell.alias("_line", "_it")).select(
-            (F.shiftleft("_number", LINE_BITS) + F.col("_line")).alias("at"), "_it.*"
+            (F.shiftleft("_number", LINE_BITS) + F.col("_line")).alias("at"), "_it.a", "_it.b", *span
         ),
         "line-rows",
     )
-    names = stage(lines.join(_first(lines, "a", "b"), ["a", "b"]).select("at", F.col("first").alias("name"), "length"), "names")
+    names = stage(lines.join(_first(lines, "a", "b"), ["a", "b"]).drop("a", "b").withColumnRenamed("first", "name"), "names")
     h, found = 1, None
     while True:
         copies = stage(later_copies(names, h), "copies")
         found = copies if found is None else found.unionByName(copies)
-        longer = names.agg(F.max("length")).first()[0]
+        longer = names.agg(F.max("most" if maximal else "length")).first()[0]
         if longer is None or longer < 2 * h:
             break
         names = stage(doubled(names, h), "names")
@@ -125,20 +157,22 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     reach = F.max("stop").over(place.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("_new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int"))
     islands = islands.withColumn("_island", F.sum("_new").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    maximal = islands.groupBy("_number", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    per_document = maximal.groupBy("_number").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    joined = islands.groupBy("_number", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    per_document = joined.groupBy("_number").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     return per_document.join(order, "_number").select("_key", "_hash", "runs")
 
 
-def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+def drop_repeated_lines(
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, maximal: bool = False
+) -> DataFrame:
     """All rows and columns of `df`, with the lines of later copies taken out of `text`, and
     `_runs` (null where nothing was). A text of which no line stays is empty.
 
-    A run of lines counts if it has `min_words` words. Its first copy in the order of keys
+    A run of lines counts if it has `min_words` words; all of it goes if `maximal`. Its first copy in the order of keys
     stays, also where copies overlap. Null and empty texts and rows without a key stay as
     they are.
     """
-    runs = repeated_runs(df, key, text, min_words)
+    runs = repeated_runs(df, key, text, min_words, maximal)
     own = df.withColumn("_hash", F.xxhash64(df[text])).withColumn("_key", F.col(key))
     joined = own.join(runs, ["_key", "_hash"], "left").drop("_key", "_hash")
     lines = F.split(F.col(text), "\n")
@@ -156,10 +190,12 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     return joined.select(*rest, F.col("runs").alias("_runs"))
 
 
-def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+def line_dedup(
+    df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, maximal: bool = False
+) -> DataFrame:
     """One row per row of `df`: `key`, `n_deleted` lines, the `text` that stays, and `kept`: a
     document goes if lines were deleted and no word stays."""
-    done = drop_repeated_lines(df.select(df[key], df[text]), key, text, min_words)
+    done = drop_repeated_lines(df.select(df[key], df[text]), key, text, min_words, maximal)
     deleted = F.aggregate("_runs", F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"])
     return done.select(key, F.coalesce(deleted, F.lit(0).cast("bigint")).alias("n_deleted"), text, stays(text).alias("kept"))
 
@@ -199,3 +235,18 @@ SELECT d.doc_id, coalesce(o.n_deleted, 0)::BIGINT AS n_deleted,
     coalesce(o.n_deleted, 0) = 0 OR regexp_matches(o.text, '[^\x20\x09-\x0D]') AS kept
 FROM documents d LEFT JOIN left_over o USING (doc_id)
 """
+
+_RUNS = """), copies AS (
+    SELECT doc_id, i, j, row_number()"""
+# Also the shortest run that ends at each line.
+MAXIMAL_ORACLE = ORACLE.replace(
+    _RUNS,
+    """), all_runs AS (
+    SELECT doc_id, i, l, j FROM runs WHERE j IS NOT NULL
+    UNION
+    SELECT a.doc_id, max(b.i) AS i, a.l, a.i AS j FROM counted a JOIN counted b
+        ON b.doc_id = a.doc_id AND b.i <= a.i AND a.upto - b.upto + b.w >= 50
+    GROUP BY a.doc_id, a.l, a.i
+"""
+    + _RUNS,
+).replace("FROM runs WHERE j IS NOT NULL\n), marked", "FROM all_runs\n), marked")

@@ -20,7 +20,7 @@ from casewell.llm.token_files import token_files
 from casewell.llm.word_bpe import bpe_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op9_maximal_line_dedup": lines.MAXIMAL_ORACLE}
 
 
 def _query(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -76,6 +76,11 @@ def op9_line_dedup(table) -> DataFrame:
     return lines.line_dedup(table("documents"))
 
 
+@_query
+def op9_maximal_line_dedup(table) -> DataFrame:
+    return lines.line_dedup(table("documents"), maximal=True)
+
+
 @_query
 def op10_token_files(table) -> DataFrame:
     return token_files(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)

@@ -31,8 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines leave the texts; emptied documents go."""
-    done = drop_repeated_lines(docs).filter(stays("text"))
+    """Later copies of repeated runs of lines, to their last lines, leave the texts; emptied
+    documents go."""
+    done = drop_repeated_lines(docs, maximal=True).filter(stays("text"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
         done = done.withColumn("n_chars", length)

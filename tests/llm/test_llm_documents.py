@@ -234,6 +234,45 @@ def test_line_dedup_equals_plain_one(spark):
     assert got == {**dedup(rows, 6), 102: (0, None)}
 
 
+def maximal_dedup(rows, least):
+    """Lines of all runs of `least` words, however long, that stand earlier as well."""
+    first, out = {}, {}
+    for key, text in sorted((k, t) for k, t in rows if k is not None and t is not None):
+        lines, gone = text.split("\n"), set()
+        for i, j in combinations(range(len(lines) + 1), 2):
+            if len(WORD.findall("\n".join(lines[i:j]))) >= least and first.setdefault(tuple(lines[i:j]), (key, i)) != (key, i):
+                gone.update(range(i, j))
+        out[key] = (len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_maximal_line_dedup_equals_all_runs(spark):
+    draw = np.random.default_rng(18)
+    lines = ["", "a", "b b", "c c c", "d d d d", "e e e e e", "  ", "f\tf"]
+    rows = [(int(k), "\n".join(draw.choice(lines, draw.integers(0, 25)))) for k in range(40)]
+    rows += [(100, "\n".join(["a"] * 40)), (101, "\n".join(["a"] * 40)), (102, "g g g g g g\n" + "\n" * 20 + "h"), (103, "")]
+    rows += [(104, "g g g g g g\n" + "\n" * 20 + "i"), (105, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in ld.line_dedup(df, min_words=6, maximal=True).collect()}
+    assert got == {**maximal_dedup(rows, 6), 105: (0, None)}
+
+
+@pytest.mark.parametrize("sizes", [(60, 10), (30, 30, 5), (10, 60, 10)])
+def test_last_lines_of_a_repeated_run_go(spark, sizes):
+    run = "\n".join(" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate(sizes))
+    rows = [(k, f"before {k}\n{run}\nafter {k}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(df, maximal=True).collect()}
+    assert got == {0: rows[0][1], 1: "before 1\nafter 1", 2: "before 2\nafter 2"}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, df, FOLDER).collect()}
+    assert kept == got
+
+
+def test_maximal_query_equals_sql(spark):
+    name = "op9_maximal_line_dedup"
+    assert compare(entry.queries()[name](spark, FOLDER), connect(FOLDER), entry.oracle_sql()[name]) is None
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     rows = ld.drop_repeated_lines(odd).collect()
     assert len(rows) == len(ODD) and ld.line_dedup(nothing).count() == 0
