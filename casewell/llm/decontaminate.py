@@ -1,16 +1,26 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks.
-
-Window sizes are a few classes of whole strides, about 1.25 times apart. An item of n words takes
-the largest class that leaves room for `STRIDE` starts, and is fingerprinted from each of these
-starts. A document is fingerprinted at every `STRIDE`th word for every class, so that in a copy
-of the item some document window lies exactly on one of them. Items shorter than 7 words have
-fewer starts than that, so their copies are found at some places only. A fingerprint has 64 bits, each the
-sign of the summed bits of the window's words.
-
-The four 16-bit blocks of an item fingerprint, and each with one bit turned, index it. Two
-fingerprints at a distance of 7 or less share such a block, so all of them become candidates.
-Each is verified at the item's place and length: similarity of the two bags of five-word
-shingles, a shingle weighing as often as it stands there.
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, and
+short sub-windows that no copy can do without.
+
+A text repeats an item if any stretch of it, of any length and at any place, has a similarity of
+0.8 or more with the item: weighted Jaccard of the two bags of five-word shingles, a shingle
+weighing as often as it stands there. Items of fewer than five words have no shingle; a stretch
+repeats them if it has as many words and the same ones, a word counting as often as it stands there.
+
+Candidates are pairs of a text and an item, from two sources:
+
+- SimHash: window sizes are a few classes of whole strides, about 1.25 times apart. An item takes
+  the largest class that leaves room for `STRIDE` starts, and is fingerprinted from each of them;
+  a document is fingerprinted at every `STRIDE`th word for every class. A fingerprint has 64
+  bits, each the sign of the summed bits of the window's words. The four 16-bit blocks of an item
+  fingerprint, and each with one bit turned, index it, which finds all within a distance of 7.
+  This radius does not follow from the threshold: copies cut short or edited can lie beyond it.
+- Sub-windows: a stretch of similarity 0.8 holds 0.8 of the item's shingles, so it holds one of
+  any of them that make up more than 0.2. So many of each item, the ones that fewest items
+  have, are looked up at every word of the documents. No copy is lost to this source, wherever it is
+  cut or edited. Items below five words are looked up by the summed hashes of their words.
+
+Each candidate is verified over all stretches of the text that begin and end with a shingle of
+the item, as longer ones are less alike.
 """
 
 from __future__ import annotations
@@ -29,14 +39,6 @@ STRIDE = 4
 RADIUS = 7
 
 
-def bags_alike(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags of shingles."""
-    keys, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left = np.bincount(place[: len(a)], minlength=len(keys))
-    right = np.bincount(place[len(a) :], minlength=len(keys))
-    return float(np.minimum(left, right).sum() / max(np.maximum(left, right).sum(), 1))
-
-
 def fingerprint(hashes: np.ndarray) -> np.uint64:
     """SimHash of some words: each bit set in more than half of them."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
@@ -76,24 +78,65 @@ def window_prints(hashes: np.ndarray, first: np.ndarray, sizes: list[int]) -> It
         yield size, first[owner[at]] + stride[at] * STRIDE, prints
 
 
-def _bag(hashes: np.ndarray, width: int) -> np.ndarray:
-    if len(hashes) < width:
-        return mix(hashes + np.uint64(len(hashes))) if len(hashes) else hashes
-    return windows(hashes, np.asarray([0, len(hashes)]), width)[0]
-
-
 @dataclass(frozen=True)
 class Index:
     """Items of one part of the benchmark."""
 
     ids: list
     lengths: np.ndarray
-    bags: list[np.ndarray]
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]
-
-
-def build_index(ids: list, item_words: list[np.ndarray], width: int) -> Index:
-    """Fingerprints, their items and offsets per class, and for each block the sorted keys."""
+    # Distinct shingles of each item and how often each stands there.
+    shingles: list[tuple[np.ndarray, np.ndarray]]
+    # Sorted keys of the sub-windows and their items, by number of words.
+    anchors: dict[int, tuple[np.ndarray, np.ndarray]]
+    # The key of each item below `width` words.
+    sums: dict[int, np.uint64]
+
+
+def _keys(hashes: np.ndarray, first: np.ndarray, words_each: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of each text's first one) of the sub-windows at every word: shingles, or below
+    `width` words the sum of the word hashes, which is one for equal bags."""
+    if words_each == width:
+        return windows(hashes, first, width)
+    starts = np.maximum(np.diff(first) - words_each + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(starts)])
+    at = np.repeat(first[:-1] - ends[:-1], starts) + np.arange(ends[-1])
+    total = np.zeros(len(at), np.uint64)
+    for k in range(words_each):
+        total += hashes[at + k]
+    return mix(total), ends
+
+
+def _anchors(item_words: list[np.ndarray], shingles: list[tuple[np.ndarray, np.ndarray]], least: float, width: int) -> dict:
+    """Sub-windows of which a stretch of similarity `least` holds one, whichever it is."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    full = [n for n, own in enumerate(item_words) if len(own) >= width]
+    seen = np.sort(np.concatenate([shingles[n][0] for n in full])) if full else np.zeros(0, np.uint64)
+    for n, own in enumerate(item_words):
+        if len(own) >= width:
+            keys, often = shingles[n]
+            common = np.searchsorted(seen, keys, "right") - np.searchsorted(seen, keys)
+            order = np.lexsort((keys, common))
+            total = int(often.sum())
+            spared = total - int(np.ceil(least * total - 1e-9))
+            keys = keys[order[: int(np.searchsorted(np.cumsum(often[order]), spared, "right")) + 1]]
+            size = width
+        elif len(own):
+            keys, size = _keys(own, np.asarray([0, len(own)]), len(own), width)[0], len(own)
+        else:
+            continue
+        found.setdefault(size, []).append((keys, np.full(len(keys), n)))
+    out = {}
+    for size, parts in found.items():
+        keys, items = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        out[size] = (keys[order], items[order])
+    return out
+
+
+def build_index(ids: list, item_words: list[np.ndarray], width: int, least: float = 0.8) -> Index:
+    """Fingerprints, their items and offsets per class, for each block the sorted keys, and the
+    sub-windows."""
     most = max(map(len, item_words))
     sizes = [STRIDE]
     while sizes[-1] < most:
@@ -115,7 +158,10 @@ def build_index(ids: list, item_words: list[np.ndarray], width: int) -> Index:
             begins = np.searchsorted(turned[order], np.arange((1 << 16) + 1))
             tables.append((begins.astype(np.int32), own[order].astype(np.int32)))
         classes[size] = (prints, np.asarray([f[1] for f in found]), np.asarray([f[2] for f in found]), tables)
-    return Index(ids, np.asarray([len(w) for w in item_words]), [_bag(w, width) for w in item_words], classes)
+    shingles = [np.unique(windows(w, np.asarray([0, len(w)]), width)[0], return_counts=True) for w in item_words]
+    anchors = _anchors(item_words, shingles, least, width)
+    sums = {int(n): key for size, own in anchors.items() if size < width for key, n in zip(*own, strict=True)}
+    return Index(ids, np.asarray([len(w) for w in item_words]), classes, shingles, anchors, sums)
 
 
 def candidates(prints: np.ndarray, index: Index, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,25 +183,79 @@ def candidates(prints: np.ndarray, index: Index, size: int) -> tuple[np.ndarray,
     return pairs // (len(own) + 1), pairs % (len(own) + 1)
 
 
+def shared(keys: np.ndarray, begins: np.ndarray, anchors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(text, item) of all sub-windows that both have."""
+    own, items = anchors
+    at = np.searchsorted(own, keys)
+    at[at == len(own)] = 0
+    hit = np.flatnonzero(own[at] == keys)
+    texts = np.searchsorted(begins, hit, "right") - 1
+    # Equal keys of a text are looked up once.
+    texts, keys = np.unique(np.stack([texts.astype(np.uint64), keys[hit]]), axis=1) if len(hit) else (texts, keys[hit])
+    low = np.searchsorted(own, keys)
+    many = np.searchsorted(own, keys, "right") - low
+    shift = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.stack([np.repeat(texts.astype(np.int64), many), items[np.repeat(low, many) + shift]])
+
+
+def best_stretch(grams: np.ndarray, keys: np.ndarray, often: np.ndarray, least: float) -> tuple[float, int]:
+    """(similarity, first shingle) of the stretch of `grams` most like the item whose distinct
+    shingles `keys` (sorted) stand there `often`, the first of equals; (0, 0) below `least`."""
+    kind = np.searchsorted(keys, grams)
+    kind[kind == len(keys)] = 0
+    place = np.flatnonzero(keys[kind] == grams)
+    kind = kind[place]
+    total = int(often.sum())
+    # A stretch longer than this has too much besides the item.
+    ends = np.searchsorted(place, place + int(total / least + 1e-9))
+    # How many of the same shingle stand before each.
+    order = np.argsort(kind, kind="stable")
+    rank = np.empty(len(kind), np.int64)
+    rank[order] = np.arange(len(kind)) - np.searchsorted(kind[order], kind[order])
+    best = (0.0, 0)
+    for i in np.flatnonzero(ends - np.arange(len(place)) >= least * total - 1e-9):
+        span = slice(i, ends[i])
+        # Those before the stretch, as its first one of each kind tells.
+        some, at, which = np.unique(kind[span], return_index=True, return_inverse=True)
+        before = rank[span][at][which]
+        common = np.cumsum(rank[span] - before < often[kind[span]])
+        alike = common / (total + place[span] - place[i] + 1 - common)
+        top = float(alike.max())
+        if top >= least and top > best[0]:
+            best = (top, int(place[i]))
+            if top == 1:
+                break
+    return best
+
+
 def matches(hashes: np.ndarray, first: np.ndarray, index: Index, least: float, width: int) -> list[tuple[int, int, int, float]]:
-    """(text, item, word at which the copy starts, similarity) of all verified windows."""
-    found: dict[tuple[int, int], tuple[float, int]] = {}
-    sizes = sorted(index.classes)
-    if not len(hashes) or not sizes:
+    """(text, item, word at which the copy starts, similarity) of all verified pairs."""
+    if not len(hashes) or not (index.classes or index.anchors):
         return []
-    for size, starts, prints in window_prints(hashes, first, sizes):
-        _, items, offsets, _ = index.classes[size]
-        if not len(starts):
-            continue
-        for window, row in zip(*candidates(prints, index, size), strict=True):
-            text = int(np.searchsorted(first, starts[window], "right")) - 1
-            item, length = int(items[row]), int(index.lengths[items[row]])
-            begin = max(int(starts[window] - offsets[row]), int(first[text]))
-            end = min(begin + length, int(first[text + 1]))
-            alike = bags_alike(_bag(hashes[begin:end], width), index.bags[item])
-            if alike >= least and (alike, -begin) > found.get((text, item), (0.0, 0)):
-                found[text, item] = (alike, -begin)
-    return [(text, item, -begin - int(first[text]), alike) for (text, item), (alike, begin) in sorted(found.items())]
+    pairs = [np.zeros((2, 0), np.int64)]
+    for size, starts, prints in window_prints(hashes, first, sorted(index.classes)) if index.classes else ():
+        if len(starts):
+            window, row = candidates(prints, index, size)
+            pairs.append(np.stack([np.searchsorted(first, starts[window], "right") - 1, index.classes[size][1][row]]))
+    grams, begins = windows(hashes, first, width)
+    sums = {}
+    for size, anchors in index.anchors.items():
+        keys, edges = sums[size] = (grams, begins) if size == width else _keys(hashes, first, size, width)
+        pairs.append(shared(keys, edges, anchors))
+    every = np.concatenate(pairs, axis=1)
+    code = np.unique(every[0] * len(index.ids) + every[1])
+    found = []
+    for text, item in zip((code // len(index.ids)).tolist(), (code % len(index.ids)).tolist(), strict=True):
+        size = int(index.lengths[item])
+        if size >= width:
+            alike, begin = best_stretch(grams[begins[text] : begins[text + 1]], *index.shingles[item], least)
+        else:
+            keys, edges = sums[size]
+            at = np.flatnonzero(keys[edges[text] : edges[text + 1]] == index.sums[item])
+            alike, begin = (1.0, int(at[0])) if len(at) else (0.0, 0)
+        if alike >= least:
+            found.append((text, item, begin, alike))
+    return found
 
 
 def _item_words(texts: list[str]) -> list[np.ndarray]:
@@ -201,7 +301,7 @@ def contaminated(
     results = []
 
     def passed() -> None:
-        index = build_index([r[0] for r in held], _item_words([r[1] for r in held]), width) if held else None
+        index = build_index([r[0] for r in held], _item_words([r[1] for r in held]), width, least) if held else None
         results.append(slim(df, key, text).mapInArrow(search(index), schema))
         held.clear()
 

@@ -307,6 +307,63 @@ def test_decontamination_finds_copies_at_any_place(spark, odd, nothing):
     assert all(r["kept"] for r in dc.decontaminate(df, benchmark.limit(0)).collect())
 
 
+def most_alike(text, item, width=5):
+    """Weighted Jaccard similarity of the stretch of `text` most like the item, over all of them."""
+    if len(item) < width:
+        return float(any(Counter(text[i : i + len(item)]) == Counter(item) for i in range(len(text) - len(item) + 1)))
+    cut = lambda x: [tuple(x[i : i + width]) for i in range(len(x) - width + 1)]
+    own, grams, best = Counter(cut(item)), cut(text), 0.0
+    for i in range(len(grams)):
+        stretch, common = Counter(), 0
+        for j in range(i, len(grams)):
+            stretch[grams[j]] += 1
+            common += stretch[grams[j]] <= own[grams[j]]
+            best = max(best, common / (own.total() + j - i + 1 - common))
+    return best
+
+
+def copies_of(draw, item, vocabulary):
+    """Copies cut at either end, with a changed phrase, head or tail, and with words put in or left out."""
+    n = len(item)
+    other = lambda k: list(draw.choice(vocabulary, k))
+    for lost in range(1, n // 4 + 1):
+        yield item[lost:] + other(draw.integers(0, 2) * 9)
+        yield other(draw.integers(0, 2) * 9) + item[:-lost]
+        at = int(draw.integers(0, n - lost + 1))
+        for put in (lost, 0, lost + 1):
+            yield other(draw.integers(0, 9)) + item[:at] + other(put) + item[at + lost :] + other(draw.integers(0, 9))
+        yield other(5) + item[:-lost] + other(lost + 5)
+        yield other(5) + other(lost) + item[lost:] + other(5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 15, 38, 51, 59, 100])
+def test_decontamination_equals_search_of_all_stretches(n):
+    draw = np.random.default_rng(n)
+    vocabulary = [f"t{i}" for i in range(400)]
+    items = [list(draw.choice(vocabulary, n)) for _ in range(2)]
+    items.append((items[0][: n // 2] * 2 + items[1])[:n])
+    texts = [t for item in items for t in copies_of(draw, item, vocabulary)]
+    texts += [list(draw.choice(vocabulary, 40)) + item + list(draw.choice(vocabulary, shift)) for item in items for shift in range(5)]
+    expected = {
+        (i, k): best for i, text in enumerate(texts) for k, item in enumerate(items) if (best := most_alike(text, item)) >= 0.8
+    }
+    index = dc.build_index([0, 1, 2], dc._item_words([" ".join(i) for i in items]), 5)
+    hashes = dc._item_words([" ".join(t) for t in texts])
+    first = np.cumsum([0, *map(len, hashes)])
+    got = {(t, i): alike for t, i, _, alike in dc.matches(np.concatenate(hashes), first, index, 0.8, 5)}
+    assert got == pytest.approx(expected) and len(got) >= len(items) * 5
+
+
+def test_documents_that_are_a_cut_item_go(spark):
+    item = [f"q{i}" for i in range(51)]
+    texts = [item[:46], item[5:], item[:20] + ["x"] + item[21:], item[:30]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: (r["item_ids"], r["similarity"], r["kept"]) for r in dc.decontaminate(df, benchmark).collect()}
+    alike = [pytest.approx(most_alike(t, item)) for t in texts]
+    assert found == {**{i: ([7], alike[i], False) for i in range(3)}, 3: ([], None, True)}
+
+
 def test_all_prints_within_the_radius_are_candidates():
     draw = np.random.default_rng(9)
     own = [draw.integers(0, 1 << 63, 20, dtype=np.uint64) for _ in range(30)]
