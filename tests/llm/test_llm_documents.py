@@ -354,6 +354,21 @@ def test_decontamination_equals_search_of_all_stretches(n):
     assert got == pytest.approx(expected) and len(got) >= len(items) * 5
 
 
+def test_long_items_with_a_changed_phrase_are_found():
+    draw = np.random.default_rng(200)
+    vocabulary = [f"t{i}" for i in range(5000)]
+    item = list(draw.choice(vocabulary, 200))
+    texts = []
+    for at in range(5, 180):
+        copy = item[:at] + list(draw.choice(vocabulary, 17)) + item[at + 17 :]
+        texts.append(list(draw.choice(vocabulary, int(draw.integers(0, 9)))) + copy)
+    assert min(most_alike(t, item) for t in texts[:175:25]) >= 0.8
+    hashes = dc._item_words([" ".join(t) for t in texts])
+    index = dc.build_index([0], dc._item_words([" ".join(item)]), 5)
+    found = dc.matches(np.concatenate(hashes), np.cumsum([0, *map(len, hashes)]), index, 0.8, 5)
+    assert [m[0] for m in found] == list(range(len(texts)))
+
+
 def test_documents_that_are_a_cut_item_go(spark):
     item = [f"q{i}" for i in range(51)]
     texts = [item[:46], item[5:], item[:20] + ["x"] + item[21:], item[:30]]
