@@ -25,15 +25,17 @@ the item, as longer ones are less alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from casewell.llm.common import LOWER, mix, runs, slim, windows, words
+from casewell.session import stage
 
 STRIDE = 4
 RADIUS = 7
@@ -265,58 +267,74 @@ def _item_words(texts: list[str]) -> list[np.ndarray]:
     return [hashes[first[i] : first[i + 1]] for i in range(len(parts))]
 
 
-def contaminated(
-    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", least: float = 0.8, width: int = 5, part: int = 5_000,
+def with_matches(
+    df: DataFrame, benchmark: DataFrame, columns: Sequence[str], text: str = "text", item: str = "item_id",
+    item_text: str = "text", least: float = 0.8, width: int = 5, part: int = 5_000, name: str = "matches",
 ) -> DataFrame:
-    """Rows of `df` as `key` with `matches`: (item, start word, similarity) of each item that a
-    stretch of the text repeats; one row per row of `df`, an empty list where there is none.
+    """The named columns of each row of `df`, with `matches`: (item, start word, similarity) of
+    each item that a stretch of its text repeats, by item; an empty list where there is none.
 
     The benchmark is taken in parts of `part` items, each a pass over the documents, so what
-    travels with a task is bounded. Null or wordless texts and items match nothing.
+    travels with a task is bounded. With several parts the rows are numbered, and each part's
+    matches are joined back by that number. Null or wordless texts and items match nothing.
     """
     items = slim(benchmark, item, item_text).filter(F.col(item).isNotNull() & F.col(item_text).rlike("[^\\x20\\x09-\\x0D]"))
-    kind, item_kind = df.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    schema = f"`{key}` {kind}, matches array<struct<item:{item_kind},start:bigint,similarity:double>>"
+    kind = benchmark.schema[item].dataType.simpleString()
+    listed = f"array<struct<item:{kind},start:bigint,similarity:double>>"
+
+    def searched(rows: DataFrame, carried: Sequence[str], index: Index | None) -> DataFrame:
+        place, own = rows.columns.index(text), [rows.columns.index(c) for c in carried]
+        element = pa.struct([("item", pa.int64() if kind != "string" else pa.string()), ("start", pa.int64()), ("similarity", pa.float64())])
 
-    def search(index: Index | None):
         def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in frames:
-                for start, end, data, bounds in runs(frame.column(1), 1 << 19):
+                for start, end, data, bounds in runs(frame.column(place), 1 << 19):
                     lists: list[list[dict]] = [[] for _ in range(end - start)]
                     if index:
                         hashes, first, _ = words(LOWER[data], bounds)
-                        for at, n, place, alike in matches(hashes, first, index, least, width):
-                            lists[at].append({"item": index.ids[n], "start": place, "similarity": alike})
-                    yield pa.RecordBatch.from_arrays(
-                        [frame.column(0).slice(start, end - start), pa.array(lists, pa.list_(pa.struct([
-                            ("item", pa.int64() if item_kind != "string" else pa.string()), ("start", pa.int64()), ("similarity", pa.float64())
-                        ])))], names=[key, "matches"],
-                    )
+                        for at, n, begin, alike in matches(hashes, first, index, least, width):
+                            lists[at].append({"item": index.ids[n], "start": begin, "similarity": alike})
+                    kept = [frame.column(c).slice(start, end - start) for c in own]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(lists, pa.list_(element))], names=[*carried, name])
 
-        return task
+        return rows.mapInArrow(task, StructType([*[rows.schema[c] for c in carried], StructField(name, StructType.fromDDL(f"m {listed}")[0].dataType)]))
 
-    rows = items.orderBy(item, item_text).toLocalIterator()
+    every = slim(df, text, *[c for c in columns if c != text])
+    numbered = None
     held: list = []
     results = []
 
-    def passed() -> None:
+    def passed(only: bool = False) -> None:
+        nonlocal numbered
         index = build_index([r[0] for r in held], _item_words([r[1] for r in held]), width, least) if held else None
-        results.append(slim(df, key, text).mapInArrow(search(index), schema))
         held.clear()
-
-    for row in rows:
-        held.append(row)
+        if only:
+            results.append(searched(every, columns, index))
+            return
+        if numbered is None:
+            numbered = stage(every.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        results.append(searched(slim(numbered, text, "_row"), ["_row"], index).filter(F.size(name) > 0))
+
+    for row in items.orderBy(item, item_text).toLocalIterator():
         if len(held) == part:
             passed()
-    if held or not results:
-        passed()
-    if len(results) == 1:
-        return results[0]
-    union = results[0]
-    for other in results[1:]:
-        union = union.unionByName(other)
-    return union.groupBy(key).agg(F.flatten(F.collect_list("matches")).alias("matches"))
+        held.append(row)
+    passed(only=not results)
+    found = results[0]
+    if numbered is not None:
+        for other in results[1:]:
+            found = found.unionByName(other)
+        found = found.groupBy("_row").agg(F.flatten(F.collect_list(name)).alias(name))
+        found = numbered.join(found, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast(listed)))
+    return found.select(*columns, F.array_sort(name).alias(name))
+
+
+def contaminated(
+    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", least: float = 0.8, width: int = 5, part: int = 5_000,
+) -> DataFrame:
+    """Rows of `df` as `key` with `matches`; one row per row of `df` at every number of items."""
+    return with_matches(df, benchmark, [key], text, item, item_text, least, width, part)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

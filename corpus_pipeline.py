@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewell.llm.decontaminate import decontaminate
+from casewell.llm.decontaminate import with_matches
 from casewell.llm.language_id import accepted, held_out, identify
 from casewell.llm.line_dedup import drop_repeated_lines, stays
 from casewell.llm.minhash import near_duplicates
@@ -52,10 +52,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat a benchmark item go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+    """Documents that repeat a benchmark item go, each row by its own text."""
+    found = with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns, name="_matches")
+    return found.filter(F.size("_matches") == 0).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,6 +379,22 @@ def test_documents_that_are_a_cut_item_go(spark):
     assert found == {**{i: ([7], alike[i], False) for i in range(3)}, 3: ([], None, True)}
 
 
+def test_each_row_has_its_own_verdict_at_any_number_of_parts(spark, monkeypatch):
+    items = [(i, " ".join(f"{c}{k}" for k in range(8))) for i, c in enumerate("abc")]
+    texts = [(None, items[0][1]), (None, "clean one"), (5, items[1][1] + " x " + items[2][1]), (5, "clean two"), (5, "clean two"), (6, None)]
+    df = spark.createDataFrame([(k, "e", t) for k, t in texts], "doc_id long, lang string, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = Counter([(None, (0,)), (None, ()), (5, (1, 2)), (5, ()), (5, ()), (6, ())])
+    for part in (5000, 3, 2, 1):
+        found = dc.contaminated(df, benchmark, part=part).collect()
+        assert Counter((r["doc_id"], tuple(m["item"] for m in r["matches"])) for r in found) == expected
+    monkeypatch.setattr(type(spark.read), "parquet", lambda *_: benchmark)
+    left = corpus_pipeline.benchmark(spark, df, FOLDER)
+    monkeypatch.undo()
+    assert left.columns == df.columns
+    assert Counter(map(tuple, left.collect())) == Counter([(None, "e", "clean one"), (5, "e", "clean two"), (5, "e", "clean two"), (6, "e", None)])
+
+
 def test_all_prints_within_the_radius_are_candidates():
     draw = np.random.default_rng(9)
     own = [draw.integers(0, 1 << 63, 20, dtype=np.uint64) for _ in range(30)]
