@@ -250,6 +250,16 @@ def residual_links(
     return dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(task, f"a {kind}, b {kind}").distinct()
 
 
+def shared_keys(known: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Links (a, b) between the names of the classes that one key is in."""
+    own = ["set_a", "set_b", "n_shingles"]
+    ends = known.groupBy(key).agg(F.min(F.struct(*own)).alias("_least"), F.max(F.struct(*own)).alias("_most"))
+    several = known.join(ends.filter("_least <> _most").select(key), key, "left_semi").select(key, *own).distinct()
+    names = several.join(classes, own).select(key, F.col("id").alias("b"))
+    least = names.groupBy(key).agg(F.min("b").alias("a"))
+    return names.join(least, key).filter("a < b").select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of `df`: `key`, `n_shingles`, `component_id`, `kept`.
 
@@ -286,9 +296,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     )
     first = stage(confirmed(near, df, key, text, percent), "links")
     rest = residual_links(members.drop("pivot"), components(first), sketches, df, key, text, percent)
-    final = components(first.unionByName(rest)).withColumnRenamed("component", "_component")
+    final = components(first.unionByName(rest).unionByName(shared_keys(known, classes, key))).withColumnRenamed("component", "_component")
     named = classes.join(final, "id", "left").withColumn("component", F.coalesce("_component", "id"))
-    # A key in several classes joins them: their names are linked through the shared key.
     out = rows.join(named.select("set_a", "set_b", "n_shingles", "component"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col(key).isNull(), F.lit(None)).otherwise(F.coalesce("component", key))
     return out.select(

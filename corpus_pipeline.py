@@ -18,6 +18,7 @@ from casewell.llm.language_id import accepted, held_out, identify
 from casewell.llm.line_dedup import drop_repeated_lines, stays
 from casewell.llm.minhash import near_duplicates
 from casewell.llm.word_bpe import bpe_digests
+from casewell.operators.keys import one_per_key
 from casewell.session import staging_root
 
 # A fit of numbers and counts: SQL can't express the classifier, MinHash or BPE.
@@ -41,14 +42,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id; of rows that share an id
-    and a text one stays. Pairs from a similarity of 0.8 on are linked."""
+    """One document of each group stays, the one with the least id, with all its texts; of rows
+    that share an id and a text the least one stays. Pairs from a similarity of 0.8 on are linked."""
     found = near_duplicates(docs, percent=80)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return single.unionByName(one_per_key(left.join(repeated, "doc_id", "left_semi").select(*docs.columns), ["doc_id", "text"]))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

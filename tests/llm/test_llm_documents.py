@@ -192,6 +192,18 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in rows)
 
 
+def test_a_key_in_several_classes_joins_them(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (7, text("b")), (8, text("c")), (8, text("d")), (8, text("d")), (9, text("e"))]
+    rows += [(None, text("e")), (10, None), (10, None), (10, text("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in mh.near_duplicates(df).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 9, True), (None, None, True), (10, 10, True)}
+    left = Counter(map(tuple, corpus_pipeline.near_copies(spark, df, FOLDER).collect()))
+    stay = [(3, text("a")), (8, text("c")), (8, text("d")), (9, text("e")), (None, text("e")), (10, None), (10, text("f"))]
+    assert left == Counter(stay)
+
+
 def test_estimate_is_corrected_for_chance():
     draw = np.random.default_rng(2)
     a = draw.integers(0, 1 << 63, 900, dtype=np.uint64)
