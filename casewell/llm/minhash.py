@@ -1,7 +1,7 @@
 """Near-duplicate documents: b-bit MinHash with bands, then full shingle sets.
 
-1. Every text becomes its set of five-word shingles, band keys over 32 x 6 minima, and a
-   signature of 4 low bits of each of the 192 minima. Equal sets are one class.
+1. Every text becomes its set of five-word shingles, band keys over the minima, and a signature
+   of 4 low bits of each of the 192 minima. Equal sets are one class.
 2. In every band bucket each class is paired with the least class. Pairs whose similarity, as
    estimated from the signatures and corrected for chance collisions, comes near the threshold
    are decided on full sets, and the links give first components.
@@ -10,8 +10,9 @@
    size: first by estimate, each pair in the first band that it shares, then on full sets. A
    block returns only links that join components.
 
-At a similarity of 0.85 no band agrees in 3 of 10 million pairs, and the estimate is 5 of its
-deviations too low about as seldom.
+The threshold sets the bands, so that at exactly this similarity no band agrees in less than one
+of a million pairs: 32 bands of 6 minima for 0.85 and 38 of 5 for 0.80, each with 3 of 10 million.
+The estimate is 5 of its deviations too low about as seldom.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from casewell.llm.common import mix, runs, shingle_sets, slim
 from casewell.llm.components import components
 from casewell.session import stage
 
-BANDS, ROWS, LOW_BITS = 32, 6, 4
-MINIMA = BANDS * ROWS
+MINIMA, ROWS, LOW_BITS = 192, 6, 4
+MISSED = 1e-6
 PACKED = MINIMA * LOW_BITS // 64
 BLOCK = 512
 VOLUME = 200_000
@@ -48,10 +49,21 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """A key per band; the band's number is part of it."""
-    rows = least.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    return mix((mix(rows) * _ROW).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def missed(least: float, rows: int) -> float:
+    """Share of pairs of similarity `least` that agree in no band of `rows` minima."""
+    return (1 - least**rows) ** (MINIMA // rows)
+
+
+def band_rows(percent: int) -> int:
+    """Minima per band, at most `ROWS`, with which less than `MISSED` of the pairs at the threshold are missed."""
+    return max((r for r in range(1, ROWS + 1) if missed(percent / 100, r) < MISSED), default=1)
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    """A key per band of `rows` minima; the band's number is part of it."""
+    bands = MINIMA // rows
+    cells = least[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    return mix((mix(cells) * _ROW[:rows]).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def packed_bits(least: np.ndarray) -> np.ndarray:
@@ -73,7 +85,7 @@ def most_differing(least: float) -> int:
     return int(np.floor(MINIMA * (1 - agree + 5 * np.sqrt(agree * (1 - agree) / MINIMA))))
 
 
-def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(df: DataFrame, key: str, text: str, rows: int) -> DataFrame:
     """key, n_shingles, set_key (two longs that name the set), bits, bands; null without words."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_shingles bigint, set_a bigint, set_b bigint, bits array<bigint>, bands array<bigint>"
@@ -96,7 +108,7 @@ def signatures(df: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array(np.asarray(name_a, np.uint64).view(np.int64), mask=empty),
                         pa.array(np.asarray(name_b, np.uint64).view(np.int64), mask=empty),
                         longs(packed_bits(least), PACKED),
-                        longs(band_keys(least), BANDS),
+                        longs(band_keys(least, rows), MINIMA // rows),
                     ],
                     names=[key, "n_shingles", "set_a", "set_b", "bits", "bands"],
                 )
@@ -165,6 +177,7 @@ def _block_links(
 
 def _links_of_blocks(limit: int, percent: int):
     """`_block_links` over the blocks of a sorted partition; the block that a batch cuts waits."""
+    n_bands = MINIMA // band_rows(percent)
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(table: pa.Table, last: bool) -> tuple[pa.Table, list[tuple[int, int]]]:
@@ -174,7 +187,7 @@ def _links_of_blocks(limit: int, percent: int):
             column = {c: table.column(c).combine_chunks() for c in ("bits", "bands", "items")}
             ids, role, comp = (table.column(c).to_numpy() for c in ("id", "role", "component"))
             bits = column["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, PACKED)
-            bands = column["bands"].flatten().to_numpy().reshape(-1, BANDS)
+            bands = column["bands"].flatten().to_numpy().reshape(-1, n_bands)
             ends = np.concatenate([[0], np.cumsum(column["items"].value_lengths().to_numpy())])
             values = column["items"].flatten().to_numpy()
             found = []
@@ -269,7 +282,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     that share a key are one document: what links one of them links the others. The key is an
     integer.
     """
-    rows = stage(signatures(df, key, text), "signatures")
+    rows = stage(signatures(df, key, text, band_rows(percent)), "signatures")
     known = rows.filter(F.col(key).isNotNull() & F.col("set_a").isNotNull())
     # Equal sets are one class, named by its least key.
     classes = stage(

@@ -204,6 +204,28 @@ def test_a_key_in_several_classes_joins_them(spark):
     assert left == Counter(stay)
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 90, 100])
+def test_bands_follow_the_threshold(percent):
+    rows = mh.band_rows(percent)
+    assert (1 - (percent / 100) ** rows) ** mh.band_keys(np.zeros((1, mh.MINIMA), np.uint32), rows).shape[1] < 1e-6
+    assert rows == {80: 5, 85: 6}.get(percent, rows)
+
+
+def test_near_duplicates_equal_all_pairs_at_80(spark):
+    draw = np.random.default_rng(15)
+    rows = []
+    for group in range(8):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(10):
+            copy = list(base)
+            for at in draw.integers(0, 120, draw.integers(0, 5)):
+                copy[at] = f"u{draw.integers(0, 999)}"
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in mh.near_duplicates(df, percent=80).collect()}
+    assert got == linked(rows, 80)
+
+
 def test_estimate_is_corrected_for_chance():
     draw = np.random.default_rng(2)
     a = draw.integers(0, 1 << 63, 900, dtype=np.uint64)
