@@ -514,6 +514,41 @@ def test_pipeline_query_equals_its_stages(spark, documents):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect()))
 
 
+def test_pipeline_stages_equal_brute_force(spark, monkeypatch):
+    """Repeated lines, near copies and benchmark passages in a row, with exact, cut and edited copies."""
+    draw = np.random.default_rng(27)
+    fresh = lambda n: " ".join(f"n{i}" for i in draw.integers(0, 10**6, n))
+    items = [(k, fresh(n)) for k, n in enumerate([3, 6, 15, 51, 59])]
+    passage = "\n".join(fresh(n) for n in (30, 30, 5))
+    texts = [f"{fresh(20)}\n{passage}\n{fresh(20)}" for _ in range(4)]
+    base = fresh(120).split()
+    for changed in (0, 1, 2, 3, 5):
+        copy = list(base)
+        copy[10 : 10 + changed] = fresh(changed).split()
+        texts.append(" ".join(copy))
+    for _, item in items:
+        words = item.split()
+        n, lost = len(words), len(words) // 12
+        texts += [item, f"{fresh(7)} {item.upper()} {fresh(9)}", " ".join(words[lost:]), " ".join(words[: n - lost])]
+        texts += [f"{fresh(6)} {' '.join([*words[: n // 2], 'other', *words[n // 2 + 1 :]])} {fresh(6)}"]
+    texts += [fresh(40) for _ in range(5)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    done = corpus_pipeline.near_copies(spark, corpus_pipeline.repeated_lines(spark, df, FOLDER), FOLDER)
+    monkeypatch.setattr(type(spark.read), "parquet", lambda *_: benchmark)
+    stage = lambda d: corpus_pipeline.benchmark(spark, d, FOLDER)
+    left = stage(spark.createDataFrame(done.collect(), done.schema))
+    monkeypatch.undo()
+    lines = maximal_dedup(rows, 50)
+    plain = [(k, t) for k, (n, t) in lines.items() if not n or WORD.search(t)]
+    roots = linked(plain, 80)
+    single = [(k, t) for k, t in plain if roots[k][1] == k]
+    clean = [(k, t) for k, t in single if all(most_alike(t.lower().split(), item.split()) < 0.8 for _, item in items)]
+    assert len(rows) > len(single) > len(clean)
+    assert sorted(map(tuple, left.collect())) == clean
+
+
 def test_every_operator_has_a_query():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
