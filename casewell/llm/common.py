@@ -140,3 +140,8 @@ def held(name: str, path: str, make: Callable[[], Any]) -> Any:
 def slim(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that clashing extra ones can't matter."""
     return df.select(*[df[c] for c in columns])
+
+
+# Bytes of terms (digits, Latin letters in lower case, all beyond ASCII); any other is a blank.
+TERM = LOWER.copy()
+TERM[[b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = 32

@@ -11,6 +11,7 @@ import corpus_pipeline
 from casewell.llm import line_dedup as lines
 from casewell.llm import url_filter as urls
 from casewell.llm.decontaminate import decontaminate
+from casewell.llm.importance_sampling import importance_sample
 from casewell.llm.language_id import language_id
 from casewell.llm.minhash import near_duplicates
 from casewell.llm.quality_rules import quality_rules
@@ -84,3 +85,8 @@ def op9_maximal_line_dedup(table) -> DataFrame:
 @_query
 def op10_token_files(table) -> DataFrame:
     return token_files(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+
+
+@_query
+def op13_importance_sample(table) -> DataFrame:
+    return importance_sample(table("documents"), table("benchmark"), percent=5, least_words=20)
