@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from casewell.llm import lexical_search as search
 from casewell.llm import line_dedup as lines
 from casewell.llm import url_filter as urls
 from casewell.llm.decontaminate import decontaminate
@@ -21,7 +22,7 @@ from casewell.llm.token_files import token_files
 from casewell.llm.word_bpe import bpe_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op9_maximal_line_dedup": lines.MAXIMAL_ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op9_maximal_line_dedup": lines.MAXIMAL_ORACLE, "op12_lexical_search": search.ORACLE}
 
 
 def _query(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -90,3 +91,8 @@ def op10_token_files(table) -> DataFrame:
 @_query
 def op13_importance_sample(table) -> DataFrame:
     return importance_sample(table("documents"), table("benchmark"), percent=5, least_words=20)
+
+
+@_query
+def op12_lexical_search(table) -> DataFrame:
+    return search.lexical_search(table("documents"), table("benchmark"), k=50)
