@@ -11,6 +11,7 @@ import corpus_pipeline
 from casewell.llm import lexical_search as search
 from casewell.llm import line_dedup as lines
 from casewell.llm import url_filter as urls
+from casewell.llm import warc
 from casewell.llm.decontaminate import decontaminate
 from casewell.llm.importance_sampling import importance_sample
 from casewell.llm.language_id import language_id
@@ -22,7 +23,7 @@ from casewell.llm.token_files import token_files
 from casewell.llm.word_bpe import bpe_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op9_maximal_line_dedup": lines.MAXIMAL_ORACLE, "op12_lexical_search": search.ORACLE}
+ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE, "op9_line_dedup": lines.ORACLE, "op9_maximal_line_dedup": lines.MAXIMAL_ORACLE, "op11_warc": warc.ORACLE, "op12_lexical_search": search.ORACLE}
 
 
 def _query(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -96,3 +97,8 @@ def op13_importance_sample(table) -> DataFrame:
 @_query
 def op12_lexical_search(table) -> DataFrame:
     return search.lexical_search(table("documents"), table("benchmark"), k=50)
+
+
+@_query
+def op11_warc(table) -> DataFrame:
+    return warc.warc_records(table("pages"))
