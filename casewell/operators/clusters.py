@@ -1,20 +1,14 @@
-"""Typologies of categorical rows: k-modes and multiple correspondence analysis.
-
-Both reduce the rows to counted combinations of levels once, stage them, and work on those.
-"""
+"""Typologies of categorical rows by k-modes, on counted combinations of levels."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewell.session import stage
 
-MAX_LEVELS = 3000
-
 
 def combinations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct combinations of levels with their number of rows; NULL is a level `''`."""
@@ -97,43 +91,3 @@ def kmodes(df: DataFrame, cols: Sequence[str], k: int, rounds: int = 10) -> Data
     return listed.join(sizes, "cluster", "left").select(
         "cluster", *cols, F.coalesce("n", F.lit(0)).alias("n"), "cost", "silhouette"
     )
-
-
-def mca(df: DataFrame, cols: Sequence[str], axes: int = 2) -> DataFrame:
-    """Principal coordinates of every level on the first axes, with each axis' inertia.
-
-    The pairs of levels are counted by Spark. Only that table, whose size the levels bound,
-    is decomposed on the driver. The largest coordinate of an axis is positive.
-    """
-    combos = combinations(df, cols)
-    named = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("level")) for c in cols])
-    pairs = combos.select("n", F.explode(named).alias("a"), named.alias("_all")).select(
-        "n", "a", F.explode("_all").alias("b")
-    )
-    table = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    cells = table.limit(MAX_LEVELS * MAX_LEVELS + 1).collect()
-    if len(cells) > MAX_LEVELS * MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels")
-    levels = sorted({tuple(c["a"]) for c in cells})
-    place = {level: i for i, level in enumerate(levels)}
-    burt = np.zeros((len(levels), len(levels)))
-    for c in cells:
-        burt[place[tuple(c["a"])], place[tuple(c["b"])]] = c["n"]
-    q = len(cols)
-    total = np.diag(burt).sum() / q
-    mass = np.diag(burt) / (total * q)
-    scale = 1 / np.sqrt(mass)
-    spread = scale[:, None] * (burt / (total * q * q) - np.outer(mass, mass)) * scale[None, :]
-    inertia, vectors = np.linalg.eigh(spread)
-    order = np.argsort(inertia)[::-1][:axes]
-    coordinates = scale[:, None] * vectors[:, order] * np.sqrt(np.clip(inertia[order], 0, None))
-    signs = np.sign(coordinates[np.abs(coordinates).argmax(axis=0), np.arange(len(order))])
-    coordinates = coordinates * np.where(signs == 0, 1, signs)
-    rows = [
-        (col, level, float(mass[i]), axis + 1, float(coordinates[i, axis]), float(inertia[order[axis]]))
-        for i, (col, level) in enumerate(levels)
-        for axis in range(len(order))
-    ]
-    return df.sparkSession.createDataFrame(
-        rows, "col string, level string, mass double, axis int, coordinate double, inertia double"
-    )

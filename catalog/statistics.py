@@ -336,8 +336,41 @@ def kmodes(t: Tables) -> DataFrame:
     return rounded(found, 9, "silhouette")
 
 
-@query()
+def axis_sql(step: int, squarings: int = 26) -> str:
+    """Leading eigenvector `v` of the symmetric matrix of `s{step}` as `e{step}`, by squaring it
+    again and again, with its value; `s{step + 1}` is the matrix without it."""
+    return f"""
+     p{step}(k, m) AS (SELECT 0, m FROM s{step} UNION ALL
+       SELECT k + 1, [[list_dot_product(r, c) / t for c in m] for r in m]
+       FROM (SELECT k, m, list_sum([list_dot_product(r, r) for r in m]) AS t FROM p{step} WHERE k < {squarings})),
+     l{step} AS (SELECT unnest(m) AS r, generate_subscripts(m, 1) AS i FROM p{step} WHERE k = {squarings}),
+     u{step} AS (SELECT [x / sqrt(r[i]) for x in r] AS v FROM l{step} ORDER BY r[i] DESC, i LIMIT 1),
+     e{step} AS (SELECT {step} AS axis, v, list_dot_product(v, [list_dot_product(r, v) for r in m]) AS w, m FROM u{step}, s{step}),
+     s{step + 1} AS (SELECT [[x - w * v[i] * v[j] for x, j in r] for r, i in m] AS m FROM e{step})"""
+
+
+@query(f"""{PROFILE_SQL.replace("WITH", "WITH RECURSIVE")},
+     h AS (SELECT *, row_number() OVER (ORDER BY a, b, c) AS combo FROM g),
+     ones AS (SELECT combo, n, 'o_orderstatus' AS col, a AS level FROM h UNION ALL
+              SELECT combo, n, 'o_orderpriority', b FROM h UNION ALL SELECT combo, n, 'size', c FROM h),
+     lev AS (SELECT col, level, sum(n) AS n, row_number() OVER (ORDER BY col, level) AS i,
+                    sum(n)::DOUBLE / (sum(sum(n)) OVER ()) AS mass FROM ones GROUP BY col, level),
+     both_ AS (SELECT x.col AS c1, x.level AS l1, y.col AS c2, y.level AS l2, sum(x.n) AS n
+               FROM ones x JOIN ones y USING (combo) GROUP BY ALL),
+     cells AS (SELECT x.i, y.i AS j, (coalesce(b.n, 0) / (sum(b.n) OVER ()) - x.mass * y.mass) / sqrt(x.mass * y.mass) AS v
+               FROM lev x JOIN lev y ON true
+               LEFT JOIN both_ b ON b.c1 = x.col AND b.l1 = x.level AND b.c2 = y.col AND b.l2 = y.level),
+     s1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM cells GROUP BY i)),
+     {axis_sql(1)}, {axis_sql(2)},
+     raw AS (SELECT col, level, mass, axis, w, v[i] * sqrt(w / mass) AS x
+             FROM lev, (SELECT axis, v, w FROM e1 UNION ALL SELECT axis, v, w FROM e2)),
+     side AS (SELECT axis, x AS first FROM raw
+              QUALIFY row_number() OVER (PARTITION BY axis ORDER BY round(abs(x), 9) DESC, col, level) = 1)
+SELECT col, level, round(mass, 9) AS mass, axis, round(CASE WHEN first < 0 THEN -x ELSE x END, 6) + 0.0 AS coordinate,
+       round(w, 9) AS inertia, true AS converged
+FROM raw JOIN side USING (axis)""")
 def mca(t: Tables) -> DataFrame:
-    from casewell.operators.clusters import mca as fit
+    from casewell.operators.correspondence import mca as fit
 
-    return fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 2)
+    found = fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 2)
+    return rounded(rounded(found, 9, "mass", "inertia"), 6, "coordinate").withColumn("coordinate", F.col("coordinate") + 0.0)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from casewell.operators import clusters as C
+from casewell.operators import correspondence as M
 from casewell.sources import sinks
 from casewell.streaming.incremental import insert_missing_stream, upsert_stream
 
@@ -59,22 +60,56 @@ def test_kmodes_equals_brute_force(spark, k):
         assert all(r.silhouette > 0.4 for r in out)
 
 
-def test_mca_equals_the_decomposed_indicator_matrix(spark):
-    rows = sample(9)
-    df = spark.createDataFrame(rows, "a string, b string, c string")
-    found = C.mca(df, COLS, 2).collect()
-    levels = sorted({(c, r[i] or "") for r in rows for i, c in enumerate(COLS)})
-    z = np.array([[float((r[COLS.index(c)] or "") == v) for c, v in levels] for r in rows])
+def decomposed(rows, cols):
+    """(levels, inertias, coordinates) of the indicator matrix by a full decomposition."""
+    levels = sorted({(c, r[i] or "") for r in rows for i, c in enumerate(cols)})
+    place = {level: i for i, level in enumerate(levels)}
+    z = np.zeros((len(rows), len(levels)))
+    for n, r in enumerate(rows):
+        for i, c in enumerate(cols):
+            z[n, place[c, r[i] or ""]] = 1
     p = z / z.sum()
     row, col = p.sum(axis=1), p.sum(axis=0)
     s = (p - np.outer(row, col)) / np.sqrt(np.outer(row, col))
     _, values, vectors = np.linalg.svd(s, full_matrices=False)
+    return levels, values**2, vectors * values[:, None] / np.sqrt(col)
+
+
+def many_levels(n=1500):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(n):
+        base = rng.choice([0, 0, 0, 7, 7, 14])
+        rows.append(tuple(str((base if rng.random() < 0.6 else 0) + rng.randint(0, 12)) for _ in range(3)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [sample(9), many_levels(), [("x", "p", "1")] * 3 + [("y", "p", "1")]], ids=["few", "many", "one"])
+def test_mca_equals_the_decomposed_indicator_matrix(spark, rows):
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    found = M.mca(df, COLS, 2).collect()
+    levels, inertia, coordinates = decomposed(rows, COLS)
+    axes = [i for i in range(2) if inertia[i] > 1e-9]
+    assert len(found) == len(axes) * len(levels)
     for r in found:
-        k = r.axis - 1
-        want = vectors[k, levels.index((r.col, r.level))] * values[k] / np.sqrt(col[levels.index((r.col, r.level))])
-        assert abs(r.coordinate) == pytest.approx(abs(want), abs=1e-8)
-        assert r.inertia == pytest.approx(values[k] ** 2)
-    assert len(found) == 2 * len(levels)
+        want = coordinates[r.axis - 1, levels.index((r.col, r.level))]
+        assert abs(r.coordinate) == pytest.approx(abs(want), abs=1e-7)
+        assert r.inertia == pytest.approx(inertia[r.axis - 1], abs=1e-10) and r.converged
+    for axis in axes:
+        own = [r.coordinate for r in found if r.axis == axis + 1]
+        assert max(own) >= -min(own) - 1e-8
+
+
+def test_mca_tells_when_it_has_not_converged(spark):
+    df = spark.createDataFrame(many_levels(300), "a string, b string, c string")
+    found = M.mca(df, COLS, 1, steps=2).collect()
+    assert found and not any(r.converged for r in found)
+
+
+def test_mca_without_rows_or_differences(spark):
+    none = spark.createDataFrame([], "a string, b string")
+    same = spark.createDataFrame([("x", None)] * 4, "a string, b string")
+    assert M.mca(none, ["a", "b"]).collect() == [] and M.mca(same, ["a", "b"]).collect() == []
 
 
 def rows(df):

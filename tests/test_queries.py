@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"logistic_three", "mca"}
+WITHOUT_SQL = {"logistic_three"}
 
 
 @pytest.fixture(scope="module")
