@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewell import rules as R
+from casewell.functions.text import content_key
 from casewell.functions.values import attribute_default
 from casewell.operators import resolve as X
 from casewell.operators.geo import assign_zones
 from casewell.operators.keys import upsert
+from casewell.sources.caches import TEXT_CACHE, failures
 
 
 def redact_names(
@@ -19,11 +21,23 @@ def redact_names(
     cache: str,
     options: X.Options = X.Options(),
 ) -> tuple[DataFrame, DataFrame]:
-    """Incidents without names in their text, and the counts of the run."""
+    """Incidents without names in their text, and the counts of the run: texts, changed ones,
+    and those whose calls failed so far, as rows and as distinct texts."""
     rows, _ = X.resolve_text(incidents, "motivo", resolver, cache, options)
-    report = rows.agg(
-        F.count("motivo").alias("texts"), F.count_if(F.col("changed")).alias("changed")
-    )
+    keys = incidents.select(content_key(F.col("motivo")).alias("key")).filter("key IS NOT NULL")
+    # Counted by key first, so that the join meets each text once.
+    texts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    unanswered = texts.join(failures(rows.sparkSession, cache, TEXT_CACHE).select("key"), "key", "left_semi")
+    parts = [
+        rows.agg(F.count("motivo").alias("texts"), F.count_if("changed").alias("changed")).withColumns(
+            {"failed": F.lit(0), "failed_texts": F.lit(0)}
+        ),
+        unanswered.agg(F.sum("n").alias("failed"), F.count(F.lit(1)).alias("failed_texts")).select(
+            F.lit(0).alias("texts"), F.lit(0).alias("changed"), "failed", "failed_texts"
+        ),
+    ]
+    names = ("texts", "changed", "failed", "failed_texts")
+    report = parts[0].unionByName(parts[1]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     return rows.drop("changed"), report
 
 

@@ -1,7 +1,7 @@
 """Keyed tables that grow by batches: logs of sorted runs, with a Bloom filter of their keys.
 
-A batch is written as one run, in proportion to itself: one row per key, in buckets by key and
-sorted in them. Reading takes the winning row of each key over all runs. Runs of one level are
+A batch is written as one run, in proportion to itself: one row per key, in files that are
+buckets by the hash of the key, each sorted by key. Reading takes the winning row of each key over all runs. Runs of one level are
 merged into one of the next when there are `fan` of them, so each row is rewritten only a few
 times, and at most `fan` runs a level are read. A run counts when it has its name, which is given
 to a finished folder; runs that a merged one covers are left for `vacuum`.
@@ -26,7 +26,7 @@ from casewell.session import stage
 # Bits of a partition of the filter, as Spark's bitmap functions make them.
 _BITS = 32768
 _PROBES = 4
-_RUN, _SEQ, _BUCKET = "run-", "_seq", "_bucket"
+_RUN, _SEQ, _ABOUT = "run-", "_seq", "about.json"
 
 
 @dataclass(frozen=True)
@@ -51,8 +51,9 @@ class KeyedLog:
 
     With `keep="last"` a key's row is the one with the greatest `order` values, and of equal ones
     that of the latest batch; with `keep="first"` it is that of the earliest batch, the least by
-    `order` in it. Of rows that are equal in all this, the least counts. `bits` is the size of the
-    filter per key. Columns must have an order. Null keys are keys.
+    `order` in it. Of rows that are equal in all this, the least counts. Columns must have an order.
+    Null keys are keys. Runs of `filter_from` keys or more have a filter with `bits` a key; smaller
+    ones are asked exactly.
     """
 
     path: str
@@ -60,9 +61,9 @@ class KeyedLog:
     keys: tuple[str, ...]
     order: tuple[str, ...] = ()
     keep: str = "last"
-    buckets: int = 16
     fan: int = 8
     bits: int = 16
+    filter_from: int = 100_000
 
     def __post_init__(self) -> None:
         if self.keep not in ("first", "last"):
@@ -94,16 +95,16 @@ class KeyedLog:
     def append(self, batch: DataFrame) -> Run | None:
         """Write a batch as a run (none for an empty one), then merge runs where it is time."""
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return None
         number = max((r.last for r in self._all_runs(spark)), default=-1) + 1
+        run = Run(0, number, number)
         rows = batch.select(*self.schema.fieldNames())
         rest = [c for c in self.schema.fieldNames() if c not in (*self.keys, *self.order)]
         if rest:
             groups = rows.groupBy(*self.keys, *self.order).agg(F.min(F.struct(*rest)).alias("_rest"))
             rows = groups.select(*self.keys, *self.order, "_rest.*")
-        run = Run(0, number, number)
-        self._write(self._winners(rows.withColumn(_SEQ, F.lit(number).cast("bigint"))), run)
+        numbered = rows.withColumn(_SEQ, F.lit(number).cast("bigint"))
+        if not self._write(numbered if rest and not self.order else self._winners(numbered), run):
+            return None
         self.compact(spark)
         return run
 
@@ -116,17 +117,24 @@ class KeyedLog:
             row = F.min_by(F.struct(*rest), F.struct(_SEQ, *self.order))
         return rows.groupBy(*self.keys).agg(row.alias("_row")).select(*self.keys, "_row.*").select(*rows.columns)
 
-    def _write(self, rows: DataFrame, run: Run) -> None:
+    def _write(self, rows: DataFrame, run: Run) -> bool:
+        """Write rows, unique by key and dealt by it, as a run; false where there are none."""
         spark = rows.sparkSession
         fs, make = self._files(spark)
         own = f"{self.path}/_open-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        placed = rows.withColumn(_BUCKET, bucket)
-        ordered = placed.repartitionByRange(_BUCKET, *self.keys).sortWithinPartitions(_BUCKET, *self.keys)
-        ordered.write.partitionBy(_BUCKET).parquet(own)
-        self._write_filter(spark, own)
+        ordered = rows.select(*self.schema.fieldNames(), _SEQ).sortWithinPartitions(*self.keys)
+        ordered.write.parquet(own)
+        many = spark.read.schema(self._stored()).parquet(own).count()
+        if not many:
+            fs.delete(make(own), True)
+            return False
+        if many >= self.filter_from:
+            self._write_filter(spark, own, many)
+        if run.first == 0 and run.level == 0:
+            self._describe(spark)
         if fs.exists(make(f"{self.path}/{run.name}")) or not fs.rename(make(own), make(f"{self.path}/{run.name}")):
             raise FileExistsError(f"{self.path}/{run.name}: another writer was here")
+        return True
 
     def compact(self, spark: SparkSession) -> list[Run]:
         """Merge the runs of every level that has `fan` of them; the new runs."""
@@ -154,19 +162,23 @@ class KeyedLog:
 
     # -- reading
 
+    def _stored(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField(_SEQ, T.LongType())])
+
     def _rows(self, spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
-        stored = T.StructType([*self.schema.fields, T.StructField(_SEQ, T.LongType())])
         if not runs:
-            return spark.createDataFrame([], stored)
-        with_bucket = T.StructType([*stored.fields, T.StructField(_BUCKET, T.IntegerType())])
-        # Each run is a table with its own partitions.
-        parts = [spark.read.schema(with_bucket).parquet(f"{self.path}/{r.name}").drop(_BUCKET) for r in runs]
-        return reduce(DataFrame.unionAll, parts)
+            return spark.createDataFrame([], self._stored())
+        reader = spark.read.schema(self._stored())
+        return reader.parquet(*[f"{self.path}/{r.name}" for r in runs])
 
     def _same(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         on = reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in self.keys])
         return left.join(right, on, how)
 
+    def of_keys(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """`rows` whose key is one of `keys`."""
+        return self._same(rows, keys, "left_semi")
+
     def read(self, spark: SparkSession) -> DataFrame:
         """The winning row of every key.
 
@@ -185,10 +197,10 @@ class KeyedLog:
 
     # -- the filter
 
-    def _write_filter(self, spark: SparkSession, folder: str) -> None:
+    def _write_filter(self, spark: SparkSession, folder: str, many: int) -> None:
         """A partitioned Bloom filter of a run's keys, beside its files: one bitmap a partition."""
-        keys = spark.read.parquet(folder).select(*self.keys)
-        parts = max(1, -(-keys.count() * self.bits // _BITS))
+        keys = spark.read.schema(self._stored()).parquet(folder).select(*self.keys)
+        parts = max(1, -(-many * self.bits // _BITS))
         probes = keys.select(F.explode(self._places(parts)).alias("place"))
         bitmaps = probes.groupBy(F.expr(f"place div {_BITS}").alias("part")).agg(
             F.bitmap_construct_agg(F.expr(f"place % {_BITS}")).alias("bits")
@@ -222,8 +234,6 @@ class KeyedLog:
         spark = rows.sparkSession
         bitmaps = spark.read.schema("part bigint, bits binary, parts bigint").parquet(f"{self.path}/{run.name}/_filter")
         parts = bitmaps.select("parts").first()
-        if parts is None:
-            return rows.withColumn("_possible", F.lit(False))
         own = rows.withColumn("part", F.pmod(self._hashes()[0], F.lit(parts["parts"])))
         return own.join(bitmaps.drop("parts"), "part", "left").withColumn("_possible", self._held()).drop("part", "bits")
 
@@ -240,6 +250,9 @@ class KeyedLog:
         names = keys.columns
         if len(live) > 1:
             keys = self._same(keys, self._rows(spark, live[1:]).select(*self.keys), "left_anti")
+        fs, make = self._files(spark)
+        if not fs.exists(make(f"{self.path}/{live[0].name}/_filter")):
+            return self._same(keys, self._rows(spark, live[:1]).select(*self.keys), "left_anti")
         asked = self.possible(keys, live[0])
         sure = asked.filter(~F.col("_possible")).select(*names)
         # Staged, so that its size is known: where it is small, the run's rows stay where they are.
@@ -250,11 +263,26 @@ class KeyedLog:
     # -- description, for readers that know only the path
 
     def describe(self) -> str:
-        named = {f: getattr(self, f) for f in ("keys", "order", "keep", "buckets", "fan", "bits")}
+        named = {f: getattr(self, f) for f in ("keys", "order", "keep", "fan", "bits", "filter_from")}
         return json.dumps({"schema": json.loads(self.schema.json()), **named})
 
+    def _describe(self, spark: SparkSession) -> None:
+        fs, make = self._files(spark)
+        out = fs.create(make(f"{self.path}/{_ABOUT}"), True)
+        out.write(bytearray(self.describe(), "utf-8"))
+        out.close()
+
     @staticmethod
     def described(path: str, text: str) -> KeyedLog:
         named = json.loads(text)
         schema = T.StructType.fromJson(named.pop("schema"))
         return KeyedLog(path, schema, **{k: tuple(v) if isinstance(v, list) else v for k, v in named.items()})
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> KeyedLog | None:
+        """The log at a path, as its first writer described it; None where there is none."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_ABOUT}")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        text = spark.read.text(f"{path}/{_ABOUT}", wholetext=True).first()[0]
+        return KeyedLog.described(path, text)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewell.sources.keyed_log import KeyedLog
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV parts with a header; NULL and empty text stay apart."""
@@ -43,7 +45,11 @@ def write_version(df: DataFrame, path: str) -> int:
 def read_current(
     spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    """The newest complete version; with a schema, an absent table reads as empty."""
+    """The newest complete version, or the rows of a keyed log; with a schema, an absent table
+    reads as empty."""
+    log = KeyedLog.open(spark, path)
+    if log is not None:
+        return log.read(spark)
     versions = _versions(spark, path)
     if not versions:
         if schema is None:

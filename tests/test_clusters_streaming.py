@@ -9,6 +9,7 @@ import pytest
 from casewell.operators import clusters as C
 from casewell.operators import correspondence as M
 from casewell.sources import sinks
+from casewell.sources.keyed_log import KeyedLog
 from casewell.streaming.incremental import insert_missing_stream, upsert_stream
 
 COLS = ["a", "b", "c"]
@@ -133,3 +134,23 @@ def test_tables_grow_from_a_stream(spark, tmp_path):
     feed((1, "again"))
     assert rows(sinks.read_current(spark, dim)) == [(1, "a"), (2, "b"), (3, "b")]
     assert rows(sinks.read_current(spark, table)) == [(1, "again"), (2, "z"), (3, "b")]
+
+
+def test_a_late_batch_does_not_undo_a_later_row(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, t int, v string").schema
+    source, first, last = (str(tmp_path / n) for n in ("in", "first", "last"))
+    sinks.write_version(spark.createDataFrame([(9, 1, "old table")], schema), last)
+
+    def feed(*values):
+        spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        for start, path in ((insert_missing_stream, first), (upsert_stream, last)):
+            start(stream, path, schema, ["k"], f"{path}-checkpoint", order=["t"]).awaitTermination()
+
+    feed((1, 5, "b"), (1, 7, "a"), (2, 1, "x"))
+    feed((1, 6, "late"), (2, 2, "y"), (3, 1, "z"))
+    assert rows(sinks.read_current(spark, first)) == [(1, 5, "b"), (2, 1, "x"), (3, 1, "z")]
+    assert rows(sinks.read_current(spark, last)) == [(1, 7, "a"), (2, 2, "y"), (3, 1, "z"), (9, 1, "old table")]
+    # The second batch wrote its own rows only.
+    sizes = [spark.read.parquet(f"{first}/{r.name}").count() for r in KeyedLog.open(spark, first).runs(spark)]
+    assert sizes == [2, 1]

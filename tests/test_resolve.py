@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+import uuid
 from contextlib import contextmanager
 import sys
 
@@ -13,7 +15,7 @@ from casewell import rules as R
 from casewell.functions import text as tx
 from casewell.functions import values as vl
 from casewell.operators import resolve as X
-from casewell.sources.caches import POINT_CACHE, TEXT_CACHE, append_cache, read_cache
+from casewell.sources.caches import POINT_CACHE, TEXT_CACHE, append_cache, attempts, failures, read_cache
 
 # The resolvers of this file travel to the workers with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,12 +60,58 @@ def test_resolve_text(spark, tmp_path):
     assert len(answers(cached)) == 2
 
 
-def test_failed_text_stays(spark, tmp_path):
+def test_failed_text_stays_and_is_asked_again(spark, tmp_path):
     cache = str(tmp_path / "cache")
     rows, cached = X.resolve_text(texts_frame(spark), "t", failing, cache)
     found = {r["id"]: r["t"] for r in rows.collect()}
     assert found[0] == "OFICIAL OJEDA [LP]" and found[1] == "dolor"
-    assert None in answers(cached).values()
+    # Only answers are cached; the failed call is kept as an attempt.
+    assert list(answers(cached).values()) == ["dolor"]
+    left = failures(spark, cache, TEXT_CACHE).collect()
+    assert [(r["attempts"], r["error"]) for r in left] == [(1, "RuntimeError: no answer")]
+    X.resolve_text(texts_frame(spark), "t", failing, cache)
+    assert failures(spark, cache, TEXT_CACHE).first()["attempts"] == 2
+    rows, cached = X.resolve_text(texts_frame(spark), "t", quoting, cache)
+    assert {r["id"]: r["t"] for r in rows.collect()}[0] == "OFICIAL [NOMBRE] [LP]"
+    assert failures(spark, cache, TEXT_CACHE).count() == 0 and cached.count() == 2
+
+
+def test_back_off_after_failures(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    df = texts_frame(spark)
+
+    def tried(now, rule=failing, **more):
+        options = X.Options(retry_after=60, now=f"2024-01-01 00:{now}", **more)
+        X.resolve_text(df, "t", rule, cache, options)
+        return attempts(spark, cache).first()["attempts"]
+
+    # 60 seconds after the first failure, then 120, then 240.
+    times = {"00:00": 1, "00:59": 1, "01:00": 2, "02:59": 2, "03:00": 3, "06:59": 3}
+    assert {now: tried(now) for now in times} == times
+    assert tried("59:00", attempts=3) == 3 and tried("59:00") == 4
+    tried("59:59", forbidden)
+
+
+def test_faults_of_the_program_end_the_run(spark, tmp_path):
+    with pytest.raises(Exception, match="must not be called"):
+        X.resolve_text(texts_frame(spark), "t", forbidden, str(tmp_path / "cache"))
+
+
+def test_finished_parts_are_not_asked_again(spark, tmp_path, monkeypatch):
+    """A run that is ended after a part was written, but before it was taken into the cache."""
+    cache = str(tmp_path / "cache")
+    df = spark.createDataFrame([(i, f"T{i}") for i in range(20)], "id int, t string")
+    with monkeypatch.context() as patch:
+
+        def ended(*_):
+            raise KeyboardInterrupt
+
+        patch.setattr(X, "append_cache", ended)
+        with pytest.raises(KeyboardInterrupt):
+            X.resolve_text(df, "t", failing, cache)
+    rows, cached = X.resolve_text(df, "t", forbidden, cache)
+    assert cached.count() == 20 and {r["t"] for r in rows.collect()} == {f"t{i}" for i in range(20)}
+    assert X.absorb(spark, cache, TEXT_CACHE) == 0
 
 
 def test_parts_resume(spark, tmp_path):
@@ -121,13 +169,38 @@ def test_texts_that_are_json_are_no_answers(spark, tmp_path):
     assert {r["attributes"] for r in out.collect()} == {'{"k": 1}'}
 
 
-def test_pause_follows_every_call():
+def test_every_call_waits_for_its_turn():
     def refuse(v):
         raise RuntimeError
 
     start = time.time()
-    X._call(refuse, pd.Series(["a"] * 4), lambda v: pd.Series([None], index=v.index), 0.05)
-    assert time.time() - start >= 0.25
+    X._call(refuse, pd.Series(["a"] * 4), lambda v, e: pd.Series([None], index=v.index), X.Pace(0.05, start=start))
+    assert time.time() - start >= 0.2
+
+
+def test_pace_of_all_tasks_together(spark, tmp_path):
+    """Four tasks, some calls that fail: no two calls come closer than the pause."""
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    at, pause = str(folder), 0.15
+
+    def noted(texts: pd.Series) -> pd.Series:
+        now = time.time()
+        with open(f"{at}/{now:.6f}-{uuid.uuid4().hex}", "w") as file:
+            file.write(str(os.getpid()))
+        if texts.str.endswith("7").any():
+            raise OSError("busy")
+        return texts.str.lower()
+
+    df = spark.createDataFrame([(i, f"T{i}") for i in range(30)], "id int, t string")
+    options = X.Options(batch=3, parallelism=4, pause=pause)
+    X.resolve_text(df, "t", noted, str(tmp_path / "cache"), options)
+    files = sorted(folder.iterdir())
+    times = [float(f.name.split("-")[0]) for f in files]
+    assert len(times) >= 10 and len({f.read_text() for f in files}) > 1
+    assert min(b - a for a, b in zip(times, times[1:])) > pause * 0.6
+    assert times[-1] - times[0] >= (len(times) - 1) * pause * 0.95
+    assert failures(spark, str(tmp_path / "cache"), TEXT_CACHE).count() == 3
 
 
 def test_double_keys_in_a_cache_do_not_double_rows(spark, tmp_path):
@@ -186,6 +259,44 @@ def test_cache_append_keeps_keys_unique(spark, tmp_path):
     assert read_cache(spark, path, TEXT_CACHE).count() == 2
 
 
+def test_cache_keeps_the_last_by_an_order_column(spark, tmp_path):
+    path, ordered = str(tmp_path / "cache"), "key string, value string, t int"
+    for rows in ([("k", "a", 2), ("k", "b", 1), ("l", "x", 5)], [("k", "c", 3), ("l", "y", 4)]):
+        append_cache(spark.createDataFrame(rows, ordered), path, TEXT_CACHE, "t")
+    assert answers(read_cache(spark, path, TEXT_CACHE)) == {"k": "c", "l": "x"}
+
+
+def test_plain_folders_become_logs(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    spark.createDataFrame([("k", "a")], TEXT_CACHE).write.parquet(path)
+    append_cache(spark.createDataFrame([("k", "z"), ("l", "c")], TEXT_CACHE), path, TEXT_CACHE)
+    assert answers(read_cache(spark, path, TEXT_CACHE)) == {"k": "a", "l": "c"}
+
+
+def test_a_hot_text_is_split_at_the_cache(spark, tmp_path):
+    """The side with answers is stored, so AQE can split the partition of a text that a third of
+    the rows have."""
+    lowered = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in lowered}
+    try:
+        for k, v in lowered.items():
+            spark.conf.set(k, v)
+        df = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 'HOT', concat('T', id % 500)) AS t").repartition(8)
+        rows, _ = X.resolve_text(df, "t", failing, str(tmp_path / "cache"))
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "isSkew=true" in plan or "skewed" in plan
+
+
 def test_mark_and_cache_decide_what_is_pending(spark):
     df = spark.createDataFrame([("OFICIAL [NOMBRE] SOLICITA",), ("DOLOR",)], "t string")
     empty = spark.createDataFrame([], TEXT_CACHE)
