@@ -26,6 +26,7 @@ from casewell.operators.joins import cache_apply, cache_misses, resolvable
 from casewell.session import stage
 from casewell.sources.caches import POINT_CACHE, TEXT_CACHE, append_cache, attempt_log, attempts, read_cache
 from casewell.sources.caches import cache_misses as cached_misses
+from casewell.sources.keyed_log import KeyedLog
 
 TextResolver = Callable[[pd.Series], pd.Series]
 PointResolver = Callable[[pd.DataFrame], pd.DataFrame]
@@ -144,7 +145,7 @@ def absorb(spark: SparkSession, cache: str, schema: T.StructType) -> int:
     for folder in new:
         answers = spark.read.schema(_answer_type(schema)).parquet(str(folder.toString()))
         answered = answers.filter("_status != 'error'").select(*schema.fieldNames())
-        append_cache(answered, cache, schema)
+        append_cache(answered, cache, schema, unique=True)  # a part asks for a value once
         failed = answers.filter("_status = 'error'").select(
             "key", F.lit(folder.getName()).alias("part"), F.col("_tried_at").alias("tried_at"), F.col("_error").alias("error")
         )
@@ -188,8 +189,11 @@ def _lacking(cache: str, schema: T.StructType, options: Options) -> Callable[[Da
 
 
 def _hits(keyed: DataFrame, cache: str, schema: T.StructType) -> DataFrame:
-    """Cached rows of the keys in `keyed`. Stored, so that a join can be split at a hot key: no
-    aggregate by the same key stands below it."""
+    """Cached rows of the keys in `keyed`. Where they come from several runs they are stored, so
+    that a join can be split at a hot key: no aggregate by the same key stands below it."""
+    log = KeyedLog.open(keyed.sparkSession, cache)
+    if log is not None and len(log.runs(keyed.sparkSession)) == 1:
+        return log.read(keyed.sparkSession).select(*schema.fieldNames())
     keys = keyed.select("key").filter("key IS NOT NULL").distinct()
     cached = read_cache(keyed.sparkSession, cache, schema)
     return stage(cached.join(keys, "key", "left_semi"), "hits")

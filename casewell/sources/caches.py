@@ -71,22 +71,24 @@ def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def append_cache(
-    entries: DataFrame, path: str, schema: T.StructType, order: str | None = None
+    entries: DataFrame, path: str, schema: T.StructType, order: str | None = None, unique: bool = False
 ) -> None:
     """Add entries to the cache, where a key has one entry.
 
     Without `order` the entry that a key has stays; of new entries that share a key an answer
     counts before none and the greater one of two. With it, an entry takes the place of one with a
-    smaller value in that column, whether in the same batch or an earlier one.
+    smaller value in that column, whether in the same batch or an earlier one. `unique`: the
+    entries are known to have one row per key.
     """
     spark = entries.sparkSession
     log = cache_log(path, schema, None if order is None else entries.schema[order])
     if not log.exists(spark):
         plain = _plain(spark, path, schema)
         if plain is not None:
-            log.append(plain if order is None else plain.withColumn(order, F.lit(None)))
+            old = plain if order is None else plain.withColumn(order, F.lit(None))
+            log.append(old, unique=True)
     rows = entries.select(*log.schema.fieldNames())
-    log.append(rows if order else _greatest(rows, schema))
+    log.append(rows if order or unique else _greatest(rows, schema), unique or not order)
 
 
 def cache_misses(spark: SparkSession, keys: DataFrame, path: str, schema: T.StructType) -> DataFrame:

@@ -92,18 +92,22 @@ class KeyedLog:
 
     # -- writing
 
-    def append(self, batch: DataFrame) -> Run | None:
-        """Write a batch as a run (none for an empty one), then merge runs where it is time."""
+    def append(self, batch: DataFrame, unique: bool = False) -> Run | None:
+        """Write a batch as a run (none for an empty one), then merge runs where it is time.
+        `unique`: the batch is known to have one row per key."""
         spark = batch.sparkSession
         number = max((r.last for r in self._all_runs(spark)), default=-1) + 1
         run = Run(0, number, number)
         rows = batch.select(*self.schema.fieldNames())
         rest = [c for c in self.schema.fieldNames() if c not in (*self.keys, *self.order)]
-        if rest:
+        if unique:
+            rows = rows.repartition(*self.keys)
+        elif rest:
             groups = rows.groupBy(*self.keys, *self.order).agg(F.min(F.struct(*rest)).alias("_rest"))
             rows = groups.select(*self.keys, *self.order, "_rest.*")
         numbered = rows.withColumn(_SEQ, F.lit(number).cast("bigint"))
-        if not self._write(numbered if rest and not self.order else self._winners(numbered), run):
+        single = unique or (rest and not self.order)
+        if not self._write(numbered if single else self._winners(numbered), run):
             return None
         self.compact(spark)
         return run
