@@ -17,11 +17,12 @@ WEEKDAYS = {1: "sun", 2: "mon", 3: "tue", 4: "wed", 5: "thu", 6: "fri", 7: "sat"
 
 
 def period_start(ts: Column, unit: str) -> Column:
-    """Start of the period: a date, or a timestamp without zone for hours. Independent
+    """Start of the period: a date, or a timestamp without zone for hours and minutes. Independent
     of the time zone of the session."""
     day = ts.cast("date")
-    if unit == "hour":
-        hours = F.make_dt_interval(F.lit(0), F.hour(ts))
+    if unit in ("hour", "minute"):
+        minutes = [F.minute(ts)] if unit == "minute" else []
+        hours = F.make_dt_interval(F.lit(0), F.hour(ts), *minutes)
         return (day.cast("timestamp_ntz") + hours).cast("timestamp_ntz")
     return day if unit == "day" else F.trunc(day, unit)
 

@@ -122,35 +122,35 @@ WITH c AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*)
 SELECT s.m, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.m = s.m"""
 
 
-SPARSE = "(SELECT * FROM orders WHERE o_totalprice > 499000)"
-
-
 @query(f"SELECT last_day(m) AS month_end, n FROM ({monthly_sql('orders')})")
 def monthly_series(t: Tables) -> DataFrame:
     return S.monthly_series(t.orders, "o_orderdate")
 
 
-@query(f"SELECT m AS period, n FROM ({monthly_sql(SPARSE)})")
+MINUTES_SQL = """
+WITH c AS (SELECT date_trunc('minute', ts) AS h, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1),
+     s AS (SELECT unnest(generate_series((SELECT min(h) FROM c), (SELECT max(h) FROM c),
+                                         INTERVAL 1 MINUTE)) AS h)"""
+
+
+# Minutes, so that a series of all events has gaps.
+@query(f"{MINUTES_SQL} SELECT s.h AS period, coalesce(c.n, 0) AS n FROM s LEFT JOIN c ON c.h = s.h")
 def sparse_series(t: Tables) -> DataFrame:
-    return S.period_series(t.orders.filter("o_totalprice > 499000"), "o_orderdate", "month")
+    return S.period_series(t.events, "ts", "minute")
 
 
-@query("""
-WITH c AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'purchase'),
-     s AS (SELECT unnest(generate_series((SELECT min(h) FROM c), (SELECT max(h) FROM c),
-                                         INTERVAL 1 HOUR)) AS h)
-SELECT h AS period FROM s WHERE h NOT IN (SELECT h FROM c)""")
+@query(f"{MINUTES_SQL} SELECT h AS period FROM s WHERE h NOT IN (SELECT h FROM c)")
 def missing_periods(t: Tables) -> DataFrame:
-    return S.missing_periods(t.events.filter("event_type = 'purchase'"), "ts", "hour")
+    return S.missing_periods(t.events, "ts", "minute")
 
 
-@query(f"""
-WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM {SPARSE})
-SELECT datediff('month', min(d), max(d)) + 1 AS expected,
-       count(DISTINCT date_trunc('month', d)) AS present, max(d) < last_day(max(d)) AS partial_last
-FROM o""")
+@query("""
+SELECT datediff('hour', min(ts), max(ts)) + 1 AS expected,
+       count(DISTINCT date_trunc('hour', ts)) AS present,
+       CAST(max(ts) AS DATE) < CAST(date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS DATE) - 1 AS partial_last
+FROM events""")
 def completeness(t: Tables) -> DataFrame:
-    return S.completeness(t.orders.filter("o_totalprice > 499000"), "o_orderdate", "month")
+    return S.completeness(t.events, "ts", "hour")
 
 
 @query("""
