@@ -187,26 +187,3 @@ def mann_kendall(series: DataFrame, t: str, n: str) -> DataFrame:
     )
     result = joined.select("periods", "s", "variance", z.alias("z"))
     return result.withColumn("p_value", normal_two_sided("z"))
-
-
-def poisson_trend(series: DataFrame, n: str = "n", order: str = "period") -> DataFrame:
-    """Poisson regression of the period counts on the period number."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    # One row per period, staged because every iteration of the fit reads it.
-    series = stage(series.select(order, n), "series")
-    place = F.row_number().over(Window.orderBy(order)).cast("double")
-    frame = series.select(F.col(n).cast("double").alias("label"), place.alias("t"))
-    vectors = VectorAssembler(inputCols=["t"], outputCol="features").transform(frame)
-    model = GeneralizedLinearRegression(family="poisson", link="log", maxIter=50).fit(vectors)
-    fit = model.summary
-    row = (
-        float(model.coefficients[0]),
-        float(model.intercept),
-        float(fit.coefficientStandardErrors[0]),
-        float(fit.pValues[0]),
-    )
-    return series.sparkSession.createDataFrame(
-        [row], "slope double, intercept double, std_error double, p_value double"
-    )

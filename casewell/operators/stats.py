@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from casewell.functions.special import chi_square_p, fisher_p, student_p
 from casewell.functions.text import matches_any_case
 from casewell.functions.values import null_to_false
+from casewell.operators.fits import Z95
 from casewell.operators.keys import positioned
 from casewell.session import stage
 
-Z95 = 1.959963984540054
-
 
 def odds_ratios(df: DataFrame, outcome: str, factors: Sequence[str]) -> DataFrame:
     """2x2 table of each factor against the outcome, with odds ratio, 95 % interval of the
@@ -58,30 +57,25 @@ def odds_ratios(df: DataFrame, outcome: str, factors: Sequence[str]) -> DataFram
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson chi-square test of two categorical columns.
 
-    chi2 = n * (sum of n_ij^2 / (row_i * col_j) - 1) needs the non-empty cells only.
+    Each non-empty cell adds (n - e)^2 / e; an empty one adds its expected count e, and what all
+    of those expect together is n less the sum of e over the others. No large numbers cancel.
     """
     cells = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    shares = cells.select(
-        a,
-        b,
-        "n",
-        (
-            F.col("n").cast("double")
-            * F.col("n")
-            / F.sum("n").over(Window.partitionBy(a)).cast("double")
-            / F.sum("n").over(Window.partitionBy(b))
-        ).alias("share"),
-    )
-    sums = shares.agg(
-        F.sum("n").alias("n"),
-        F.sum("share").alias("share"),
+    # Staged: margins and total come from the cells, whose number the levels bound.
+    cells = stage(cells, "cells")
+    rows = cells.groupBy(a).agg(F.sum("n").cast("double").alias("_row"))
+    cols = cells.groupBy(b).agg(F.sum("n").cast("double").alias("_col"))
+    total = cells.agg(F.sum("n").alias("n")).first()["n"]
+    expected = F.col("_row") * F.col("_col") / F.lit(float(total or 1))
+    off = F.col("n") - expected
+    sums = cells.join(rows, a).join(cols, b).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        (F.sum(off * off / expected) + F.sum(off)).alias("statistic"),
         F.count_distinct(a).alias("rows"),
         F.count_distinct(b).alias("cols"),
     )
     test = sums.select(
-        "n",
-        (F.col("n") * (F.col("share") - 1)).alias("statistic"),
-        ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("freedom"),
+        "n", "statistic", ((F.col("rows") - 1) * (F.col("cols") - 1)).alias("freedom")
     )
     return test.withColumn("p_value", chi_square_p("statistic", "freedom"))
 
@@ -112,72 +106,6 @@ def pearson(
     return result.withColumn("p_value", student_p(t, freedom))
 
 
-def logistic_or(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:
-    """Logistic regression of a flag on categorical terms, first level as reference.
-
-    The fit runs on the share of true per combination of levels, weighted by its rows: the
-    same estimates and errors as on the rows, from a frame whose size the levels bound.
-    Pseudo-R2 is McFadden's, of the rows.
-    """
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    typed = df.select(
-        null_to_false(F.col(outcome)).cast("int").cast("double").alias("modelled_outcome"),
-        *[F.col(t).cast("string").alias(t) for t in terms],
-    ).dropna()
-    shares = typed.groupBy(*terms).agg(
-        F.avg("modelled_outcome").alias("modelled_outcome"),
-        F.count(F.lit(1)).cast("double").alias("modelled_rows"),
-    )
-    # Staged, since every iteration of the fit reads it.
-    counted = stage(shares, "levels")
-    # The last level is dropped; in falling order that is the first one.
-    formula = RFormula(
-        formula="modelled_outcome ~ " + " + ".join(terms), stringIndexerOrderType="alphabetDesc"
-    ).fit(counted)
-    design = formula.transform(counted)
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="modelled_rows", maxIter=50, tol=1e-10
-    ).fit(design)
-    fit = model.summary
-    names = [
-        attr["name"]
-        for group in design.schema["features"].metadata["ml_attr"]["attrs"].values()
-        for attr in sorted(group, key=lambda g: g["idx"])
-    ]
-    # Deviances are measured from the log likelihood of the shares themselves.
-    share = F.col("modelled_outcome")
-    own = F.when(
-        (share > 0) & (share < 1), share * F.log(share) + (1 - share) * F.log(1 - share)
-    ).otherwise(0.0)
-    saturated = counted.agg(F.sum(own * F.col("modelled_rows"))).first()[0]
-    null = saturated - fit.nullDeviance / 2
-    pseudo_r2 = 1 - (saturated - fit.deviance / 2) / null if null else None
-    rows = [
-        (name, float(beta), float(error), float(p), pseudo_r2)
-        for name, beta, error, p in zip(
-            [*names, "(intercept)"],
-            [*model.coefficients, model.intercept],
-            fit.coefficientStandardErrors,
-            fit.pValues,
-            strict=True,
-        )
-    ]
-    table = df.sparkSession.createDataFrame(
-        rows, "term string, coefficient double, std_error double, p_value double, pseudo_r2 double"
-    )
-    beta, error = F.col("coefficient"), F.col("std_error")
-    return table.select(
-        "term",
-        F.exp(beta).alias("odds_ratio"),
-        F.exp(beta - Z95 * error).alias("ci_low"),
-        F.exp(beta + Z95 * error).alias("ci_high"),
-        "p_value",
-        "pseudo_r2",
-    )
-
-
 def contradictions(df: DataFrame, flag: str, other: str) -> DataFrame:
     """Rows where a flag and a related value disagree, and their share of the flag's rows."""
     on, has = F.col(flag), F.col(other).isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewell.operators import fits as Fits
 from casewell.operators import series as S
 from casewell.operators import stats as G
 from casewell.operators.joins import merge_indicator
@@ -26,6 +27,22 @@ FACTORS = {
 Z = "1.959963984540054::DOUBLE"
 
 
+def normal_p_sql(z: str) -> str:
+    """Two-sided p of a normal value, by a series of the error function."""
+    x = f"(greatest(abs({z}), 1e-300) / sqrt(2))"
+    terms = f"list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln({x}) - lgamma(k + 1.5)))"
+    return f"round(CASE WHEN abs({z}) > 8 THEN 0 ELSE 1 - exp(-{x} * {x}) * list_sum({terms}) END, 6)"
+
+
+def student_p_sql(r: str, freedom: str) -> str:
+    """Two-sided p of a correlation, by a series of the incomplete beta function."""
+    x = f"({r} * {r})"
+    head = f"exp(0.5 * ln({x}) + {freedom} / 2 * ln(1 - {x}) - ln(0.5) + lgamma(({freedom} + 1) / 2) - lgamma(0.5) - lgamma({freedom} / 2))"
+    steps = f"""list_transform(range(0, 4000), lambda k: exp(lgamma(({freedom} + 1) / 2 + k) - lgamma(({freedom} + 1) / 2)
+                 + lgamma(1.5) - lgamma(1.5 + k) + k * ln({x})))"""
+    return f"round(1 - {head} * list_sum({steps}), 6)"
+
+
 def lines_with_factors(t: Tables) -> DataFrame:
     return t.lineitem.select(
         (F.col("l_returnflag") == "R").alias("returned"),
@@ -88,54 +105,83 @@ WITH l AS (SELECT event_type, count(*) FILTER (high_k) AS y, count(*) FILTER (NO
                   sqrt(1 / y + 1 / z + 1 / y0 + 1 / z0) AS e FROM l, r WHERE event_type <> 'click'
            UNION ALL SELECT '(intercept)', ln(y0 / z0), sqrt(1 / y0 + 1 / z0) FROM r)
 SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * e), 6) AS ci_low,
-       round(exp(b + {Z} * e), 6) AS ci_high, round(r2, 6) AS pseudo_r2
+       round(exp(b + {Z} * e), 6) AS ci_high, {normal_p_sql("(b / e)")} AS p_value,
+       round(r2, 6) AS pseudo_r2, true AS converged
 FROM o, q""")
 def logistic_or(t: Tables) -> DataFrame:
-    fit = G.logistic_or(flagged_events(t), "high_k", ["event_type"]).drop("p_value")
-    return rounded(fit, 6, "odds_ratio", "ci_low", "ci_high", "pseudo_r2")
-
-
-def newton_sql(rounds: int) -> str:
-    """Newton steps of a logistic fit on two flags, from the shares `g(x, z, y, w)`."""
-    steps = ["b0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS r)"]
+    fit = Fits.logistic_or(flagged_events(t), "high_k", ["event_type"])
+    return rounded(fit, 6, "odds_ratio", "ci_low", "ci_high", "p_value", "pseudo_r2")
+
+
+def determinant_sql(rows: list[list[str]]) -> str:
+    if not rows:
+        return "1"
+    parts = [
+        f"{'-' if j % 2 else '+'} {cell} * ({determinant_sql([r[:j] + r[j + 1 :] for r in rows[1:]])})"
+        for j, cell in enumerate(rows[0])
+    ]
+    return " ".join(parts)
+
+
+def newton_sql(flags: list[str], rounds: int) -> str:
+    """Newton steps of a logistic fit on flags, from the shares `g(flags, y, w)`; `b{i}` holds
+    the estimates `p0` (intercept), `p1`, … and their errors `e0`, …"""
+    x = ["1", *flags]
+    size = range(len(x))
+    minor = lambda i, j: [[f"h{min(a, b)}{max(a, b)}" for b in size if b != j] for a in size if a != i]
+    inverse = [[f"({'-' if (i + j) % 2 else ''}({determinant_sql(minor(i, j))}) / det)" for j in size] for i in size]
+    old = ", ".join(f"p{i}" for i in size)
+    eta = " + ".join(f"p{i} * {v}" for i, v in enumerate(x))
+    sums = [f"sum(w * mu * (1 - mu) * {x[i]} * {x[j]}) AS h{i}{j}" for i in size for j in size if i <= j]
+    sums += [f"sum(w * (y - mu) * {x[i]}) AS s{i}" for i in size] + [f"any_value(p{i}) AS p{i}" for i in size]
+    whole = determinant_sql([[f"h{min(a, b)}{max(a, b)}" for b in size] for a in size])
+    moved = [f"p{i} + {' + '.join(f'{inverse[i][j]} * s{j}' for j in size)} AS p{i}" for i in size]
+    errors = [f"sqrt({inverse[i][i]}) AS e{i}" for i in size]
+    steps = [f"b0 AS (SELECT {', '.join(f'0.0::DOUBLE AS p{i}' for i in size)})"]
     for i in range(1, rounds + 1):
         steps.append(f"""
-     m{i} AS (SELECT x, z, y, w, p, q, r, 1 / (1 + exp(-(p + q * x + r * z))) AS mu FROM g, b{i - 1}),
-     h{i} AS (SELECT any_value(p) AS p, any_value(q) AS q, any_value(r) AS r, sum(w * mu * (1 - mu)) AS a,
-                     sum(w * mu * (1 - mu) * x) AS b, sum(w * mu * (1 - mu) * z) AS c,
-                     sum(w * mu * (1 - mu) * x * z) AS e, sum(w * (y - mu)) AS u,
-                     sum(w * (y - mu) * x) AS v, sum(w * (y - mu) * z) AS t FROM m{i}),
-     i{i} AS (SELECT *, a * (b * c - e * e) + b * (e * c - b * c) + c * (b * e - b * c) AS det FROM h{i}),
-     b{i} AS (SELECT p + ((b * c - e * e) * u + (e * c - b * c) * v + (b * e - b * c) * t) / det AS p,
-                     q + ((e * c - b * c) * u + (a * c - c * c) * v + (b * c - a * e) * t) / det AS q,
-                     r + ((b * e - b * c) * u + (b * c - a * e) * v + (a * b - b * b) * t) / det AS r,
-                     sqrt((b * c - e * e) / det) AS sp, sqrt((a * c - c * c) / det) AS sq,
-                     sqrt((a * b - b * b) / det) AS sr FROM i{i})""")
+     m{i} AS (SELECT g.*, {old}, 1 / (1 + exp(-({eta}))) AS mu FROM g, b{i - 1}),
+     h{i} AS (SELECT {', '.join(sums)} FROM m{i}),
+     i{i} AS (SELECT *, {whole} AS det FROM h{i}),
+     b{i} AS (SELECT {', '.join([*moved, *errors])} FROM i{i})""")
     return ",".join(steps)
 
 
-@query(f"""
-WITH f AS (SELECT l_returnflag = 'R' AS y, l_discount > 0.05 AS x, l_quantity > 30 AS z FROM lineitem),
-     g AS (SELECT CAST(x AS INTEGER) AS x, CAST(z AS INTEGER) AS z, avg(CAST(CAST(y AS INTEGER) AS DOUBLE)) AS y,
-                  CAST(count(*) AS DOUBLE) AS w FROM f GROUP BY ALL),
-     {newton_sql(9)},
+def logistic_sql(factors: list[str]) -> str:
+    """A logistic fit of returned lines on factors, with two-sided p."""
+    flags = [f"x{i}" for i in range(1, len(factors) + 1)]
+    named = ", ".join(f"CAST(({FACTORS[f]}) AS INTEGER) AS {x}" for f, x in zip(factors, flags, strict=True))
+    terms = " UNION ALL ".join(
+        f"SELECT '{name}' AS term, p{i} AS b, e{i} AS e FROM b9"
+        for i, name in enumerate(["(intercept)", *[f"{f}_true" for f in factors]])
+    )
+    return f"""
+WITH f AS (SELECT CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y, {named} FROM lineitem),
+     g AS (SELECT {', '.join(flags)}, avg(y) AS y, CAST(count(*) AS DOUBLE) AS w FROM f GROUP BY {', '.join(flags)}),
+     {newton_sql(flags, 9)},
      l AS (SELECT sum(w * (y * ln(mu) + (1 - y) * ln(1 - mu))) AS fit, sum(w * y) / sum(w) AS share,
                   sum(w) AS n FROM m9),
      k AS (SELECT 1 - fit / (n * (share * ln(share) + (1 - share) * ln(1 - share))) AS r2 FROM l),
-     o AS (SELECT '(intercept)' AS term, p AS b, sp AS e FROM b9
-           UNION ALL SELECT 'discounted_true', q, sq FROM b9
-           UNION ALL SELECT 'large_true', r, sr FROM b9)
+     o AS ({terms})
 SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * e), 6) AS ci_low,
-       round(exp(b + {Z} * e), 6) AS ci_high, round(r2, 8) AS pseudo_r2
-FROM o, k""")
+       round(exp(b + {Z} * e), 6) AS ci_high, {normal_p_sql("(b / e)")} AS p_value,
+       round(r2, 8) AS pseudo_r2, true AS converged
+FROM o, k"""
+
+
+def returned_fit(t: Tables, factors: list[str]) -> DataFrame:
+    fit = Fits.logistic_or(lines_with_factors(t), "returned", factors)
+    return rounded(rounded(fit, 6, "odds_ratio", "ci_low", "ci_high", "p_value"), 8, "pseudo_r2")
+
+
+@query(logistic_sql(["discounted", "large"]))
 def logistic_adjusted(t: Tables) -> DataFrame:
-    fit = G.logistic_or(lines_with_factors(t), "returned", ["discounted", "large"]).drop("p_value")
-    return rounded(rounded(fit, 6, "odds_ratio", "ci_low", "ci_high"), 8, "pseudo_r2")
+    return returned_fit(t, ["discounted", "large"])
 
 
-@query()
+@query(logistic_sql(list(FACTORS)))
 def logistic_three(t: Tables) -> DataFrame:
-    return G.logistic_or(lines_with_factors(t), "returned", list(FACTORS))
+    return returned_fit(t, list(FACTORS))
 
 
 INDICATOR_SQL = """
@@ -155,17 +201,19 @@ def indicator_frame(t: Tables) -> DataFrame:
 
 @query(f"""{INDICATOR_SQL}
 SELECT 'all' AS subset, count(*) AS n, round(corr(n, indicator), 9) AS r,
-       round(regr_slope(n, indicator), 9) AS slope, round(regr_intercept(n, indicator), 6) AS intercept
+       round(regr_slope(n, indicator), 9) AS slope, round(regr_intercept(n, indicator), 6) AS intercept,
+       {student_p_sql("corr(n, indicator)", "(count(*) - 2)")} AS p_value
 FROM m
 UNION ALL
 SELECT 'without the first', count(*), round(corr(n, indicator), 9),
-       round(regr_slope(n, indicator), 9), round(regr_intercept(n, indicator), 6)
+       round(regr_slope(n, indicator), 9), round(regr_intercept(n, indicator), 6),
+       {student_p_sql("corr(n, indicator)", "(count(*) - 2)")}
 FROM m WHERE nation <> 0""")
 def indicator_corr(t: Tables) -> DataFrame:
     found = G.pearson(
         indicator_frame(t), "indicator", "n", {"without the first": F.col("nation") == 0}
-    ).drop("p_value")
-    return rounded(rounded(found, 9, "r", "slope"), 6, "intercept")
+    )
+    return rounded(rounded(found, 9, "r", "slope"), 6, "intercept", "p_value")
 
 
 @query("""
@@ -258,10 +306,11 @@ WITH s AS ({monthly_sql("orders")}), w AS (SELECT m AS t, n FROM s),
      v AS (SELECT CAST(sum(g) AS BIGINT) AS periods,
                   (CAST(sum(g) AS DOUBLE) * (sum(g) - 1) * (2 * sum(g) + 5)
                    - CAST(sum(g * (g - 1) * (2 * g + 5)) AS DOUBLE)) / 18 AS variance FROM g)
-SELECT periods, s, variance, round((s - sign(s)) / sqrt(variance), 9) AS z FROM v, z""")
+SELECT periods, s, variance, round((s - sign(s)) / sqrt(variance), 9) AS z,
+       {normal_p_sql("((s - sign(s)) / sqrt(variance))")} AS p_value FROM v, z""")
 def trend(t: Tables) -> DataFrame:
     series = S.period_series(t.orders, "o_orderdate", "month")
-    return rounded(S.mann_kendall(series, "period", "n").drop("p_value"), 9, "z")
+    return rounded(rounded(S.mann_kendall(series, "period", "n"), 9, "z"), 6, "p_value")
 
 
 def poisson_sql(rounds: int) -> str:
@@ -281,10 +330,11 @@ def poisson_sql(rounds: int) -> str:
 WITH d AS ({monthly_sql("orders")}),
      s AS (SELECT CAST(row_number() OVER (ORDER BY m) AS DOUBLE) AS x, CAST(n AS DOUBLE) AS y FROM d),
      {poisson_sql(12)}
-SELECT round(q, 8) AS slope, round(p, 6) AS intercept, round(e, 8) AS std_error FROM b12""")
+SELECT round(q, 8) AS slope, round(p, 6) AS intercept, round(e, 8) AS std_error,
+       {normal_p_sql("(q / e)")} AS p_value, true AS converged FROM b12""")
 def poisson_trend(t: Tables) -> DataFrame:
-    fit = S.poisson_trend(S.period_series(t.orders, "o_orderdate", "month")).drop("p_value")
-    return rounded(rounded(fit, 8, "slope", "std_error"), 6, "intercept")
+    fit = Fits.poisson_trend(S.period_series(t.orders, "o_orderdate", "month"))
+    return rounded(rounded(fit, 8, "slope", "std_error"), 6, "intercept", "p_value")
 
 
 def order_profiles(t: Tables) -> DataFrame:

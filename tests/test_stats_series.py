@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from casewell.functions.special import (
     student_two_sided_p,
 )
 from casewell.operators import rates as Q
+from casewell.operators import fits as Fits
 from casewell.operators import series as S
 from casewell.operators import stats as G
 
@@ -88,7 +90,7 @@ def test_chi_square_equals_odds_table(spark):
 
 def test_logistic_of_one_factor_is_its_odds_ratio(spark):
     df = cells(spark, (24, 16, 962, 3054))
-    fit = {r.term: r for r in G.logistic_or(df, "outcome", ["factor"]).collect()}
+    fit = {r.term: r for r in Fits.logistic_or(df, "outcome", ["factor"]).collect()}
     assert set(fit) == {"factor_true", "(intercept)"}
     row = fit["factor_true"]
     assert [round(v, 2) for v in (row.odds_ratio, row.ci_low, row.ci_high)] == [4.76, 2.52, 9.00]
@@ -105,7 +107,7 @@ def test_logistic_separates_a_confounder(spark):
         factor = random.random() < (0.7 if severe else 0.1)
         rows.append((factor, severe, random.random() < (0.6 if severe else 0.2)))
     df = spark.createDataFrame(rows, "factor boolean, severe boolean, outcome boolean")
-    fit = {r.term: r for r in G.logistic_or(df, "outcome", ["factor", "severe"]).collect()}
+    fit = {r.term: r for r in Fits.logistic_or(df, "outcome", ["factor", "severe"]).collect()}
     assert fit["factor_true"].ci_low < 1 < fit["factor_true"].ci_high
     assert fit["severe_true"].ci_low > 3
 
@@ -136,10 +138,47 @@ def test_mann_kendall_equals_pairs(spark):
             assert row.z is None and row.p_value is None
 
 
+def brute_logistic(rows, terms):
+    """Newton steps on the rows themselves."""
+    levels = [sorted({r[i + 1] for r in rows}) for i in range(terms)]
+    x = np.array([[*[float(r[i + 1] == v) for i in range(terms) for v in levels[i][1:]], 1.0] for r in rows])
+    y, beta = np.array([float(r[0]) for r in rows]), np.zeros(x.shape[1])
+    for _ in range(40):
+        mean = 1 / (1 + np.exp(-x @ beta))
+        information = x.T @ (x * (mean * (1 - mean))[:, None])
+        beta = beta + np.linalg.solve(information, x.T @ (y - mean))
+    errors = np.sqrt(np.diag(np.linalg.inv(information)))
+    return beta, [math.erfc(abs(b / e) / math.sqrt(2)) for b, e in zip(beta, errors)]
+
+
+def test_logistic_equals_newton_on_rows(spark):
+    random.seed(8)
+    rows = [(random.random() < 0.3 + 0.2 * (a == "y"), a, b) for a, b in (random.choices("xyz", k=2) for _ in range(700))]
+    df = spark.createDataFrame(rows, "outcome boolean, a string, b string").repartition(3)
+    found = {r["term"]: r for r in Fits.logistic_or(df, "outcome", ["a", "b"]).collect()}
+    beta, p = brute_logistic(rows, 2)
+    for name, b, own in zip(["a_y", "a_z", "b_y", "b_z", "(intercept)"], beta, p):
+        assert found[name]["odds_ratio"] == pytest.approx(math.exp(b), rel=1e-9) and found[name]["converged"]
+        assert found[name]["p_value"] == pytest.approx(own, rel=1e-7)
+
+
+def test_logistic_tells_separation(spark):
+    rows = [(True, "x"), (False, "x"), (True, "x"), (True, "y"), (True, "y"), (None, "x"), (True, None)]
+    df = spark.createDataFrame(rows, "outcome boolean, factor string")
+    found = Fits.logistic_or(df, "outcome", ["factor"]).collect()
+    assert len(found) == 2 and not any(r["converged"] for r in found)
+    assert Fits.logistic_or(df.limit(0), "outcome", ["factor"]).collect() == []
+
+
+def test_poisson_without_events(spark):
+    none = spark.createDataFrame([], "period int, n bigint")
+    assert Fits.poisson_trend(none).collect() == []
+
+
 def test_poisson_trend(spark):
     rows = [(i, round(40 * math.exp(0.02 * i))) for i in range(1, 54)]
     df = spark.createDataFrame(rows, "period int, n long")
-    row = S.poisson_trend(df).first()
+    row = Fits.poisson_trend(df).first()
     assert row.slope == pytest.approx(0.02, abs=1e-3) and row.p_value < 1e-6
 
 
