@@ -11,11 +11,12 @@ a task that runs twice leaves one whole file.
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,59 +24,145 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewell.llm.common import Kept, held, mix, runs, slim
+from casewell.llm.common import BLANK, held, mix, runs, slim
 from casewell.llm.word_bpe import byte_chars
 from casewell.session import stage, staging_root
 
-CACHED = 400_000
+# Pieces and ids that a Python worker keeps for its later tasks.
+CACHED_PIECES, CACHED_IDS = 2_000_000, 16_000_000
 GAMMA = 2
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-_RUN = re.compile(r"((?:[ \t\n\x0b\f\r]{2,}|[\t\x0b\f\r])[^ \t\n\x0b\f\r]*)")
-_RUN_SIGNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\f")
-_BLANKS = " \t\n\x0b\f\r"
-_TAIL = ".,;:!?#$%&*"
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?#$%&*")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 # A space or none and Latin letters: one pre-token whatever the version of the letter tables.
 _WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _SHOWN = dict(enumerate(byte_chars()))
-
-
-def _keys(text: str) -> list[str]:
-    """Keys of a text's chunks (a run of blanks and the word behind it), see `_chunk`.
-
-    Between longer runs of blanks a plain split does: only single spaces and line ends are left.
-    """
-    out: list[str] = []
-    # Plain searches tell far sooner than the pattern that a text has no such run.
-    for i, part in enumerate(_RUN.split(text) if any(s in text for s in _RUN_SIGNS) else [text]):
-        if i % 2:
-            out.append(part)
-            continue
-        own = part.replace("\n", " \n").split(" ")
-        if not own[0]:
-            del own[0]
-        elif i == 0:
-            own[0] = " " + own[0]
-        out += own
-    return out
-
-
-def _chunk(key: str) -> str:
-    """Text of a key: a word's own is short for a space and the word, a word with one space
-    before it is the first of a text, and other blanks stand for themselves."""
-    if key[:1] not in _BLANKS or not key:
-        return " " + key
-    return key[1:] if key[0] == " " and key[1:2] not in _BLANKS else key
-
-
-def _parts(chunk: str) -> tuple[str, ...]:
-    """A chunk cut at places that no token of the pattern crosses, so that its parts are shared
-    more often: behind a single line end, and between a last letter and the marks behind it."""
-    if chunk[0] == "\n" and chunk[1:2] not in _BLANKS:
-        return "\n", *_parts(chunk[1:])
-    base = chunk.rstrip(_TAIL)
-    if len(base) < len(chunk) and base[-1:].isascii() and base[-1:].isalpha():
-        return base, chunk[len(base) :]
-    return (chunk,)
+_BYTE = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Bytes at which the pieces of texts begin: no token of the pattern crosses the place before
+    a run of blanks, behind a single line end, or between a last ASCII letter and the marks up to
+    the next blank. Texts marked `whole` are one piece. An empty text has none."""
+    n = len(data)
+    blank = BLANK[data]
+    before = np.concatenate([[False], blank[:-1]]) if n else blank
+    first = np.zeros(n + 1, bool)
+    first[bounds[:-1]] = True
+    first[n] = True
+    after_text = first[1:]  # the byte is its text's last one
+    begin = first[:-1] | (blank & ~before)
+    next_blank = np.append(blank[1:], True) | after_text
+    # A line end that stands alone before a word.
+    line = begin & (data == 10) & ~next_blank
+    begin[1:] |= line[:-1]
+    # Marks from a letter to the end of a word: the last byte that is no mark, at every word's end.
+    place = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(n))) if n else np.zeros(0, np.int64)
+    ends = np.flatnonzero(_MARK[data] & next_blank)
+    last = place[ends]
+    good = _LETTER[data[last]]
+    # The letter must be of the same text.
+    text = np.cumsum(first[:-1])
+    good &= text[last] == text[ends]
+    begin[last[good] + 1] = True
+    if whole.any():
+        inside = np.zeros(n + 1, np.int64)
+        np.add.at(inside, bounds[:-1][whole], 1)
+        np.add.at(inside, bounds[1:][whole], -1)
+        begin &= ~((np.cumsum(inside)[:-1] > 0) & ~first[:-1])
+    return np.flatnonzero(begin)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each piece, of all its bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    powers = np.full(int(sizes.max()) + 1, _STEP)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    return mix(np.add.reduceat(_BYTE[data] * powers[place], starts))
+
+
+def splits_safely(tokenizer) -> bool:
+    """Whether a tokenizer's file has the form for which texts may be cut: bytes without a
+    normalizer or a space in front, the usual pattern, and added tokens without blanks or letters
+    and marks at which a cut could fall."""
+    parts = json.loads(tokenizer.to_str())
+    split = parts.get("pre_tokenizer") or {}
+    plain = parts.get("normalizer") is None and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout")
+    plain = plain and not parts["model"].get("ignore_merges") and not any(parts["model"].get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix"))
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    added = parts.get("added_tokens") or []
+    calm = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return plain and usual and calm and not any(re.search(r"\s|[A-Za-z][.,;:!?#$%&*]", t["content"]) or _WORD.fullmatch(t["content"]) for t in added)
+
+
+class Pieces:
+    """Ids of pieces by hash, in flat arrays, kept until a bound is met."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.safe = tokenizer, tokenizer.model, splits_safely(tokenizer)
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.first, self.used = np.zeros(1 << 16, self.kind), np.zeros(1, np.int64), 0
+
+    def encode(self, pieces: list[str]) -> list[list[int]]:
+        """Single words go to the library's model at once, all other pieces to its whole chain."""
+        out: list = [None] * len(pieces)
+        other = []
+        for i, piece in enumerate(pieces):
+            if self.safe and _WORD.fullmatch(piece):
+                out[i] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]
+            else:
+                other.append(i)
+        found = self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)
+        for i, e in zip(other, found, strict=True):
+            out[i] = e.ids
+        return out
+
+    def slots(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Slot of each piece; new ones are encoded, each distinct one once."""
+        if len(self.hashes) > CACHED_PIECES or self.used > CACHED_IDS:
+            self.clear()
+        hashes, one, place = np.unique(piece_hashes(data, starts), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[at] == hashes
+        known &= at < len(self.hashes)
+        new = np.flatnonzero(~known)
+        if len(new):
+            ends = np.append(starts[1:], len(data))
+            raw, own = data.tobytes(), one[new]
+            rows = self.encode([raw[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.fromiter(chain.from_iterable(rows), self.kind, int(sizes.sum()))
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], flat, np.zeros(self.used + len(flat), self.kind)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            slots = len(self.first) - 1 + np.arange(len(new))
+            self.first = np.concatenate([self.first, self.used + np.cumsum(sizes)])
+            self.used += len(flat)
+            self.hashes, self.slot = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.slot, at[new], slots)
+            at = np.searchsorted(self.hashes, hashes)
+        return self.slot[at][place] if len(place) else np.zeros(0, np.int64)
+
+    def rows(self, data: np.ndarray, bounds: np.ndarray, whole: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with `end` behind each, where each text's begin, with the end)."""
+        starts = cuts(data, bounds, whole)
+        slot = self.slots(data, starts)
+        counts = self.first[slot + 1] - self.first[slot]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(self.first[slot] - total[:-1], counts) + np.arange(total[-1])
+        text_end = total[np.searchsorted(starts, bounds[1:])]
+        ids = np.insert(self.ids[at], text_end, end)
+        return ids, np.concatenate([[0], text_end + np.arange(1, len(bounds))])
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -161,10 +248,10 @@ def _tokenizer(path: str):
 def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
     """`key`, `ids` (binary) and `width` of every whole text, the id `end` appended; null is empty.
 
-    The tokenizers library encodes each new chunk (a run of blanks and the word behind it): no
-    token of this vocabulary's pattern crosses the place before such a run. Marks at the end of a
-    chunk are encoded apart. Texts with other white space are encoded whole. Recent results stay
-    in the Python worker, up to a bound, for its later tasks too.
+    Texts are cut where no token can cross, and the tokenizers library encodes each distinct new
+    piece once; ids are gathered by piece. Texts with other white space than ASCII's, and all texts
+    where the tokenizer's file is of another form, are encoded whole. Pieces stay in the Python
+    worker, up to a bound, for its later tasks too.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -172,53 +259,20 @@ def encoded(df: DataFrame, path: str, end: int, key: str, text: str) -> DataFram
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, kept = held("token_files", path, lambda: (_tokenizer(path), Kept(CACHED)))
-        kind = np.dtype("<u2" if tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
-        code = kind.char
-
-        model = tokenizer.model
-
-        def ids(texts: list[str]) -> list[bytes]:
-            return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def part_ids(parts: Iterable[str]) -> dict[str, bytes]:
-            """Single words go to the library's model at once, all other parts to its whole chain."""
-            out, other = {}, []
-            for p in parts:
-                if _WORD.fullmatch(p):
-                    shown = p.encode().decode("latin-1").translate(_SHOWN)
-                    out[p] = array(code, [t.id for t in model.tokenize(shown)]).tobytes()
-                else:
-                    other.append(p)
-            out.update(zip(other, ids(other), strict=True))
-            return out
-
-        def learn(keys: set[str]) -> list[str]:
-            """Put the ids of keys into `kept.new`; new long ones are returned."""
-            new = kept.missing(keys)
-            parts = [_parts(_chunk(k)) for k in new]
-            found = part_ids(set().union(*parts))
-            kept.new.update((k, b"".join(map(found.__getitem__, p))) for k, p in zip(new, parts, strict=True))
-            return [k for k in new if len(k) >= 100]
-
-        stop = np.asarray([end], kind).tobytes()
+        kept = held("token_files", path, lambda: Pieces(_tokenizer(path)))
         for frame in frames:
             for start, last, data, bounds in runs(frame.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                odd = [bool(_ODD_SPACE.search(t)) for t in texts]
-                keys = [[] if o else _keys(t) for o, t in zip(odd, texts, strict=True)]
-                found = [list(map(kept.new.get, k)) for k in keys]
-                open_ = [i for i, f in enumerate(found) if None in f]
-                long = learn({k for i in open_ for k, f in zip(keys[i], found[i], strict=True) if f is None})
-                for i in open_:
-                    # A full generation may just have been put behind a new one.
-                    found[i] = [kept.new[k] if f is None else f for k, f in zip(keys[i], found[i], strict=True)]
-                rows = [b"".join(ids([t]) if o else f) + stop for o, t, f in zip(odd, texts, found, strict=True)]
-                for key_ in long:  # not worth their memory
-                    del kept.new[key_]
+                raw, n = data.tobytes(), last - start
+                edges = bounds.tolist()
+                whole = np.ones(n, bool)
+                if kept.safe:
+                    odd = not raw.isascii() or any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
+                    whole = np.asarray([odd and bool(_ODD_SPACE.search(raw[a:b].decode())) for a, b in zip(edges[:-1], edges[1:], strict=True)], bool)
+                ids, first = kept.rows(data, bounds, whole, end)
+                offsets = pa.array(first * kept.kind.itemsize, pa.int64())
+                rows = pa.Array.from_buffers(pa.large_binary(), n, [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [frame.column(0).slice(start, last - start), pa.array(rows, pa.binary()), pa.array([kind.itemsize] * len(rows), pa.int32())],
+                    [frame.column(0).slice(start, n), rows.cast(pa.binary()), pa.array(np.full(n, kept.kind.itemsize, np.int32))],
                     names=[key, "ids", "width"],
                 )
 
@@ -285,7 +339,7 @@ def write_token_files(
     # Number of limits at or below the key; a null key belongs to the first shard.
     shard = _bucket(key, limits)
     rows = encoded(df.select(df[key].cast("bigint").alias(key), df[text]), path, end, key, text)
-    dealt = rows.withColumn("_shard", shard.cast("bigint")).repartition(len(limits) + 1, "_shard")
+    dealt = rows.withColumn("_shard", shard.cast("int")).repartitionById(len(limits) + 1, F.col("_shard"))
     fs, root = _place(folder)
     fs.create_dir(root, recursive=True)
     ordered = dealt.sortWithinPartitions("_shard", F.col(key).asc_nulls_first(), "ids").select("_shard", key, "ids", "width")
@@ -317,8 +371,8 @@ def _index(fs: pafs.FileSystem, path: str) -> dict[str, np.ndarray]:
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc key, start, n_tokens, ids_crc32 of every document in the files, found through the index.
 
-    `start` counts the ids of all documents before it. A shard is read by one task, document by
-    document.
+    `start` counts the ids of all documents before it. Every shard is read by a task of its own,
+    document by document.
     """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +399,10 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["key", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = manifest.select("shard", "start").repartition("shard")
+    # A task a shard, as far as there are cores: AQE merges no partitions that are counted out.
+    many = max(1, manifest.count())
+    places = manifest.select("shard", "start", (F.row_number().over(Window.orderBy("shard")) - 1).cast("int").alias("place"))
+    rows = places.repartitionById(many, F.col("place")).select("shard", "start")
     return rows.mapInArrow(task, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -153,3 +153,52 @@ def test_token_counts_of_rows(spark):
     rows = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts(frame(spark), PIECE).collect()}
     assert rows[2] == rows[3] == rows[4] == (0, 0) and rows[0] == rows[10]
     assert rows[8][0] == 3000 and rows[8][1] == 3000 * rows[8][1] // 3000
+
+
+def test_pieces_equal_whole_texts_of_random_strings():
+    """Cuts between pieces never change the ids, whatever stands at them."""
+    rng = np.random.default_rng(5)
+    alphabet = ["a", "b", "the", " ", " ", "  ", "\n", "\n\n", "\t", " \n", "\r\n", ",", ".", "...", "!?", "'s", "'ll", "é", "日", "1", "23", "$", "%%"]
+    alphabet += ["&", "*", "_", "-", "<|endoftext|>", "\xa0", "\x1c", "😀", "\x0b", "\x0c", "\x00", "\x7f", " .", "A.", "\u2003"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 25))) for _ in range(5000)]
+    library, data = Tokenizer.from_file(BYTE), np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = np.asarray([bool(files._ODD_SPACE.search(t)) for t in texts])
+    kept = files.Pieces(library)
+    assert kept.safe
+    for _ in range(2):  # new pieces, and kept ones
+        ids, first = kept.rows(data, bounds, whole, 0)
+        for i, text in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(files, "CACHED_PIECES", 10)
+    kept = files.Pieces(Tokenizer.from_file(BYTE))
+    data = np.frombuffer(" ".join(f"w{i}" for i in range(40)).encode(), np.uint8)
+    bounds = np.asarray([0, len(data)])
+    found = [kept.rows(data, bounds, np.zeros(1, bool), 0)[0].tolist() for _ in range(3)]
+    assert found[0] == found[1] == found[2] and len(kept.hashes) == 40
+
+
+def test_tokenizers_of_another_form_encode_whole_texts(spark, tmp_path):
+    """A file whose pattern or added tokens forbid the cuts is told, not encoded wrongly."""
+    library = Tokenizer.from_file(BYTE)
+    library.add_tokens(["b c"])
+    path = str(tmp_path / "own.json")
+    library.save(path)
+    assert not files.splits_safely(Tokenizer.from_file(path)) and not files.splits_safely(Tokenizer.from_file(WORD))
+    df = spark.createDataFrame([(1, "a b c d"), (2, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in files.encoded(df, path, 0, "doc_id", "text").collect()}
+    assert rows == {1: [*library.encode("a b c d", add_special_tokens=False).ids, 0], 2: [0]}
+
+
+def test_shards_are_read_by_tasks_of_their_own(spark):
+    df = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('word ', id), 20) AS text")
+    folder = files.token_folder(spark)
+    manifest = files.write_token_files(df, folder, BYTE, 0, shard_bytes=8000)
+    many = manifest.count()
+    from pyspark.sql import functions as F
+
+    tasks = files.read_token_files(manifest, folder).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert many > 4 and tasks == many
