@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewell.operators.silhouette import exact_silhouette
 from casewell.session import stage
 
 
@@ -59,23 +60,27 @@ def _next_modes(
     ]
 
 
-def fit_modes(combos: DataFrame, cols: Sequence[str], k: int, rounds: int) -> list[tuple[str, ...]]:
-    """Modes after at most `rounds` updates, from the `k` most frequent combinations."""
+def fit_modes(
+    combos: DataFrame, cols: Sequence[str], k: int, rounds: int
+) -> tuple[list[tuple[str, ...]], bool]:
+    """Modes from the `k` most frequent combinations, updated until they stay or `rounds` times,
+    and whether they stayed."""
     first = combos.orderBy(F.desc("n"), *cols).limit(k).select(*cols).collect()
     modes = [tuple(r) for r in first]
     for _ in range(rounds):
         moved = _next_modes(assign_modes(combos, cols, modes), cols, modes)
         if moved == modes:
-            break
+            return modes, True
         modes = moved
-    return modes
+    return modes, _next_modes(assign_modes(combos, cols, modes), cols, modes) == modes
 
 
-def kmodes(df: DataFrame, cols: Sequence[str], k: int, rounds: int = 10) -> DataFrame:
-    """One row per cluster: its mode, its rows, their summed distance, and the simplified
-    silhouette (own mode against the nearest other one)."""
+def kmodes(df: DataFrame, cols: Sequence[str], k: int, rounds: int = 100) -> DataFrame:
+    """One row per cluster: its mode, its rows, their summed distance, the simplified silhouette
+    (own mode against the nearest other one), the exact one (own rows against those of the nearest
+    other cluster), and whether the modes came to rest within `rounds` updates."""
     combos = combinations(df, cols)
-    modes = fit_modes(combos, cols, k, rounds)
+    modes, converged = fit_modes(combos, cols, k, rounds)
     assigned = assign_modes(combos, cols, modes)
     a, b = F.col("distance"), F.col("other_distance")
     silhouette = F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0)), F.lit(0.0))
@@ -88,6 +93,8 @@ def kmodes(df: DataFrame, cols: Sequence[str], k: int, rounds: int = 10) -> Data
         [(i, *mode) for i, mode in enumerate(modes)],
         "cluster int, " + ", ".join(f"`{c}` string" for c in cols),
     )
-    return listed.join(sizes, "cluster", "left").select(
-        "cluster", *cols, F.coalesce("n", F.lit(0)).alias("n"), "cost", "silhouette"
-    )
+    exact = exact_silhouette(assigned.select("cluster", *cols, "n"), cols, len(modes))
+    return listed.join(sizes, "cluster", "left").join(exact, "cluster", "left").select(
+        "cluster", *cols, F.coalesce("n", F.lit(0)).alias("n"), "cost", "silhouette",
+        "exact_silhouette", F.lit(converged).alias("converged"),
+    )

@@ -43,8 +43,9 @@ def student_p_sql(r: str, freedom: str) -> str:
     return f"round(1 - {head} * list_sum({steps}), 6)"
 
 
-def lines_with_factors(t: Tables) -> DataFrame:
+def lines_with_factors(t: Tables, *more: str) -> DataFrame:
     return t.lineitem.select(
+        *more,
         (F.col("l_returnflag") == "R").alias("returned"),
         *[F.expr(condition).alias(name) for name, condition in FACTORS.items()],
     )
@@ -80,6 +81,42 @@ def odds_ratios(t: Tables) -> DataFrame:
     return rounded(rounded(table, 9, "odds_ratio", "ci_low", "ci_high"), 6, "p_value")
 
 
+# Log probabilities of hits per stratum within 12 deviations of the mean, and of their sums.
+STRATA_SQL = f"""
+WITH x AS ({" UNION ALL ".join(f'''
+  SELECT '{name}' AS factor, l_linestatus AS stratum, count(*) FILTER (({c}) AND l_returnflag = 'R') AS a,
+         count(*) FILTER (({c}) AND l_returnflag <> 'R') AS b, count(*) FILTER (NOT ({c}) AND l_returnflag = 'R') AS c,
+         count(*) FILTER (NOT ({c}) AND l_returnflag <> 'R') AS d FROM lineitem GROUP BY l_linestatus'''
+    for name, c in FACTORS.items() if name != "is_open")}),
+ y AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY stratum) AS i, a + b + c + d AS n,
+              CAST(a + b AS DOUBLE) * (a + c) / (a + b + c + d) AS mean FROM x),
+ z AS (SELECT *, 12 * sqrt(mean * (c + d) / n * (b + d) / (n - 1)) + 3 AS width FROM y),
+ k AS (SELECT factor, i, a, unnest(range(CAST(greatest(0, a - d, floor(mean - width)) AS BIGINT),
+                                         CAST(least(a + b, a + c, ceil(mean + width)) AS BIGINT) + 1)) AS k, a + b AS r, c + d AS s, a + c AS t FROM z),
+ h AS (SELECT factor, i, k, exp(lgamma(r + 1) - lgamma(k + 1) - lgamma(r - k + 1) + lgamma(s + 1) - lgamma(t - k + 1) - lgamma(s - t + k + 1)
+              - (lgamma(r + s + 1) - lgamma(t + 1) - lgamma(r + s - t + 1))) AS p FROM k),
+ q AS (SELECT u.factor, u.k + v.k AS k, sum(u.p * v.p) AS p FROM h u JOIN h v ON u.factor = v.factor AND u.i = 1 AND v.i = 2 GROUP BY ALL),
+ o AS (SELECT factor, sum(a) AS seen FROM x GROUP BY factor),
+ e AS (SELECT factor, sum(p) FILTER (p <= own * (1 + 1e-7)) AS p_value
+       FROM (SELECT q.*, max(p) FILTER (k = seen) OVER (PARTITION BY factor) AS own FROM q JOIN o USING (factor)) GROUP BY factor),
+ w AS (SELECT factor, count(*) AS strata, CAST(sum(n) AS BIGINT) AS n, sum(a::DOUBLE * d / n) AS r, sum(b::DOUBLE * c / n) AS s,
+              sum((a + d)::DOUBLE / n * (a::DOUBLE * d / n)) AS pr, sum((b + c)::DOUBLE / n * (b::DOUBLE * c / n)) AS qs,
+              sum((a + d)::DOUBLE / n * (b::DOUBLE * c / n) + (b + c)::DOUBLE / n * (a::DOUBLE * d / n)) AS mixed FROM y GROUP BY factor),
+ v AS (SELECT *, r / s AS ratio, sqrt(pr / (2 * r * r) + mixed / (2 * r * s) + qs / (2 * s * s)) AS error FROM w)
+SELECT factor, strata, n, round(ratio, 9) AS odds_ratio, round(exp(ln(ratio) - {Z} * error), 9) AS ci_low,
+       round(exp(ln(ratio) + {Z} * error), 9) AS ci_high, round(p_value, 6) AS p_value
+FROM v JOIN e USING (factor)"""
+
+
+@query(STRATA_SQL)
+def stratified_odds(t: Tables) -> DataFrame:
+    from casewell.operators.strata import stratified_odds as fit
+
+    rows = lines_with_factors(t, "l_linestatus")
+    table = fit(rows, "returned", ["discounted", "large"], "l_linestatus")
+    return rounded(rounded(table, 9, "odds_ratio", "ci_low", "ci_high"), 6, "p_value")
+
+
 @query("""
 WITH c AS (SELECT event_type AS a, dayofweek(ts) AS b, count(*) AS n FROM events GROUP BY ALL),
      s AS (SELECT n, a, b, CAST(n AS DOUBLE) * n / sum(n) OVER (PARTITION BY a)
@@ -373,17 +410,24 @@ WITH g AS MATERIALIZED (SELECT o_orderstatus AS a, o_orderpriority AS b,
 @query(f"""{PROFILE_SQL}, {kmodes_sql(10, 4)},
      o AS (SELECT w.cluster, w.n, w.d, min(d.d) AS other FROM w11 w
            JOIN d11 d ON d.a = w.a AND d.b = w.b AND d.c = w.c AND d.cluster <> w.cluster
-           GROUP BY w.a, w.b, w.c, w.cluster, w.n, w.d)
+           GROUP BY w.a, w.b, w.c, w.cluster, w.n, w.d),
+     pairs AS (SELECT x.a, x.b, x.c, x.n, x.cluster, y.cluster AS other, CAST(sum(y.n) AS DOUBLE) AS size,
+                      CAST(sum(y.n * (CAST(x.a <> y.a AS INTEGER) + CAST(x.b <> y.b AS INTEGER) + CAST(x.c <> y.c AS INTEGER))) AS DOUBLE) AS d
+               FROM w11 x JOIN w11 y ON true GROUP BY ALL),
+     near AS (SELECT cluster, n, max(d / (size - 1)) FILTER (other = cluster AND size > 1) AS p, min(d / size) FILTER (other <> cluster) AS q
+              FROM pairs GROUP BY a, b, c, n, cluster),
+     exact AS (SELECT cluster, sum(n * CASE WHEN greatest(p, q) > 0 AND p IS NOT NULL AND q IS NOT NULL THEN (q - p) / greatest(p, q)
+                                            ELSE 0 END) / sum(n) AS exact FROM near GROUP BY cluster)
 SELECT m.cluster, any_value(a) AS o_orderstatus, any_value(b) AS o_orderpriority, any_value(c) AS size,
        CAST(sum(n) AS BIGINT) AS n, CAST(sum(d * n) AS BIGINT) AS cost,
        round(sum(CASE WHEN greatest(d, other) = 0 THEN 0 ELSE (other - d)::DOUBLE / greatest(d, other) END * n)
-             / sum(n), 9) AS silhouette
-FROM m10 m JOIN o ON o.cluster = m.cluster GROUP BY m.cluster""")
+             / sum(n), 9) AS silhouette, round(any_value(exact), 9) AS exact_silhouette, true AS converged
+FROM m10 m JOIN o ON o.cluster = m.cluster JOIN exact ON exact.cluster = m.cluster GROUP BY m.cluster""")
 def kmodes(t: Tables) -> DataFrame:
     from casewell.operators.clusters import kmodes as fit
 
     found = fit(order_profiles(t), ["o_orderstatus", "o_orderpriority", "size"], 4)
-    return rounded(found, 9, "silhouette")
+    return rounded(found, 9, "silhouette", "exact_silhouette")
 
 
 def axis_sql(step: int, squarings: int = 26) -> str:

@@ -59,6 +59,40 @@ def test_kmodes_equals_brute_force(spark, k):
     assert [((r.a, r.b, r.c), r.n) for r in out] == brute_kmodes(rows, k, 6)
     if k == 3:
         assert all(r.silhouette > 0.4 for r in out)
+    full = [tuple(v or "" for v in r) for r in rows]
+    place = {r: j for j, own in enumerate(brute_members(rows, k, 6)) for r in own}
+    for r in out:
+        own = [exact(x, full, place, k) for x in full if place[x] == r.cluster]
+        assert (r.exact_silhouette is None) if not own else r.exact_silhouette == pytest.approx(sum(own) / len(own))
+
+
+def brute_members(rows, k, rounds):
+    """Combinations of each cluster by the fitted modes."""
+    modes = [mode for mode, _ in brute_kmodes(rows, k, rounds)]
+    found = [[] for _ in modes]
+    for r in {tuple(v or "" for v in r) for r in rows}:
+        found[min(range(len(modes)), key=lambda j: (sum(u != v for u, v in zip(r, modes[j])), j))].append(r)
+    return found
+
+
+def exact(row, rows, place, k):
+    """Silhouette of a row from its distances to all rows."""
+    apart = [[] for _ in range(k)]
+    for other in rows:
+        apart[place[other]].append(sum(u != v for u, v in zip(row, other)))
+    own = apart.pop(place[row])
+    means = [sum(d) / len(d) for d in apart if d]
+    if len(own) < 2 or not means:
+        return 0
+    a, b = sum(own) / (len(own) - 1), min(means)
+    return (b - a) / max(a, b) if max(a, b) else 0
+
+
+def test_kmodes_tells_when_it_has_not_converged(spark):
+    df = spark.createDataFrame(sample(5, 300), "a string, b string, c string")
+    assert all(r.converged for r in C.kmodes(df, COLS, 3).collect())
+    found = [C.fit_modes(C.combinations(df, COLS), COLS, 5, n) for n in (0, 100)]
+    assert found[1][1] and (found[0][0] == found[1][0] or not found[0][1])
 
 
 def decomposed(rows, cols):
