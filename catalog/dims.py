@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from casewell.operators import keys as K
 from casewell.operators.ingest import ingest_rows as ingest
 from casewell.plans import findings
 from casewell.plans.flat import analysis_frame, flat_view as build_view
-from casewell.sources.sinks import export_ordered
-from catalog.registry import WS, Tables, query, strip_sql
+from casewell.plans.transform import LOCATIONS, load_incidents, run_transform
+from casewell.session import staging_root
+from casewell.sources.sinks import export_ordered, read_current
+from catalog.registry import WS, Tables, deidentify_sql, query, strip_sql
 
 
 def _clean_sql(cell: str) -> str:
@@ -382,6 +386,107 @@ def transfer_by_diagnosis(t: Tables) -> DataFrame:
     return findings.transfer_by_diagnosis(analysis_frame(view, attributes, findings.FLAGS))
 
 
+# Page rows made of orders: a header where the priority is not specified, else one incident.
+PAGE_ROWS_SQL = f"""
+SELECT CAST(o_custkey % 97 AS INTEGER) AS page, o_orderkey AS row_no,
+       strftime(o_orderdate, '%-d/%-m/%Y') || ' 7:05' AS fecha, 'CALLE ' || (o_custkey % 40) AS direccion,
+       CASE o_orderstatus WHEN 'P' THEN 'S/N' ELSE CAST(o_custkey % 30 AS VARCHAR) END AS altura,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'MUJER EN COMISARIA ' || (o_custkey % 60) || 'A LP 77 TEL 11' || (10000000 + o_custkey)
+         WHEN '2-HIGH' THEN 'HOMBRE DE ' || (o_custkey % 90) || ' AÑOS, COMISARÍA' || (o_custkey % 9)
+         WHEN '3-MEDIUM' THEN 'OFICIO JUDICIAL COMISARIA VECINAL 3B' ELSE 'SIN DATOS' END AS motivo,
+       (o_custkey % 12) || ' - GRUPO ' || (o_custkey % 12) AS diagnostico,
+       CASE o_orderstatus WHEN 'F' THEN 'Si' WHEN 'O' THEN 'No' END AS traslado,
+       CASE WHEN o_totalprice > 300000 THEN 'HOSPITAL ' || (o_custkey % 7) END AS destino,
+       replace(o_orderpriority, '-', ' - ') AS prioridad
+FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'"""
+LINKED_SQL = f"""
+WITH raw AS ({PAGE_ROWS_SQL}),
+     inc AS (SELECT row_number() OVER (ORDER BY page, row_no) AS id, page AS pagina,
+                    row_number() OVER (PARTITION BY page ORDER BY row_no) AS fila, *,
+                    strptime(fecha, '%-d/%-m/%Y %-H:%M') AS fecha_hora, {deidentify_sql("motivo")} AS texto,
+                    TRY_CAST(altura AS INTEGER) AS numero FROM raw),
+     hosp AS (SELECT row_number() OVER (ORDER BY destino) AS hospital_id, destino
+              FROM (SELECT DISTINCT destino FROM inc WHERE destino IS NOT NULL)),
+     place AS (SELECT row_number() OVER (ORDER BY direccion, numero) AS ubicacion_id, direccion, numero
+               FROM (SELECT DISTINCT direccion, numero FROM inc WHERE numero IS NOT NULL)),
+     linked AS (SELECT id, pagina, fila, fecha_hora, texto AS motivo, traslado = 'Si' AS traslado, diagnostico, destino, prioridad,
+                       split_part(diagnostico, ' - ', 1) AS diagnostico_codigo, split_part(prioridad, ' - ', 1) AS prioridad_codigo,
+                       nullif(regexp_extract(texto, '(?i)COMISAR[IÍ]A[ ]*([0-9]{{1,2}}[A-Z]?)', 1), '') AS codigo_comisaria,
+                       hospital_id, ubicacion_id
+                FROM inc LEFT JOIN hosp USING (destino) LEFT JOIN place USING (direccion, numero))"""
+
+
+def page_rows(t: Tables) -> DataFrame:
+    """Rows of cells as a page decoder gives them."""
+    customer, priority, status = F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    text = lambda c: c.cast("string")
+    motivo = (
+        F.when(
+            priority == "1-URGENT",
+            F.concat(F.lit("MUJER EN COMISARIA "), text(customer % 60), F.lit("A  LP 77 TEL 11"), text(customer + 10000000)),
+        )
+        .when(
+            priority == "2-HIGH",
+            F.concat(F.lit("HOMBRE DE "), text(customer % 90), F.lit(" AÑOS, COMISARÍA"), text(customer % 9)),
+        )
+        .when(priority == "3-MEDIUM", "OFICIO JUDICIAL\nCOMISARIA VECINAL 3B")
+        .otherwise("SIN DATOS")
+    )
+    group = text(customer % 12)
+    cells = F.array(
+        F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" 7:05")),
+        F.concat(F.lit(" CALLE "), text(customer % 40)),
+        F.when(status == "P", "S/N").otherwise(text(customer % 30)),
+        F.lit(None).cast("string"),
+        motivo,
+        F.concat(group, F.lit(" - GRUPO "), group),
+        F.when(status == "F", "Si").when(status == "O", "No"),
+        F.when(F.col("o_totalprice") > 300000, F.concat(F.lit("HOSPITAL "), text(customer % 7))),
+        F.replace(priority, F.lit("-"), F.lit(" - ")),
+        F.lit("M1"),
+    )
+    header = F.array(F.lit("Fecha y Hora"), F.lit("Dirección"))
+    return t.spread("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice").select(
+        (customer % 97).cast("int").alias("page"),
+        F.lit(1).alias("table_no"),
+        F.col("o_orderkey").alias("row_no"),
+        F.when(priority == "4-NOT SPECIFIED", header).otherwise(cells).alias("cells"),
+    )
+
+
+def transformed(t: Tables) -> tuple[DataFrame, str]:
+    """Linked incidents, and the folder with the dimensions they point to."""
+    root = f"{staging_root(t.spark)}/transform-{uuid.uuid4().hex}"
+    return run_transform(load_incidents(page_rows(t)), root), root
+
+
+@query(f"""{LINKED_SQL}
+SELECT id, pagina, fila, fecha_hora, motivo, traslado, diagnostico_codigo, prioridad_codigo, codigo_comisaria,
+       hospital_id, ubicacion_id FROM linked""")
+def transform_links(t: Tables) -> DataFrame:
+    linked, _ = transformed(t)
+    return linked.select(
+        "id", "pagina", F.col("fila").cast("bigint").alias("fila"), "fecha_hora", "motivo", "traslado",
+        "diagnostico_codigo", "prioridad_codigo", "codigo_comisaria", "hospital_id", "ubicacion_id",
+    )
+
+
+@query(f"""{LINKED_SQL}, a AS ({ATTRIBUTES_SQL})
+SELECT codigo_comisaria, regexp_matches(coalesce(prioridad, ''), '^[14] ') AS rojo, count(*) AS n,
+       avg(CASE WHEN traslado OR destino IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS trasladado_rate,
+       avg(CASE WHEN json_extract_string(atributos, '$.autolesion') = 'true' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100 AS au_rate
+FROM linked JOIN a ON intervencion_id = id GROUP BY ALL""")
+def transform_rates(t: Tables) -> DataFrame:
+    """Cells to dimensions, links, view, analysis frame and rates."""
+    from casewell.operators.rates import rates
+
+    linked, root = transformed(t)
+    _, _, attributes = incident_tables(t)
+    places = read_current(t.spark, f"{root}/ubicaciones", LOCATIONS)
+    rows = analysis_frame(build_view(linked, places, attributes), attributes, {"au": "autolesion"})
+    return rates(rows, ["codigo_comisaria", "rojo"], ["trasladado", "au"])
+
+
 MAPPING_SQL = """
 SELECT text AS old, min('REVIEWED ' || quality || left(lang, 1)) AS new
 FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY text"""
