@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewell.functions.values import null_to_false
+from casewell.session import stage
 
 
 def _as_number(flag: str | Column) -> Column:
@@ -179,8 +180,9 @@ def conditional_rates(df: DataFrame, by: str, flag: str, given: str) -> DataFram
         (F.avg(_as_number(flag)) * 100).alias("rate"),
         (F.avg(F.when(null_to_false(F.col(given)), _as_number(flag))) * 100).alias("rate_given"),
     )
-    # The window sees one row per group.
-    total = F.sum("n").over(Window.partitionBy())
+    # Staged, since the total is read from it: one number, and no group meets another in a task.
+    grouped = stage(grouped, "groups")
+    total = grouped.agg(F.sum("n")).scalar()
     return grouped.withColumn("share", F.col("n").cast("double") * 100 / total)
 
 

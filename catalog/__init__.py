@@ -3,7 +3,7 @@ SQL can express it."""
 
 from __future__ import annotations
 
-from catalog import dims, enrich, places, reports, statistics, texts, typed
+from catalog import dims, enrich, growth, places, reports, statistics, texts, typed
 from catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dims", "enrich", "places", "reports", "statistics", "texts", "typed"]
+__all__ = ["ORACLES", "QUERIES", "dims", "enrich", "growth", "places", "reports", "statistics", "texts", "typed"]
