@@ -114,10 +114,20 @@ def fit_trees(
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, key: str, label: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and labels of no more than `bound` labelled rows, chosen by a hash of the key."""
+    """Counts and labels of no more than `bound` labelled rows, those with the least hashes of the
+    key. Only rows below a hash that leaves about so many are sorted and sent to the driver."""
     known = slim(labels, key, label).filter(F.col(key).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))
-    rows = stats.join(known, key).orderBy(F.xxhash64(key), key, *ALL).limit(bound).toPandas()
+    found = stage(stats.join(known, key).select(key, *ALL, "_label", F.xxhash64(key).alias("_place")), "labelled")
+    many, share = found.count(), 0.0
+    near = found
+    while many > bound and share < 1:
+        # Repeated keys lie together, so a first guess can leave too few.
+        share = max(2 * share, (bound + 6 * bound**0.5) / many)
+        near = found.filter(F.col("_place") <= F.lit(int(min(share, 1.0) * (2**64 - 1)) - 2**63))
+        if share >= 1 or near.count() >= bound:
+            break
+    rows = near.orderBy("_place", key, *ALL).limit(bound).toPandas()
     return rows[ALL].to_numpy(np.int64).reshape(-1, len(ALL)), rows["_label"].to_numpy(np.float64)
 
 

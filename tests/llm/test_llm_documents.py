@@ -553,3 +553,33 @@ def test_every_operator_has_a_query():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert len(ALL) == 11 and ratios(np.ones((2, 11), np.int64)).shape == (2, len(FEATURES))
+
+
+def test_stages_with_any_column_names(spark):
+    """Names that stages use themselves, a MAP column, and rows that share an id and a text."""
+    names = ["_language", "runs", "_runs", "_key", "_hash", "_matches", "_n", "_row", "n", "key", "carried_1", "kept"]
+    text = " ".join(f"the quick brown fox jumps over lazy dogs near river number {i}" for i in range(12))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + " and another line\n" + text, "en"), (None, "a short English line of words", "en"), (3, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for i, name in enumerate(names):
+        df = df.withColumn(name, F.lit(i))
+    df = df.withColumn("tags", F.create_map(F.lit("a"), F.lit(1))).withColumn("source", F.lit("s"))
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        found = run(spark, df, FOLDER)
+        assert found.columns == df.columns, name
+        for row in found.collect():
+            assert [row[n] for n in names] == list(range(len(names))) and row["tags"] == {"a": 1}, name
+    left = corpus_pipeline.near_copies(spark, df, FOLDER).filter("doc_id = 1").count()
+    assert left == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, df, FOLDER).count() == len(rows)
+
+
+def test_labelled_sample_is_the_least_by_hash(spark):
+    from casewell.llm.quality_rules import ALL, labelled_sample
+
+    stats = spark.range(3000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("doc_id"), *[F.col("id").alias(c) for c in ALL])
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    for bound in (1, 50, 800, 5000):
+        table, y = labelled_sample(stats, labels, "doc_id", "quality", bound)
+        want = stats.orderBy(F.xxhash64("doc_id"), "doc_id", *ALL).limit(bound).collect()
+        assert table[:, 0].tolist() == [r[ALL[0]] for r in want] and y.tolist() == [r["doc_id"] % 2 for r in want]
