@@ -124,7 +124,7 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, key: str, label: str, b
     while many > bound and share < 1:
         # Repeated keys lie together, so a first guess can leave too few.
         share = max(2 * share, (bound + 6 * bound**0.5) / many)
-        near = found.filter(F.col("_place") <= F.lit(int(min(share, 1.0) * (2**64 - 1)) - 2**63))
+        near = found if share >= 1 else found.filter(F.col("_place") <= F.lit(int(share * 2**64) - 2**63))
         if share >= 1 or near.count() >= bound:
             break
     rows = near.orderBy("_place", key, *ALL).limit(bound).toPandas()

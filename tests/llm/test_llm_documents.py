@@ -579,7 +579,7 @@ def test_labelled_sample_is_the_least_by_hash(spark):
 
     stats = spark.range(3000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("doc_id"), *[F.col("id").alias(c) for c in ALL])
     labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
-    for bound in (1, 50, 800, 5000):
+    for bound in (1, 50, 800, 2000, 2950, 3000, 5000):  # also nearly all rows, where no hash bounds them
         table, y = labelled_sample(stats, labels, "doc_id", "quality", bound)
         want = stats.orderBy(F.xxhash64("doc_id"), "doc_id", *ALL).limit(bound).collect()
         assert table[:, 0].tolist() == [r[ALL[0]] for r in want] and y.tolist() == [r["doc_id"] % 2 for r in want]
