@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewell.functions import text as tx
 from casewell.operators import joins as J
+from casewell.plans.increment import Counts, Increment
 from casewell.plans.transform import load_incidents, run_transform
 from casewell.session import staging_root
 from casewell.sources import sinks
@@ -103,6 +104,33 @@ def rerun_links(t: Tables) -> DataFrame:
     return run_transform(incidents, root).select("id", "codigo_comisaria", "hospital_id", "ubicacion_id")
 
 
+@query(f"""{LINKED_SQL}
+SELECT codigo_comisaria, regexp_matches(coalesce(prioridad, ''), '^[14] ') AS rojo, count(*) AS n,
+       CAST(count(*) FILTER (traslado OR destino IS NOT NULL) AS DOUBLE) * 100 / count(*) AS moved_rate,
+       CAST(count(*) FILTER (traslado AND fecha_hora >= TIMESTAMP '1995-01-01') AS DOUBLE) * 100 / count(*) AS harm_rate
+FROM linked GROUP BY ALL""")
+def rerun_changes(t: Tables) -> DataFrame:
+    """Rates after a second run that sees new, changed and lost incidents and attributes only."""
+    counts = Counts(
+        {"codigo_comisaria": "codigo_comisaria", "rojo": "coalesce(codigo_prioridad rlike '^[14] ', false)"},
+        {"moved": "trasladado", "harm": "autolesion"},
+    )
+    step = Increment(folder(t, "increment"), counts)
+    pages = page_rows(t)
+    hospital = F.try_element_at("cells", F.lit(8))
+    other = F.when(F.size("cells") > 8, F.transform("cells", lambda c, i: F.when(i == 7, "HOSPITAL 9").otherwise(c)))
+    # Formerly some pages were not there yet, some had rows that are now lost, others another hospital.
+    early = pages.filter("page < 60 OR page > 80")
+    renamed = early.withColumn("cells", F.when((F.col("page") < 20) & hospital.isNotNull(), other).otherwise(F.col("cells")))
+    lost = early.filter("page > 80").withColumn("table_no", F.lit(2))
+    for rows, flag in ((renamed.unionByName(lost), F.col("pagina") < 40), (pages, F.col("fecha_hora") >= "1995-01-01")):
+        incidents = step.number(rows)
+        harmed = F.coalesce(F.col("traslado") & flag, F.lit(False))
+        notes = F.to_json(F.struct(harmed.alias("autolesion"))).alias("atributos")
+        step.run(incidents, incidents.select(F.col("id").alias("intervencion_id"), notes))
+    return step.counts.rates(step.current_counts(t.spark))
+
+
 @query("""
 SELECT l_returnflag, count(*) AS n FROM lineitem
 WHERE l_discount > 0.05 AND NOT coalesce(CASE WHEN l_quantity > 10 THEN l_quantity > 30 END, false) GROUP BY l_returnflag""")
