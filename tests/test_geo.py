@@ -77,6 +77,45 @@ def test_random_polygons_equal_brute_force(spark):
     assert found == expected and sum(v is not None for v in found.values()) > 300
 
 
+def test_cut_cells_equal_brute_force(spark):
+    """Few edges a cell, so that cells are cut many times; some points on borders of cells."""
+    random.seed(6)
+    wheel = lambda n, cx, cy, low, high: [
+        [cx + r * math.cos(a), cy + r * math.sin(a)]
+        for a, r in ((2 * math.pi * i / n, random.uniform(low, high)) for i in range(n))
+    ]
+    shapes = [(1, [[wheel(400, 0, 0, 2, 3), wheel(90, 0.1, 0, 0.5, 1)]]), (2, [[wheel(60, 2.5, 0.5, 0.1, 1.5)]]),
+              (3, [[[[-6.0, -6.0], [6.0, -6.0], [6.0, 6.0], [-6.0, 6.0]]]]), (0, [[wheel(50, 0.3, 0.4, 0.01, 0.02)]])]
+    points = [(i, random.uniform(-4, 4), random.uniform(-4, 4)) for i in range(1200)]
+    points += [(2000 + i, random.uniform(0.38, 0.42), random.uniform(0.28, 0.32)) for i in range(300)]
+    points += [(3000 + i, random.randint(-32, 32) / 8, random.randint(-32, 32) / 8) for i in range(500)]
+    df = spark.createDataFrame([*points, (9000, None, 1.0), (9001, 50.0, 50.0)], "id int, lat double, lon double")
+    zone_df = spark.createDataFrame(shapes[::-1], f"zone int, rings {RINGS}")
+    expected = {i: [z for z, parts in shapes if inside(lon, lat, parts[0])] for i, lat, lon in points}
+    wanted = {**{i: min(found, default=None) for i, found in expected.items()}, 9000: None, 9001: None}
+    for cell, most in ((1.0, 8), (8.0, 20), (0.25, 256)):
+        rows = geo.zone_join(df, zone_df, "id", cell, most=most).collect()
+        assert len(rows) == len(wanted) and {r["id"]: r["zone"] for r in rows} == wanted, (cell, most)
+    assert len(set(wanted.values())) == 5
+
+
+def test_no_cell_holds_a_large_zone(spark):
+    n = 40_000
+    ring = [[math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)] for i in range(n)]
+    large = spark.createDataFrame([(1, [[ring]])], f"zone int, rings {RINGS}")
+    cells = geo.zone_cells(large, "zone", "rings", 4.0, most=500)
+    sizes = [r[0] for r in cells.selectExpr("size(edges)").filter("edges IS NOT NULL").collect()]
+    assert max(sizes) <= 500 and sum(sizes) >= n
+
+
+def test_edges_that_meet_in_a_spot_stay_together(spark):
+    fan = [p for i in range(30) for p in ([0.3, 0.3], [1.0, i / 30], [1.0, (i + 0.5) / 30])]
+    df = spark.createDataFrame([(1, 0.31, 0.9), (2, 0.9, 0.99)], "id int, lat double, lon double")
+    zone_df = spark.createDataFrame([(1, [[fan]])], f"zone int, rings {RINGS}")
+    found = {r["id"]: r["zone"] for r in geo.zone_join(df, zone_df, "id", 1.0, most=200).collect()}
+    assert found == {i: 1 if inside(x, y, [fan]) else None for i, y, x in ((1, 0.31, 0.9), (2, 0.9, 0.99))}
+
+
 def test_cells_inside_carry_no_edges(spark):
     cells = geo.zone_cells(zones(spark), "zone", "rings", 0.5)
     assert cells.filter("inside AND edges IS NOT NULL").count() == 0
