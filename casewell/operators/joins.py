@@ -28,10 +28,22 @@ def require(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFr
 
 
 def located(
-    facts: DataFrame, locations: DataFrame, attrs: DataFrame, location_key: str, fact_key: str
+    facts: DataFrame,
+    locations: DataFrame,
+    attrs: DataFrame,
+    location_key: str,
+    fact_key: str,
+    place: Sequence[str],
+    kind: str,
 ) -> DataFrame:
-    """Facts that have both a location and attributes."""
-    return facts.join(locations, location_key).join(attrs, fact_key)
+    """Number `n` of facts that have both a location and attributes, per place and kind.
+
+    Facts are counted per pair of keys and then per location and kind. So a frequent key
+    meets its attributes or its location as one row per partner, not per fact.
+    """
+    pairs = facts.groupBy(location_key, fact_key).agg(F.count(F.lit(1)).alias("n"))
+    kinds = pairs.join(attrs, fact_key).groupBy(location_key, kind).agg(F.sum("n").alias("n"))
+    return kinds.join(locations, location_key).groupBy(*place, kind).agg(F.sum("n").alias("n"))
 
 
 def keep_all(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:

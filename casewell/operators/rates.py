@@ -111,13 +111,18 @@ def rate_or_zero(found: DataFrame, by: str, labels: Sequence[str], classes: Sequ
     )
 
 
-def group_mode(df: DataFrame, by: Sequence[str], col: str, name: str = "mode") -> DataFrame:
+def group_mode(
+    df: DataFrame, by: Sequence[str], col: str, name: str = "mode", weight: str | None = None
+) -> DataFrame:
     """Most frequent non-NULL value per group, the lowest one on ties.
 
     Values are counted first, so a group with very many values needs no single buffer.
-    `n` counts all rows of the group, NULLs included.
+    `n` counts all rows of the group, NULLs included; a row stands for `weight` rows, if named.
     """
-    per_value = counts(df, *by, col, name="_n")
+    if weight:
+        per_value = df.groupBy(*by, col).agg(F.sum(weight).alias("_n"))
+    else:
+        per_value = counts(df, *by, col, name="_n")
     best = F.min_by(
         F.col(col),
         F.when(F.col(col).isNotNull(), F.struct((-F.col("_n")).alias("a"), F.col(col).alias("b"))),
@@ -125,9 +130,9 @@ def group_mode(df: DataFrame, by: Sequence[str], col: str, name: str = "mode") -
     return per_value.groupBy(*by).agg(F.sum("_n").alias("n"), best.alias(name))
 
 
-def points(df: DataFrame, lat: str, lon: str, kind: str) -> DataFrame:
+def points(df: DataFrame, lat: str, lon: str, kind: str, weight: str | None = None) -> DataFrame:
     """Rows and most frequent kind per coordinate pair; places sharing one point merge."""
-    return group_mode(df.dropna("any", subset=[lat, lon]), [lat, lon], kind, kind)
+    return group_mode(df.dropna("any", subset=[lat, lon]), [lat, lon], kind, kind, weight)
 
 
 def totals(df: DataFrame, by: str, n: str) -> DataFrame:

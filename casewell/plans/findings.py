@@ -73,7 +73,8 @@ def place_points(incidents: DataFrame, locations: DataFrame, attributes: DataFra
         F.col("intervencion_id").alias("id"),
         json_field(F.col("atributos"), "$.tipo_dependencia").alias("kind"),
     )
-    return Q.points(located(facts, places, kinds, "ubicacion_id", "id"), "lat", "lon", "kind")
+    counted = located(facts, places, kinds, "ubicacion_id", "id", ["lat", "lon"], "kind")
+    return Q.points(counted, "lat", "lon", "kind", weight="n")
 
 
 def volume_and_indicator(

@@ -90,7 +90,8 @@ def supplier_points(t: Tables) -> DataFrame:
         F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") / 2000).cast("double")).alias("lon"),
     )
     kinds = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("kind"))
-    return points(located(lines, places, kinds, "l_suppkey", "l_partkey"), "lat", "lon", "kind")
+    counted = located(lines, places, kinds, "l_suppkey", "l_partkey", ["lat", "lon"], "kind")
+    return points(counted, "lat", "lon", "kind", weight="n")
 
 
 @query(f"{POINTS_SQL} SELECT * FROM m")

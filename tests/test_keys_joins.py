@@ -251,3 +251,17 @@ def test_staging_folder_is_the_cluster_setting(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging_root(FakeSession(None, "yarn"))
     assert staging_root(spark) == staging_root(spark)
+
+
+def test_located_counts_equal_joined_rows(spark):
+    """Null and unknown keys, repeated facts, and keys that stand twice in a dimension."""
+    facts = spark.createDataFrame(
+        [(1, 10)] * 5 + [(1, 11), (2, 10), (None, 10), (2, None), (3, 12), (9, 10)], "place int, fact int"
+    )
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 1.0, None), (3, 2.0, 2.0)], "place int, lat double, lon double")
+    kinds = spark.createDataFrame([(10, "a"), (11, None), (12, "b"), (12, "c")], "fact int, kind string")
+    found = J.located(facts, places, kinds, "place", "fact", ["lat", "lon"], "kind")
+    plain = facts.join(places, "place").join(kinds, "fact").groupBy("lat", "lon", "kind").count()
+    assert sorted(map(str, map(tuple, found.select("lat", "lon", "kind", "n").collect()))) == sorted(
+        map(str, map(tuple, plain.collect()))
+    )
