@@ -33,6 +33,8 @@ from casewell.session import stage
 # Lines of a document that a position can count; documents are numbered above these bits.
 LINE_BITS = 28
 LONGEST = 1 << LINE_BITS
+# Parts to which the rows of one name are dealt.
+SALTS = 32
 
 
 def _words_of(line: Column) -> Column:
@@ -91,10 +93,19 @@ def run_spans(lengths: Column, size: Column) -> Column:
     )[0]
 
 
-def _first(rows: DataFrame, *name: str) -> DataFrame:
-    """Least position of each name that stands at more than one."""
-    ends = rows.groupBy(*name).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    return ends.filter("first < last").drop("last")
+def _with_first(rows: DataFrame, *name: str) -> DataFrame:
+    """Rows whose name stands at more than one position, with `first`, its least one.
+
+    A name may stand at a third of all positions, so its rows are dealt to `SALTS` parts by
+    their position. Every part learns its name's least position from at most `SALTS` rows.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)))
+    parts = dealt.groupBy(*name, "_salt").agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
+    of_name = Window.partitionBy(*name)
+    ends = parts.select(
+        *name, "_salt", F.min("_low").over(of_name).alias("first"), F.max("_high").over(of_name).alias("_last")
+    )
+    return dealt.join(ends.filter("first < _last").drop("_last"), [*name, "_salt"]).drop("_salt")
 
 
 def doubled(names: DataFrame, h: int) -> DataFrame:
@@ -102,7 +113,7 @@ def doubled(names: DataFrame, h: int) -> DataFrame:
     ahead = names.select((F.col("at") - h).alias("at"), F.col("name").alias("next"))
     pairs = names.join(ahead, "at")
     rest = [c for c in names.columns if c not in ("at", "name")]
-    return pairs.join(_first(pairs, "name", "next"), ["name", "next"]).select("at", F.col("first").alias("name"), *rest)
+    return _with_first(pairs, "name", "next").select("at", F.col("first").alias("name"), *rest)
 
 
 def later_copies(names: DataFrame, h: int) -> DataFrame:
@@ -115,8 +126,7 @@ def later_copies(names: DataFrame, h: int) -> DataFrame:
         own = names.filter(F.col("length").between(h, 2 * h - 1))
     tails = names.select(F.col("at").alias("_tail"), F.col("name").alias("tail"))
     runs = own.withColumn("_tail", F.col("at") + F.col("length") - h).join(tails, "_tail").drop("_tail")
-    first = runs.groupBy("name", "tail", "length").agg(F.min("at").alias("first"))
-    return runs.join(first, ["name", "tail", "length"]).filter("at > first").select("at", "length")
+    return _with_first(runs, "name", "tail", "length").filter("at > first").select("at", "length")
 
 
 def repeated_runs(
@@ -141,7 +151,7 @@ def repeated_runs(
         ),
         "line-rows",
     )
-    names = stage(lines.join(_first(lines, "a", "b"), ["a", "b"]).drop("a", "b").withColumnRenamed("first", "name"), "names")
+    names = stage(_with_first(lines, "a", "b").drop("a", "b").withColumnRenamed("first", "name"), "names")
     h, found = 1, None
     while True:
         copies = stage(later_copies(names, h), "copies")
