@@ -29,15 +29,13 @@ def ingest_rows(
     """
     cells = F.col("cells")
     kept = df.filter((F.size(cells) > 0) & ~tx.is_noise_row(cells, header, title))
-    records = kept.select(
-        page,
-        *order,
-        *[
-            tx.clean_text(F.try_element_at(cells, F.lit(i))).alias(c)
-            for i, c in enumerate(columns, start=1)
-        ],
-    )
-    return number_rows(records, [page], list(order), row).select(*columns, page, row)
+    # Numbered first: a sort by ranges computes its rows twice.
+    raw = kept.select(page, *order, F.slice(cells, 1, len(columns)).alias("cells"))
+    cleaned = [
+        tx.clean_text(F.try_element_at(cells, F.lit(i))).alias(c)
+        for i, c in enumerate(columns, start=1)
+    ]
+    return number_rows(raw, [page], list(order), row).select(*cleaned, page, row)
 
 
 def typed_incidents(records: DataFrame) -> DataFrame:

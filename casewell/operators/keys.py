@@ -20,9 +20,9 @@ def number_rows(
 ) -> DataFrame:
     """1, 2, … inside each `part` by the order columns, which tell its rows apart.
 
-    All rows are put in total order over all tasks. A row is numbered among the rows of its
-    part that lie in the same partition; only the part at the start of a partition can have
-    rows in earlier ones, and their number is added. So no task sorts a part alone.
+    All rows are put in total order over all tasks, where the rows of a part that lie in the
+    same partition, a piece, follow each other. A row's number is its place after the piece's
+    first row, and the rows in earlier pieces are added. So no task sorts a part alone.
     """
     placed = _ordered(df, [*part, *order], "rows")
     pieces = placed.groupBy("_part", *part).agg(
@@ -30,19 +30,16 @@ def number_rows(
     )
     # A part has no more pieces than there are partitions.
     earlier = Window.partitionBy(*part).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    run_over = pieces.withColumn("_earlier", F.sum("_rows").over(earlier)).filter(
-        "_first = 0 AND _earlier > 0"
-    )
-    inside = F.row_number().over(Window.partitionBy("_part", *part).orderBy("_pos"))
-    # One row per partition at most, which bounds the broadcast.
-    own = run_over.select(
-        F.col("_part").alias("_at"), "_earlier", *[F.col(c).alias(f"_over_{c}") for c in part]
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")
+    shifts = pieces.select(
+        F.col("_part").alias("_at"), before.alias("_shift"), *[F.col(c).alias(f"_of_{c}") for c in part]
     )
     same = F.col("_part") == F.col("_at")
     for c in part:
-        same = same & F.col(c).eqNullSafe(F.col(f"_over_{c}"))
-    numbered = placed.withColumn("_inside", inside).join(F.broadcast(own), same, "left")
-    number = (F.col("_inside") + F.coalesce("_earlier", F.lit(0))).cast("bigint").alias(name)
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    # Staged, so that its size is known: where the parts are few, the rows stay in place.
+    numbered = placed.join(stage(shifts, "shifts"), same)
+    number = (F.col("_pos") + F.col("_shift") + 1).cast("bigint").alias(name)
     return numbered.select(*df.columns, number)
 
 

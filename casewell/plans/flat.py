@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,15 @@ RECORD_FIELDS = [
 ]
 
 
-def flat_view(incidents: DataFrame, locations: DataFrame, attributes: DataFrame) -> DataFrame:
+def flat_view(
+    incidents: DataFrame, locations: DataFrame, attributes: DataFrame, keep: Sequence[str] = ()
+) -> DataFrame:
     """Incidents with their location and attributes, where they have them, and with the
     columns derived from text.
 
     `locations` has `id, lat, lon, comuna`; `attributes` has `intervencion_id, atributos`
-    (JSON text). Joins come last and carry no column the view does not show.
+    (JSON text). Joins come last and carry no column the view does not show. `ubicacion_id` comes
+    along at the end if `keep` names it.
     """
     motivo, priority = F.col("motivo"), F.col("codigo_prioridad")
     derived = incidents.select(
@@ -56,6 +61,7 @@ def flat_view(incidents: DataFrame, locations: DataFrame, attributes: DataFrame)
         sex.alias("sexo"),
         *[F.col(f"a.{c}") for c in R.VIEW_CATEGORIES],
         *[F.col(f"a.{b}").try_cast("boolean").alias(b) for b in R.VIEW_FLAGS],
+        *keep,
     )
 
 

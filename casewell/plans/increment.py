@@ -111,12 +111,12 @@ class Increment:
 
     def _digest_log(self, name: str, key: str) -> KeyedLog:
         fields = [T.StructField(key, T.LongType()), T.StructField("digest", T.StringType())]
-        return KeyedLog(
-            f"{self.root}/digests-{name}", T.StructType([*fields, T.StructField("gone", T.BooleanType())]), (key,)
-        )
+        schema = T.StructType([*fields, T.StructField("gone", T.BooleanType())])
+        return KeyedLog(f"{self.root}/digests-{name}", schema, (key,), filter_from=None)
 
+    # Logs that are never asked for missing keys have no filter.
     def _view_log(self, schema: T.StructType) -> KeyedLog:
-        return KeyedLog(f"{self.root}/view", schema, ("id",))
+        return KeyedLog(f"{self.root}/view", schema, ("id",), filter_from=None)
 
     def _stored_view(self, spark: SparkSession) -> DataFrame | None:
         log = KeyedLog.open(spark, f"{self.root}/view")
@@ -184,13 +184,21 @@ class Increment:
         typed = stage(typed_incidents(ingest_rows(raw_rows, page="page", row="fila")), "incidents")
         placed = typed.withColumn("pagina", F.col("page").cast("bigint")).withColumn("fila", F.col("fila").cast("bigint")).drop("page")
         schema = T.StructType([T.StructField(c, T.LongType()) for c in ("pagina", "fila", "id")])
-        ids = KeyedLog(f"{self.root}/ids", schema, ("pagina", "fila"), keep="first")
-        _grow(ids, placed.select("pagina", "fila"), spark)
-        return placed.join(ids.read(spark), ["pagina", "fila"])
+        ids = KeyedLog(f"{self.root}/ids", schema, ("pagina", "fila"), keep="first", filter_from=None)
+        # A place comes once. Most are known, so they are asked exactly.
+        known = ids.read(spark)
+        fresh = stage(ids.absent(placed.select("pagina", "fila"), known), "fresh")
+        if not fresh.isEmpty():
+            new = stage(K.dense_ids(fresh, ["pagina", "fila"], "id", K.next_id(known)), "new")
+            ids.append(new, unique=True)
+            known = known.unionByName(new)
+        # Staged, as a run reads them many times.
+        return stage(placed.join(known, ["pagina", "fila"]), "numbered")
 
     def grow_dimensions(self, incidents: DataFrame) -> None:
         """Add the values of incidents that the dimensions lack."""
         spark = incidents.sparkSession
+        incidents = stage(incidents.select("diagnostico", "codigo_prioridad", "destino_traslado", "direccion", "altura"), "valued")
         for name, label in (("dim_diagnostico", "diagnostico"), ("dim_prioridad", "codigo_prioridad")):
             _grow(self.dimension(name), K.coded_dim(incidents, label), spark)
         _grow(self.dimension("dim_hospital"), incidents.select(F.col("destino_traslado").alias("name")).dropna(), spark)
@@ -215,8 +223,7 @@ class Increment:
         def told(name: str, rows: DataFrame, key: str) -> DataFrame:
             path = self._step(number, name)
             typed = rows.withColumn(key, F.col(key).cast("bigint"))
-            snapshot_changes(known(name, key), typed, key).write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+            return _kept(snapshot_changes(known(name, key), typed, key), path)
 
         changed = told("incidents", incidents, "id")
         fresh = incidents.join(changed.filter("NOT gone").select("id"), "id", "left_semi")
@@ -234,13 +241,12 @@ class Increment:
         ids = stage(met.distinct(), "changed")
         linked = link_incidents(incidents.join(ids, "id", "left_semi"), dims)
         of_ids = ids.withColumnRenamed("id", "intervencion_id")
-        rows = flat_view(linked, dims["ubicaciones"], attributes.join(of_ids, "intervencion_id", "left_semi"))
-        rows = rows.withColumn("id", F.col("id").cast("bigint")).join(linked.select("id", "ubicacion_id"), "id")
-        here = rows.withColumn("_here", F.lit(True))
+        notes = attributes.join(of_ids, "intervencion_id", "left_semi")
+        rows = flat_view(linked, dims["ubicaciones"], notes, keep=["ubicacion_id"])
+        here = rows.withColumn("id", F.col("id").cast("bigint")).withColumn("_here", F.lit(True))
         # An id that only attributes know has no view row and never had one, or has lost it.
         delta = ids.join(here, "id", "left").withColumn("gone", F.col("_here").isNull()).drop("_here")
-        delta.write.mode("overwrite").parquet(self._step(number, "view"))
-        delta = spark.read.parquet(self._step(number, "view"))
+        delta = _kept(delta, self._step(number, "view"))
         parts = [self.counts.of(delta.filter("NOT gone"))]
         if stored is not None:
             parts.append(self.counts.of(stored.join(ids, "id", "left_semi"), -1))
@@ -249,6 +255,12 @@ class Increment:
         self.carry_out(spark)
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """`df` as written at a path."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _grow(log: KeyedLog, source: DataFrame, spark: SparkSession) -> None:
     """Insert-if-absent into a log, one row per key; a numbered one gets ids after the largest."""
     keys, names = list(log.keys), log.schema.fieldNames()

@@ -53,7 +53,7 @@ class KeyedLog:
     that of the latest batch; with `keep="first"` it is that of the earliest batch, the least by
     `order` in it. Of rows that are equal in all this, the least counts. Columns must have an order.
     Null keys are keys. Runs of `filter_from` keys or more have a filter with `bits` a key; smaller
-    ones are asked exactly.
+    ones are asked exactly, and all of them where it is None.
     """
 
     path: str
@@ -63,7 +63,7 @@ class KeyedLog:
     keep: str = "last"
     fan: int = 8
     bits: int = 16
-    filter_from: int = 100_000
+    filter_from: int | None = 100_000
 
     def __post_init__(self) -> None:
         if self.keep not in ("first", "last"):
@@ -132,7 +132,7 @@ class KeyedLog:
         if not many:
             fs.delete(make(own), True)
             return False
-        if many >= self.filter_from:
+        if self.filter_from is not None and many >= self.filter_from:
             self._write_filter(spark, own, many)
         if run.first == 0 and run.level == 0:
             self._describe(spark)
@@ -171,7 +171,8 @@ class KeyedLog:
 
     def _rows(self, spark: SparkSession, runs: Sequence[Run]) -> DataFrame:
         if not runs:
-            return spark.createDataFrame([], self._stored())
+            # Known to be empty, so that joins with it are planned away.
+            return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self._stored()]).limit(0)
         reader = spark.read.schema(self._stored())
         return reader.parquet(*[f"{self.path}/{r.name}" for r in runs])
 
@@ -179,6 +180,10 @@ class KeyedLog:
         on = reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in self.keys])
         return left.join(right, on, how)
 
+    def absent(self, keys: DataFrame, rows: DataFrame) -> DataFrame:
+        """`keys` that no row of `rows` has."""
+        return self._same(keys, rows.select(*self.keys), "left_anti")
+
     def of_keys(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
         """`rows` whose key is one of `keys`."""
         return self._same(rows, keys, "left_semi")

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from casewell.operators.ingest import ingest_rows
 from casewell.plans import increment as I
 from casewell.plans.flat import flat_view
 from casewell.plans.transform import link_incidents
@@ -127,6 +128,22 @@ def test_ids_stay_with_their_place(spark, tmp_path):
     assert later == {(1, 1): 4, (2, 1): 1, (4, 1): 3, (4, 2): 5}
 
 
+def test_work_of_a_run_grows_with_its_rows_once(spark, tmp_path):
+    """Numbered incidents are stored, not joined again by each reader; rows are numbered where they
+    lie; and logs that are never asked for missing keys write no filter."""
+    step = I.Increment(str(tmp_path), COUNTS)
+    cells = ["1/2/2024 7:05", "CALLE 1", "10", None, "HOMBRE", "1 - X", "Si", "H1", "1 - R", "M1"]
+    raw = spark.createDataFrame([(1, 1, i, cells) for i in range(3)], "page int, table_no int, row_no int, cells array<string>")
+    plan = step.number(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    plan = ingest_rows(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert [log.filter_from for log in (step._digest_log("incidents", "id"), step._view_log(raw.schema))] == [None, None]
+    empty = step.dimension("dim_hospital").read(spark)
+    joined = spark.range(3).join(empty, "id", "left")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in joined
+
+
 def test_digests_tell_null_and_microseconds(spark):
     df = spark.sql("""
         SELECT 1 AS id, 'a' AS x, CAST(NULL AS string) AS y, timestamp_ntz'2024-01-01 00:00:00.000001' AS t
