@@ -12,6 +12,7 @@ import math
 import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -63,6 +64,19 @@ def _batches(frames: Iterator[pd.DataFrame], options: Options) -> Iterator[pd.Da
             yield frame.iloc[start : start + options.batch]
 
 
+@contextmanager
+def _frames_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Frames of at most `most` rows in the tasks started meanwhile, so that a task holds the
+    values of about one call, however many rows it has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Pace:
     """Calls of one lane among `lanes`: time is cut into slots of `pause` seconds from `start` on,
     dealt to the lanes in turn, and a call waits for a slot of its lane that is not used yet. So
@@ -128,7 +142,8 @@ def _run(todo: DataFrame, ask: Callable, schema: T.StructType, cache: str, optio
                 yield answers.assign(_tried_at=tried)
 
         folder = f"{cache}/answers-{uuid.uuid4().hex}"
-        chunk.mapInPandas(task, _answer_type(schema)).write.parquet(folder)
+        with _frames_of(spark, options.batch):
+            chunk.mapInPandas(task, _answer_type(schema)).write.parquet(folder)
         absorb(spark, cache, schema)
 
 

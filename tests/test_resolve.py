@@ -10,6 +10,7 @@ import sys
 import pandas as pd
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from casewell import rules as R
 from casewell.functions import text as tx
@@ -46,6 +47,20 @@ def texts_frame(spark):
     return spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
 
 
+def test_tasks_hold_the_texts_of_a_call(spark, tmp_path, monkeypatch):
+    def held(frames, options):
+        for frame in frames:
+            assert len(frame) <= options.batch
+            yield frame
+
+    monkeypatch.setattr(X, "_batches", held)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(40).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    found, _ = X.resolve_text(df, "t", quoting, str(tmp_path / "cache"), X.Options(batch=5))
+    assert found.filter("changed").count() == 40 and spark.conf.get(name) == before
+
+
 def test_resolve_text(spark, tmp_path):
     cache = str(tmp_path / "cache")
     rows, cached = X.resolve_text(texts_frame(spark), "t", quoting, cache)
