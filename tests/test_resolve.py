@@ -56,7 +56,7 @@ def test_tasks_hold_the_texts_of_a_call(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(X, "_batches", held)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    df = spark.range(40).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    df = spark.range(40).select(F.concat(F.lit("OJEDA "), F.col("id").cast("string")).alias("t"))
     found, _ = X.resolve_text(df, "t", quoting, str(tmp_path / "cache"), X.Options(batch=5))
     assert found.filter("changed").count() == 40 and spark.conf.get(name) == before
 
